@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles of plans that are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Rows whose partitions hold the same rows in the same order each time.
 

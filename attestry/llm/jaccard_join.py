@@ -34,9 +34,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,6 +177,7 @@ def join_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     found = cluster.written(classes(docs, id_column, text, k, percent), "classes")
+    cluster.release(spark)
     alive = found.where("sig is not null")
     reps = alive.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     same = alive.join(reps, "sig").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

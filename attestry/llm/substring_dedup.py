@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +31,13 @@ from attestry.llm.text import SPACED, Block, Words, join_words, text_array, wind
 WINDOW = 35
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",), tidy: bool = True) -> DataFrame:
     """One row per document.
 
     ``carry`` (a struct of the columns named), ``kept_text`` (kept words joined
     by one space), ``n_words``, ``n_removed`` and ``removed`` (intervals of
-    word places, from and up to).
+    word places, from and up to).  Without ``tidy`` a text that loses nothing
+    stays as it is, null included.
     """
     flat = docs.select(F.col(text).alias("text"), F.struct(*[F.col(c) for c in carry]).alias("carry"))
     span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
@@ -70,8 +72,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, ca
         base = np.repeat(words.first[:-1], np.diff(per_row))
         spans = pa.ListArray.from_arrays(pa.array(per_row.astype(np.int32)), pa.StructArray.from_arrays([pa.array(lo - base), pa.array(hi - base)], ["from", "to"]))
         data, bounds = join_words(words, ~gone)
+        kept = text_array(data, bounds)
+        if not tidy:
+            kept = pc.if_else(pa.array(removed == 0), block.rows.column("text").cast(pa.string()), kept)
         return pa.RecordBatch.from_arrays(
-            [block.rows.column("carry"), text_array(data, bounds), pa.array(words.counts), pa.array(removed), spans],
+            [block.rows.column("carry"), kept, pa.array(words.counts), pa.array(removed), spans],
             ["carry", "kept_text", "n_words", "n_removed", "removed"],
         )
 

@@ -53,3 +53,34 @@ def jaccard_groups(docs, k, percent):
                     x, y = find(a), find(b)
                     top[max(x, y)] = min(x, y)
     return sorted((i, len(sets[i]), find(i)) for i in ids)
+
+
+def hits(docs, items, window=10):
+    """doc_id -> (n_words, n_hit, sorted item ids)."""
+    words = lambda t: ALNUM.findall((t or "").translate(LOWER))
+    tests = []
+    for item, t in items:
+        w = words(t)
+        if w:
+            size = min(window, len(w))
+            tests.append((str(item), {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}, size))
+    out = []
+    for i, t in docs:
+        w = words(t)
+        hit, found = [False] * len(w), set()
+        for item, wins, size in tests:
+            for j in range(len(w) - size + 1):
+                if tuple(w[j : j + size]) in wins:
+                    hit[j : j + size] = [True] * size
+                    found.add(item)
+        out.append((i, len(w), sum(hit), sorted(found)))
+    return sorted(out)
+
+
+def phrases(text):
+    w = ALNUM.findall((text or "").translate(LOWER))
+    out = []
+    for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+        p = phrase.split()
+        out += [(i, label) for i in range(len(w)) if w[i : i + len(p)] == p]
+    return len(w), sorted(out)
