@@ -1 +1 @@
-"""See the package README."""
+"""Scalar building blocks as Columns; none of them needs a UDF."""
