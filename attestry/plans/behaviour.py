@@ -116,7 +116,7 @@ QUERIES = {
         impossible_travel,
         f"""with {SIGNALS_SQL}, p as (select user_id, event_id, lat, lon, lag(lat) over w lat0, lag(lon) over w lon0, (epoch_us(ts) - epoch_us(lag(ts) over w)) / 3600000000.0::double as hours from signals window w as ({_BY})),
         d as (select *, 12742.0::double * asin(least(1.0::double, sqrt(pow(sin((radians(lat) - radians(lat0)) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(lon0)) / 2), 2)))) km from p)
-        select user_id, event_id, round(km, 3) km, round(hours, 6) hours from d where hours > 0 and km >= 5 and km / hours > 900""",
+        select user_id, event_id, round(km, 3) km, round(hours, 6) as hours from d where hours > 0 and km >= 5 and km / hours > 900""",
     ),
     "ema_drift": (ema_drift, f"with {SIGNALS_SQL} select user_id, round(list_reduce(list(drift order by ts, event_id), lambda a, x: 0.3::double * x + 0.7::double * a), 6) ema from signals group by user_id"),
     "drift_trend": (
