@@ -74,9 +74,23 @@ def mean(a) -> Column:
 
 
 def deviation(a) -> Column:
-    """Population standard deviation of an array, 0 if it is empty."""
-    a, m = _col(a), mean(a)
-    return F.when(F.size(a) > 0, F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + (v.cast("double") - m) * (v.cast("double") - m)) / F.size(a))).otherwise(F.lit(0.0))
+    """Population standard deviation of an array, 0 if it is empty; one pass."""
+    a = _col(a)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    add = lambda t, v: F.struct((t["s"] + v.cast("double")).alias("s"), (t["q"] + v.cast("double") * v.cast("double")).alias("q"))
+    done = lambda t: F.sqrt(F.greatest(F.lit(0.0), t["q"] / F.size(a) - (t["s"] / F.size(a)) * (t["s"] / F.size(a))))
+    return F.when(F.size(a) > 0, F.aggregate(a, start, add, done)).otherwise(F.lit(0.0))
+
+
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def with_stats(values, then) -> Column:
+    """``then(mean, deviation)`` of an array."""
+    v = _col(values)
+    return bound(F.struct(mean(v).alias("m"), deviation(v).alias("s")), lambda t: then(t["m"], t["s"]))
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.numbers import clamp, half_up, mean, ratio, remap
+from attestry.functions.numbers import clamp, half_up, mean, ratio, remap, with_stats
 
 MODALITIES = ("face", "voice", "behavioral", "document", "device")
 
@@ -174,12 +174,10 @@ def ensemble(detections) -> Column:
 
 def local_peaks(values) -> Column:
     """Places above both neighbours and over mean + deviation."""
-    from attestry.functions.numbers import deviation
-
     v = F.col(values) if isinstance(values, str) else values
-    bar = mean(v) + deviation(v)
     at = F.sequence(F.lit(2), F.greatest(F.size(v) - 1, F.lit(2)))
-    return F.when(F.size(v) < 3, F.array().cast("array<int>")).otherwise(F.filter(at, lambda i: (F.element_at(v, i) > F.element_at(v, i - 1)) & (F.element_at(v, i) > F.element_at(v, i + 1)) & (F.element_at(v, i) > bar)))
+    high = lambda bar: F.filter(at, lambda i: (F.element_at(v, i) > bar) & (F.element_at(v, i) > F.element_at(v, i - 1)) & (F.element_at(v, i) > F.element_at(v, i + 1)))
+    return F.when(F.size(v) < 3, F.array().cast("array<int>")).otherwise(with_stats(v, lambda m, s: high(m + s)))
 
 
 def liveness(*signals: Column) -> Column:
