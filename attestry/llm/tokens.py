@@ -29,6 +29,9 @@ PLAIN_UP_TO = 0x250
 PLAIN_MORE = (*range(0x2010, 0x2028), 0x20AC)
 NOT_PLAIN = (0x1C, 0x1D, 0x1E, 0x1F, 0x85)
 
+#: Fixed value: the splitting pattern of the word-end layout.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 LETTER, NUMBER, SPACE, OTHER, FOREIGN = range(5)
 _MUL = 0xC2B2AE3D27D4EB4F
 
@@ -77,7 +80,9 @@ class Encoder:
         self.model = self.library.model
         self.lowers = bool(layout["normalizer"])
         pre = layout["pre_tokenizer"]
-        self.known = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not layout["normalizer"] or self.lowers and pre["type"] == "Sequence" and "[\\p{L}]+|[\\p{N}]|" in str(pre)
+        byte_level = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not layout["normalizer"]
+        word_end = self.lowers and pre["type"] == "Sequence" and pre["pretokenizers"][0].get("pattern") == {"Regex": WORD_PATTERN} and pre["pretokenizers"][0]["invert"]
+        self.known = bool(byte_level or word_end)
         self.ids: dict[int, bytes] = {}
 
     def encode_piece(self, piece: str) -> bytes:
