@@ -90,27 +90,72 @@ def _date(c: str) -> Column:
     return F.col(c).try_cast("date")
 
 
-def cross_field(as_of: Column) -> Column:
+#: Fewest and most name parts that are usual, by country.
+NAME_PARTS = {"EG": (3, 6), "SA": (3, 6), "AE": (2, 6), "US": (2, 5), "GB": (2, 5), "FR": (2, 5), "DE": (2, 5)}
+
+#: Patterns that an address has, by country.
+ADDRESS_PATTERNS = {"US": (r"\b[0-9]{5}(-[0-9]{4})?\b", "ADDRESS_FORMAT_US_NO_ZIP"), "CA": (r"(?i)\b[A-Z][0-9][A-Z] ?[0-9][A-Z][0-9]\b", "ADDRESS_FORMAT_CA_NO_POSTCODE"), "GB": (r"(?i)\b[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2}\b", "ADDRESS_FORMAT_GB_NO_POSTCODE")}
+
+#: Countries whose addresses and names are in Arabic, whose IDs
+#: are not given to children, and whose cards don't run out.
+ARABIC_COUNTRIES = ("EG", "SA", "AE", "KW", "QA", "BH", "OM", "JO", "LB", "IQ", "SY", "YE", "PS", "SD", "LY", "TN", "DZ", "MA")
+ADULT_ID_COUNTRIES = ("EG", "SA", "AE", "KW")
+INDEFINITE_COUNTRIES = ("IN", "PK")
+
+
+def _words(text) -> Column:
+    c = F.col(text) if isinstance(text, str) else text
+    return F.filter(F.split(F.trim(c), r"\s+"), lambda t: F.length(t) > 1)
+
+
+def _parts(text) -> Column:
+    c = F.col(text) if isinstance(text, str) else text
+    return F.filter(F.split(F.trim(c), r"\s+"), lambda t: t != "")
+
+
+def _least_edits(word: Column, others: Column) -> Column:
+    return F.array_min(F.transform(others, lambda o: F.levenshtein(word, o)))
+
+
+def cross_field(as_of: Column, grace_days: int = 180, places: dict[str, list[str]] | None = None, numbers: dict[str, str] | None = None, names: list[str] | None = None, dual: dict[str, list[str]] | None = None) -> Column:
     """Flags of one identity record across its own fields.
 
     Reads: full_name_ar, full_name_en, national_id, country, birth_date, gender,
     expiry_date, issue_date, nationality, document_no, doc_type, photo_present,
-    photo_gender, biometric_variance, mrz (struct of ``functions.mrz.parse``),
-    and id (struct: is_valid, checksum_valid, birth_year, birth_month, birth_day,
-    sex).  A rule whose fields are missing gives no flag.
+    photo_gender, biometric_variance, address, issue_place, mrz (struct of
+    ``functions.mrz.parse``), and id (struct: is_valid, checksum_valid,
+    birth_year, birth_month, birth_day, sex), and other_documents (array of
+    structs birth_date, full_name_en, full_name_ar, gender).  A rule whose fields
+    are missing gives no flag.  ``places`` (issuing places by country),
+    ``numbers`` (patterns of document numbers by country), ``names`` (known
+    Arabic name parts) and ``dual`` (further nationalities by country) switch
+    their rules on.
     """
     birth, expiry, issue = _date("birth_date"), _date("expiry_date"), _date("issue_date")
-    ar, en, gender = F.col("full_name_ar"), F.col("full_name_en"), F.col("gender")
+    ar, en, gender, country = F.col("full_name_ar"), F.col("full_name_en"), F.col("gender"), F.upper("country")
     years = lambda a, b: F.datediff(b, a) / 365.25
     id_, mrz = F.col("id"), F.col("mrz")
-    given = F.col("national_id").isNotNull()
-    passport = F.col("doc_type") == "passport"
-    mrz_name = canonical(F.concat_ws(" ", mrz["given"], mrz["surname"]))
-    name_gap = F.levenshtein(mrz_name, canonical(en))
-    latin_of_ar = transliterate(ar)
-    alike = 1 - F.levenshtein(F.lower(latin_of_ar), F.lower(en)) / F.greatest(F.length(latin_of_ar), F.length(en))
+    given = F.coalesce(F.col("national_id"), F.lit("")) != ""
+    kind = F.col("doc_type")
+    age, valid_for, since_issue, age_at_issue = years(birth, as_of), years(issue, expiry), years(issue, as_of), years(birth, issue)
     no_text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     iso = r"^\d{4}-\d{2}-\d{2}$"
+    same_year = lambda a, b: F.year(a) == F.year(b)
+    mrz_birth, mrz_expiry = mrz["birth_date"].try_cast("date"), mrz["expiry_date"].try_cast("date")
+    mrz_words, en_words = _words(F.lower(F.concat_ws(" ", mrz["given"], mrz["surname"]))), _words(F.lower(en))
+    unshared = (F.size(mrz_words) > 0) & (F.size(en_words) > 0) & (F.size(F.filter(F.array_intersect(mrz_words, en_words), lambda t: F.length(t) > 2)) == 0)
+    name_gap = F.array_min(F.transform(mrz_words, lambda w: _least_edits(w, en_words)))
+    docs = [canonical(mrz["number"]), canonical("document_no")]
+    # The Arabic part furthest from all Latin parts.
+    latin_gap = F.array_max(F.transform(_words("full_name_ar"), lambda w: _least_edits(F.lower(transliterate(w)), F.transform(en_words, lambda e: e))))
+    others, mine = F.col("other_documents"), F.struct("birth_date", "full_name_en", "full_name_ar", "gender")
+    any_other = lambda test: F.exists(others, test)
+    shared = lambda a, b: F.size(F.array_intersect(_words(F.lower(a)), _words(F.lower(b))))
+    both = lambda a, b: a.isNotNull() & b.isNotNull()
+    parts = F.size(_parts(F.coalesce("full_name_en", "full_name_ar")))
+    arabic_home = country.isin(*ARABIC_COUNTRIES)
+    address = F.trim("address")
+    long_address = F.length(address) >= 5
     rules = [
         flag(given & ~id_["is_valid"], "ID_FORMAT_INVALID", "error"),
         flag(given & id_["is_valid"] & ~id_["checksum_valid"], "ID_CHECKSUM_MISMATCH", "critical"),
@@ -118,48 +163,79 @@ def cross_field(as_of: Column) -> Column:
         flag(id_["birth_year"] != F.year(birth), "BIRTHDATE_YEAR_MISMATCH", "error"),
         flag((id_["birth_year"] == F.year(birth)) & ((id_["birth_month"] != F.month(birth)) | (id_["birth_day"] != F.day(birth))), "BIRTHDATE_MISMATCH", "warning"),
         flag(has_latin("full_name_ar"), "ARABIC_NAME_HAS_LATIN", "warning"),
+        flag(~has_latin("full_name_ar") & ar.rlike(r"[^\p{InArabic}\s\-.']"), "ARABIC_NAME_HAS_NON_ARABIC", "warning"),
         flag(has_arabic("full_name_en"), "ENGLISH_NAME_HAS_ARABIC", "warning"),
+        flag(~has_arabic("full_name_en") & en.rlike(r"[^\p{IsLatin}\s\-.']"), "ENGLISH_NAME_HAS_NON_LATIN", "warning"),
         flag(birth > as_of, "BIRTHDATE_FUTURE", "error"),
-        flag(years(birth, as_of) > 130, "BIRTHDATE_TOO_OLD", "warning"),
-        flag((birth <= as_of) & (years(birth, as_of) < 18), "AGE_MINOR", "info"),
-        flag(years(birth, as_of).between(100, 130), "AGE_VERY_ELDERLY", "warning"),
+        flag(age > 120, "BIRTHDATE_TOO_OLD", "warning"),
+        flag((age >= 0) & (age < 16), "AGE_MINOR", "info"),
+        flag((age > 100) & (age <= 120), "AGE_VERY_ELDERLY", "warning"),
         flag(expiry < as_of, "DOCUMENT_EXPIRED", "error"),
         flag((expiry >= as_of) & (F.datediff(expiry, as_of) < 30), "DOCUMENT_EXPIRING_SOON", "info"),
-        flag(F.upper("nationality") != F.upper("country"), "NATIONALITY_COUNTRY_MISMATCH", "warning"),
+        flag(F.upper("nationality") != country, "NATIONALITY_COUNTRY_MISMATCH", "warning"),
         flag(~mrz["number_ok"], "MRZ_DOCNUM_CHECKSUM_FAIL", "critical"),
         flag(~mrz["birth_ok"], "MRZ_BIRTH_CHECKSUM_FAIL", "error"),
         flag(~mrz["expiry_ok"], "MRZ_EXPIRY_CHECKSUM_FAIL", "error"),
         flag(~mrz["composite_ok"], "MRZ_COMPOSITE_CHECKSUM_FAIL", "critical"),
-        flag(name_gap > 3, "MRZ_NAME_MISMATCH", "error"),
-        flag(name_gap.between(1, 3), "MRZ_NAME_NEAR_MATCH", "info"),
-        flag(canonical(mrz["number"]) != canonical("document_no"), "MRZ_DOCNUM_MISMATCH", "error"),
-        flag(F.left(mrz["nationality"], F.lit(2)) != F.upper(F.left(F.col("nationality"), F.lit(2))), "MRZ_NATIONALITY_MISMATCH", "warning"),
-        flag(F.year(mrz["birth_date"].try_cast("date")) != F.year(birth), "MRZ_BIRTHDATE_MISMATCH", "error"),
-        flag((F.year(mrz["birth_date"].try_cast("date")) == F.year(birth)) & (mrz["birth_date"].try_cast("date") != birth), "MRZ_BIRTHDATE_DAY_MISMATCH", "warning"),
+        flag(unshared & (name_gap > 2), "MRZ_NAME_MISMATCH", "error"),
+        flag(unshared & (name_gap <= 2), "MRZ_NAME_NEAR_MATCH", "info"),
+        flag(~(F.contains(docs[0], docs[1]) | F.contains(docs[1], docs[0])), "MRZ_DOCNUM_MISMATCH", "error"),
+        flag(F.left(mrz["nationality"], F.lit(2)) != F.left(F.upper("nationality"), F.lit(2)), "MRZ_NATIONALITY_MISMATCH", "warning"),
+        flag(~same_year(mrz_birth, birth), "MRZ_BIRTHDATE_MISMATCH", "error"),
+        flag(same_year(mrz_birth, birth) & (mrz_birth != birth), "MRZ_BIRTHDATE_DAY_MISMATCH", "warning"),
         flag(mrz["sex"] != gender, "MRZ_GENDER_MISMATCH", "critical"),
-        flag(mrz["expiry_date"].try_cast("date") != expiry, "MRZ_EXPIRY_MISMATCH", "warning"),
-        flag(expiry < issue, "EXPIRY_BEFORE_ISSUE", "error"),
-        flag(years(issue, expiry) > 20, "VALIDITY_PERIOD_TOO_LONG", "warning"),
-        flag(passport & (expiry >= issue) & ~years(issue, expiry).between(4.5, 10.5), "PASSPORT_VALIDITY_UNUSUAL", "info"),
+        flag(~same_year(mrz_expiry, expiry), "MRZ_EXPIRY_MISMATCH", "warning"),
+        flag(valid_for <= 0, "EXPIRY_BEFORE_ISSUE", "error"),
+        flag(valid_for > 15, "VALIDITY_PERIOD_TOO_LONG", "warning"),
+        flag((kind == "passport") & (valid_for > 0) & (valid_for != 5) & (valid_for != 10) & (valid_for < 15), "PASSPORT_VALIDITY_UNUSUAL", "info"),
         flag(issue > as_of, "ISSUE_DATE_FUTURE", "error"),
         flag(issue < birth, "ISSUE_BEFORE_BIRTH", "critical"),
-        flag((issue >= birth) & (years(birth, issue) < 16), "ISSUED_TO_MINOR", "info"),
-        flag(F.col("photo_gender") != gender, "PHOTO_GENDER_HEURISTIC_MISMATCH", "info"),
-        flag(F.length(F.trim(ar)).between(1, 4), "ARABIC_NAME_TOO_SHORT", "warning"),
-        flag(F.length(F.trim(en)).between(1, 4), "ENGLISH_NAME_TOO_SHORT", "warning"),
+        flag((kind == "national_id") & (age_at_issue >= 0) & (age_at_issue < 14), "ISSUED_TO_MINOR", "info"),
+        flag(F.col("photo_present") & (F.col("photo_gender") != gender), "PHOTO_GENDER_HEURISTIC_MISMATCH", "info"),
+        flag(~no_text("full_name_ar") & (F.size(_parts("full_name_ar")) < 2), "ARABIC_NAME_TOO_SHORT", "warning"),
+        flag(~no_text("full_name_en") & (F.size(_parts("full_name_en")) < 2), "ENGLISH_NAME_TOO_SHORT", "warning"),
         flag(no_text("national_id") | (no_text("full_name_ar") & no_text("full_name_en")) | no_text("birth_date"), "MISSING_REQUIRED_FIELD", "error"),
-        flag(F.col("birth_date").isNotNull() & ~F.col("birth_date").rlike(iso), "DATE_FORMAT_NON_ISO", "warning"),
-        flag(F.lower(gender).isin("other", "x"), "GENDER_OTHER_ACCEPTED", "info"),
-        flag(gender.isNotNull() & ~F.lower(gender).isin("male", "female", "m", "f", "other", "x"), "GENDER_UNRECOGNIZED", "warning"),
-        flag(F.col("document_no").isNotNull() & ~F.col("document_no").rlike("^[A-Za-z0-9]{6,14}$"), "DOCUMENT_NUMBER_FORMAT_MISMATCH", "warning"),
-        flag(ar.isNotNull() & en.isNotNull() & (alike < 0.4), "CROSS_LANGUAGE_NAME_MISMATCH", "warning"),
-        flag((F.datediff(as_of, issue) < 365) & (expiry < as_of), "RECENTLY_ISSUED_BUT_EXPIRED", "critical"),
+        flag(F.exists(F.array("birth_date", "expiry_date", "issue_date"), lambda d: (F.trim(d) != "") & ~d.rlike(iso)), "DATE_FORMAT_NON_ISO", "warning"),
+        flag(F.lower(gender).rlike("other|non.?binary|unspecified|^x$"), "GENDER_OTHER_ACCEPTED", "info"),
+        flag((F.trim(gender) != "") & ~F.lower(gender).isin("male", "female", "m", "f") & ~F.lower(gender).rlike("other|non.?binary|unspecified|^x$"), "GENDER_UNRECOGNIZED", "warning"),
+        flag(F.col("document_no").isNotNull() & ~F.regexp_replace("document_no", r"[\s-]", "").rlike("^[A-Za-z0-9]{6,14}$"), "DOCUMENT_NUMBER_FORMAT_MISMATCH", "warning"),
+        flag(has_arabic("full_name_ar") & (latin_gap > 3), "CROSS_LANGUAGE_NAME_MISMATCH", "warning"),
+        flag((F.datediff(as_of, issue) <= 30) & (expiry < as_of), "RECENTLY_ISSUED_BUT_EXPIRED", "critical"),
+        flag(F.datediff(mrz_expiry, as_of) < -grace_days, "MRZ_EXPIRY_PAST_GRACE", "error"),
+        flag(F.datediff(mrz_expiry, as_of).between(-grace_days, -1), "MRZ_EXPIRY_RECENTLY_EXPIRED", "info"),
+        flag(reduce(lambda c, kv: c.when(country == kv[0], parts < kv[1][0]), NAME_PARTS.items(), F.when(F.lit(False), False)) & (parts > 0), "NAME_TOO_SHORT_FOR_COUNTRY", "warning"),
+        flag(reduce(lambda c, kv: c.when(country == kv[0], parts > kv[1][1]), NAME_PARTS.items(), F.when(F.lit(False), False)), "NAME_TOO_LONG_FOR_COUNTRY", "info"),
+        *[flag((country == cc) & long_address & ~address.rlike(pattern), code, "info") for cc, (pattern, code) in ADDRESS_PATTERNS.items()],
+        flag(arabic_home & long_address & ~has_arabic("address"), "ADDRESS_FORMAT_AR_NO_ARABIC", "info"),
+        flag((country == "IR") & long_address & ~has_arabic("address"), "ADDRESS_FORMAT_IR_NO_PERSIAN", "info"),
         flag(~F.col("photo_present"), "PHOTO_MISSING", "error"),
-        flag(passport & (years(issue, as_of) > 10), "DOCUMENT_AGE_PASSPORT_TOO_OLD", "warning"),
-        flag(F.col("biometric_variance") > 0.6, "BIOMETRIC_VARIANCE_HIGH_DIFFERENT_PERSON", "critical"),
-        flag((F.col("biometric_variance") > 0.35) & (F.col("biometric_variance") <= 0.6), "BIOMETRIC_VARIANCE_SUSPICIOUS", "warning"),
+        flag((kind == "passport") & (since_issue > 15), "DOCUMENT_AGE_PASSPORT_TOO_OLD", "warning"),
+        flag((kind != "passport") & country.isin(*INDEFINITE_COUNTRIES) & (since_issue > 50), "DOCUMENT_AGE_INDEFINITE_TOO_OLD", "warning"),
+        flag((kind != "passport") & ~country.isin(*INDEFINITE_COUNTRIES) & (since_issue > 15), "DOCUMENT_AGE_EXPIRED_BY_REISSUANCE", "warning"),
         flag((F.col("biometric_variance") < 0) | (F.col("biometric_variance") > 1), "BIOMETRIC_VARIANCE_OUT_OF_RANGE", "warning"),
+        flag(F.col("biometric_variance").between(0.5, 1.0), "BIOMETRIC_VARIANCE_HIGH_DIFFERENT_PERSON", "critical"),
+        flag((F.col("biometric_variance") >= 0.3) & (F.col("biometric_variance") < 0.5), "BIOMETRIC_VARIANCE_SUSPICIOUS", "warning"),
+        flag(any_other(lambda o: (F.left(o["birth_date"], F.lit(4)) == F.left(mine["birth_date"], F.lit(4))) & (o["birth_date"] != mine["birth_date"])), "CROSS_DOC_BIRTHDATE_DAY_MISMATCH", "warning"),
+        flag(any_other(lambda o: F.left(o["birth_date"], F.lit(4)) != F.left(mine["birth_date"], F.lit(4))), "CROSS_DOC_BIRTHDATE_MISMATCH", "error"),
+        flag(any_other(lambda o: both(o["full_name_en"], en) & (shared(o["full_name_en"], en) == 0)), "CROSS_DOC_NAME_MISMATCH", "error"),
+        flag(any_other(lambda o: both(o["full_name_en"], en) & (shared(o["full_name_en"], en) == 1) & (F.size(_words(en)) >= 2) & (F.size(_words(o["full_name_en"])) >= 2)), "CROSS_DOC_NAME_PARTIAL_MATCH", "info"),
+        flag(any_other(lambda o: both(o["full_name_ar"], ar) & (shared(o["full_name_ar"], ar) == 0)), "CROSS_DOC_ARABIC_NAME_MISMATCH", "warning"),
+        flag(any_other(lambda o: o["gender"] != gender), "CROSS_DOC_GENDER_MISMATCH", "critical"),
+        flag(country.isin(*ADULT_ID_COUNTRIES) & (age > 0) & (age < 16), "AGE_GENDER_MINOR_ID", "info"),
+        flag(arabic_home & no_text("full_name_ar") & ~has_arabic(F.coalesce(en, F.lit(""))), "NATIONALITY_LANGUAGE_ARABIC_EXPECTED", "info"),
+        flag(country.isin("US", "GB", "FR", "DE") & ~has_latin(F.coalesce(en, F.lit(""))), "NATIONALITY_LANGUAGE_LATIN_EXPECTED", "info"),
     ]
+    pick = lambda table, then: reduce(lambda c, kv: c.when(country == kv[0], then(kv[1])), table.items(), F.when(F.lit(False), False))
+    if places:
+        rules.append(flag(pick(places, lambda known: ~F.lower("issue_place").rlike("|".join(known))), "ISSUE_PLACE_UNKNOWN", "info"))
+    if numbers:
+        rules.append(flag(pick(numbers, lambda pattern: ~F.regexp_replace("document_no", r"[\s-]", "").rlike(pattern)), "DOCUMENT_NUMBER_FORMAT_BY_COUNTRY", "warning"))
+    if names:
+        rules.append(flag(F.size(F.array_except(_words("full_name_ar"), F.array(*map(F.lit, names)))) > 0, "ARABIC_NAME_NOT_IN_DICTIONARY", "info"))
+    if dual:
+        listed = pick(dual, lambda more: F.lower("nationality").isin(*more))
+        rules.append(flag((F.upper("nationality") != country) & ~listed, "NATIONALITY_DUAL_CITIZEN_UNVERIFIED", "warning"))
+        rules.append(flag((F.upper("nationality") != country) & listed, "NATIONALITY_DUAL_CITIZEN_VERIFIED", "info"))
     return flags(*rules)
 
 

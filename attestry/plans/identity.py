@@ -146,7 +146,8 @@ def cross_field(spark, sf_dir):
         "id", F.lit(None).cast("string").alias("full_name_ar"), "full_name_en", nid.alias("national_id"), F.lit("EG").alias("country"), F.col("birth_date").cast("string").alias("birth_date"), "gender",
         F.col("expiry_date").cast("string").alias("expiry_date"), F.date_sub("expiry_date", 3650).cast("string").alias("issue_date"), F.when(F.col("id") % 5 == 0, "US").otherwise("EG").alias("nationality"),
         "document_no", F.when(F.col("id") % 2 == 0, "passport").otherwise("national_id").alias("doc_type"), (F.col("id") % 11 != 0).alias("photo_present"), F.lit(None).cast("string").alias("photo_gender"),
-        (F.col("id") % 100 / 100).alias("biometric_variance"), mrz.parse(F.col("mrz_text")).alias("mrz"),
+        (F.col("id") % 100 / 100).alias("biometric_variance"), F.lit("1 Main Street 12345").alias("address"), F.lit("Cairo").alias("issue_place"),
+        F.when(F.col("id") % 13 == 0, F.array(F.struct(F.lit("1990-01-01").alias("birth_date"), F.lit("OTHER PERSON").alias("full_name_en"), F.lit(None).cast("string").alias("full_name_ar"), F.col("gender")))).alias("other_documents"), mrz.parse(F.col("mrz_text")).alias("mrz"),
     )
     cols = checksums.validated("EG", "national_id")
     rec = rec.withColumn("id_", F.struct(*[c.alias(k) for k, c in cols.items()]))
