@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestry.llm import chat_format, cluster, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, packing, substring_dedup, token_counts, wavelet
+from attestry.llm import chat_format, cluster, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, oracles, packing, substring_dedup, token_counts, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
