@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.functions import checksums
-from attestry.operators import detectors, documents, fusion
+from attestry.operators import detectors, documents, fusion, quotas
 from attestry.plans.common import SIGNALS_SQL, signals
+from attestry.sources import models
 from attestry.sources.tables import read
 
 
@@ -77,6 +78,20 @@ def country_count(spark, sf_dir):
     return spark.createDataFrame(rows, "country string, clean string, has_checksum boolean").groupBy("clean").agg(F.count("*").alias("n"), F.count_if("has_checksum").alias("checked"))
 
 
+def quota_usage(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    rank = F.element_at(F.array(*[F.lit(f"P{i}") for i in range(5)]), (F.col("event_id") % 5 + 1).cast("int"))
+    used = quotas.usage(e, 300, "ts", "event_id", "day")
+    return used.withColumn("verdict", quotas.verdict(rank, F.col("percent"))).groupBy("level", "verdict").agg(F.count("*").alias("n"))
+
+
+def model_scores(spark, sf_dir):
+    model = models.Linear((0.5, -0.25, 0.125), -0.3)
+    p = read(spark, sf_dir, "part")
+    features = F.array((F.col("p_size") / 10).cast("double"), (F.col("p_partkey") % 7).cast("double"))
+    return p.select("p_partkey", F.round(model.score(features), 6).alias("p"))
+
+
 _V = f"with {SIGNALS_SQL}, a as (select user_id, list(value order by event_id) v, avg(value) m, stddev_pop(value) s, count(*) n from signals group by 1)"
 QUERIES = {
     "screen_replay": (
@@ -113,4 +128,10 @@ QUERIES = {
         select k p_partkey, floor(p * 10000.0::double + 0.5) / 10000.0::double pad, p < 0.5 live from s""",
     ),
     "id_rules": (country_count, None),
+    "quota_usage": (
+        quota_usage,
+        """with u as (select event_id, 100.0::double * row_number() over (partition by date_trunc('day', ts) order by ts, event_id) / 300 p from events), b as (select *, list_extract([100, 100, 95, 90, 80], (event_id % 5 + 1)::int) d, list_extract([101, 101, 100, 95, 90], (event_id % 5 + 1)::int) s from u)
+        select case when p >= 100 then 'exhausted' when p >= 95 then 'emergency' when p >= 90 then 'restrict' when p >= 80 then 'warning' when p >= 70 then 'monitoring' else 'normal' end as level, case when p >= s then 'suppress' when p >= d then 'defer' else 'send' end verdict, count(*) n from b group by 1, 2""",
+    ),
+    "model_scores": (model_scores, "select p_partkey, round(1 / (1 + exp(-(p_size / 10.0::double * 0.5::double - (p_partkey % 7) * 0.25::double - 0.3::double))), 6) p from part"),
 }

@@ -187,3 +187,31 @@ def test_rules(spark):
     assert rules.lifecycle_violations(df, "k", "s", "ts", "o").count() == 1
     r = spark.range(1).select(rules.first_failing([("a", F.lit(True)), ("b", F.lit(None).cast("boolean")), ("c", F.lit(False))]).alias("g"), rules.quota_level(F.lit(91)).alias("q")).first()
     assert (r.g, r.q) == ("b", "restrict")
+
+
+def test_model_files(spark, tmp_path):
+    import numpy as np
+
+    from attestry.sources import models
+
+    np.savez(tmp_path / "m.npz", weights=np.array([1.0, -2.0]), bias=np.array([0.5]))
+    m = models.read(spark, str(tmp_path / "m.npz"))
+    assert m == models.Linear((1.0, -2.0), 0.5)
+    r = spark.range(1).select(m.score(F.array(F.lit(1.5), F.lit(1.0))).alias("p")).first()
+    assert r.p == 0.5
+    with pytest.raises(ValueError):
+        np.savez(tmp_path / "x.npz", other=np.zeros(2))
+        models.parse((tmp_path / "x.npz").read_bytes())
+
+
+def test_documents(spark):
+    from attestry.operators import documents
+
+    df = spark.createDataFrame([("Name: John Smith Date of birth 1990-01-01",)], "t string")
+    r = df.select(documents.labelled("t", ["full name", "name"], ["date of birth"]).alias("n"), documents.first_pattern("t", [(r"no (\d+)", 0.9), (r"(\d{4}-\d\d-\d\d)", 0.6)]).alias("p")).first()
+    assert r.n == "John Smith" and tuple(r.p) == ("1990-01-01", 0.6)
+    box = "struct<x:double,y:double,w:double,h:double>"
+    read = spark.createDataFrame([(1, 1, "Surname", "DOE", (0.9, 0.9, 0.1, 0.1)), (1, 2, "?", "JOHN", (0.1, 0.1, 0.2, 0.1))], f"doc_id int, seq int, name string, value string, box {box}")
+    template = spark.createDataFrame([(1, "family", ["surname"], (0.0, 0.0, 0.1, 0.1)), (2, "given", ["first name"], (0.12, 0.1, 0.2, 0.1))], f"seq int, field string, aliases array<string>, box {box}")
+    got = {r.field: (r.value, r.by) for r in documents.match_fields(read, template).collect()}
+    assert got == {"family": ("DOE", "name"), "given": ("JOHN", "place")}
