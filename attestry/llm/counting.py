@@ -53,6 +53,18 @@ def bucket_count(partitions: int) -> int:
     return 1 << max(4, (4 * partitions - 1).bit_length())
 
 
+def _short(keys: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _long(data: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def distinct(keys: Keys, n_buckets: int) -> Distinct:
     bucket = keys.side >> np.uint64(64 - (n_buckets.bit_length() - 1))
     order = np.lexsort((keys.key, bucket))
@@ -99,23 +111,30 @@ def with_counts(
     keys: Callable[[Block], Keys],
     finish: Callable[[Block, np.ndarray], Iterator[pa.RecordBatch] | pa.RecordBatch],
     schema: T.StructType,
+    width: int = 8,
 ) -> DataFrame:
     """Apply ``finish(block, level)`` to each block.
 
     ``level`` has a byte for each key that ``keys(block)`` gives, in its order:
     0 for a key that occurs once in the whole input, else
     1 + floor(log2(occurrences)).  An array of keys with a key twice in one
-    document counts both.
+    document counts both.  ``width`` keeps so many bytes of a key: fewer where two
+    keys that fall together do no harm.
     """
     spark = docs.sparkSession
     cluster.prepare(spark)
     docs = cluster.settled(docs)
     n_parts = cluster.partitions(spark)
     n_buckets = bucket_count(n_parts)
+    drop = np.uint64(64 - 8 * width)
+
+    def own_keys(block: Block) -> Distinct:
+        got = keys(block)
+        return distinct(Keys(got.key >> drop, got.side), n_buckets)
 
     def send(batches):
         for name, block in _named(batches, column):
-            d = distinct(keys(block), n_buckets)
+            d = own_keys(block)
             full = np.flatnonzero(np.diff(d.bounds))
             if not len(full):
                 continue
@@ -123,14 +142,14 @@ def with_counts(
             cut = [(d.bounds[b], d.bounds[b + 1]) for b in full]
             more = [b"" if (many[i:j] == 1).all() else zstandard.compress(many[i:j].tobytes(), 1) for i, j in cut]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.array([name] * len(full)), pa.array([d.key[i:j].tobytes() for i, j in cut], pa.binary()), pa.array(more, pa.binary())],
+                [pa.array(full.astype(np.int32)), pa.array([name] * len(full)), pa.array([_short(d.key[i:j], width) for i, j in cut], pa.binary()), pa.array(more, pa.binary())],
                 ["bucket", "block", "keys", "counts"],
             )
 
     def count(table: pa.Table) -> pa.Table:
         payload = table.column("keys").to_pylist()
-        sizes = np.array([len(p) // 8 for p in payload])
-        key = np.frombuffer(b"".join(payload), np.uint64)
+        sizes = np.array([len(p) // width for p in payload])
+        key = _long(b"".join(payload), width)
         many = np.concatenate([np.frombuffer(zstandard.decompress(c), np.uint32) if c else np.ones(n, np.uint32) for c, n in zip(table.column("counts").to_pylist(), sizes, strict=True)]).astype(np.int64)
         order = np.argsort(key)
         ordered = key[order]
@@ -158,7 +177,7 @@ def with_counts(
         if not right.num_rows:
             raise RuntimeError("documents changed between two readings of one partition")
         block = Block(_unpack(right.column("rows")[0].as_py()), column)
-        d = distinct(keys(block), n_buckets)
+        d = own_keys(block)
         level = np.zeros(len(d.key), np.uint8)
         for b, packed in zip(left.column("bucket").to_pylist(), left.column("levels").to_pylist(), strict=True):
             level[d.bounds[b] : d.bounds[b + 1]] = np.frombuffer(zstandard.decompress(packed), np.uint8)

@@ -104,7 +104,8 @@ def classes(docs: DataFrame, id_column: str, text: str, k: int, percent: int) ->
             sets[i] = ranked[bounds[i] : bounds[i + 1]].tobytes()
         return pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(n), pa.array(sig, pa.binary()), pa.array(own.astype(np.int32)), pa.array(sets, pa.binary())], schema.names)
 
-    return with_counts(flat, "text", keys, finish, schema)
+    # Counts only order the shingles, the same for all sets, so 40 bits and the bucket's do.
+    return with_counts(flat, "text", keys, finish, schema, width=5)
 
 
 def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
