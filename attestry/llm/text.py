@@ -15,6 +15,9 @@ import pyarrow as pa
 #: Text bytes of a block; one longer document makes a block of its own.
 BLOCK_BYTES = 4 << 20
 
+#: Bytes whose words are hashed at once; bounds the arrays of 8 bytes a byte.
+CHUNK = 1 << 20
+
 #: Words ``[^\x20\x09-\x0D]+``: every byte but a space and the five controls.
 SPACED = np.ones(256, bool)
 SPACED[[0x20, *range(0x09, 0x0E)]] = False
@@ -52,7 +55,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
         have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size <= BLOCK_BYTES * 2:
+        if size <= 2 * CHUNK:
             _powers[base] = have
     return have[0][:n], have[1][:n]
 
@@ -129,11 +132,17 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = powers(_MUL_BYTE, len(self.data) + 1)
-        sums = _sums(_BYTE[self.data] * up[:-1])
-        raw = (sums[self.end] - sums[self.start]) * down[self.start]
-        return mix(raw + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word's bytes, some ``CHUNK`` bytes at a time."""
+        out, n, i = np.empty(len(self), np.uint64), len(self), 0
+        while i < n:
+            j = max(int(np.searchsorted(self.start, self.start[i] + CHUNK)), i + 1)
+            lo = self.start[i]
+            start, end = self.start[i:j] - lo, self.end[i:j] - lo
+            up, down = powers(_MUL_BYTE, int(end[-1]) + 1)
+            sums = _sums(_BYTE[self.data[lo : lo + end[-1]]] * up[:-1])
+            out[i:j] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+            i = j
+        return out
 
     def stop(self) -> np.ndarray:
         """For each word the index after the last word of its row."""
