@@ -20,8 +20,8 @@ import regex
 
 from attestry.llm.text import Block, mix, powers
 
-#: Entries of a worker's cache; a full cache starts anew.
-CACHE_SIZE = 1_500_000
+#: Entries of each of the two generations of a worker's cache (some 40 MB).
+CACHE_SIZE = 200_000
 
 #: Code points the numpy splitter handles: Latin up to Extended-B without odd
 #: controls, general punctuation and the euro sign.
@@ -84,6 +84,7 @@ class Encoder:
         word_end = self.lowers and pre["type"] == "Sequence" and pre["pretokenizers"][0].get("pattern") == {"Regex": WORD_PATTERN} and pre["pretokenizers"][0]["invert"]
         self.known = bool(byte_level or word_end)
         self.ids: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
 
     def encode_piece(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin1").translate(_byte_letters())
@@ -170,14 +171,14 @@ class Encoder:
         hashes = self.hash_pieces(joined, start, end)
         value, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         count = known(value) if known else np.full(len(value), -1)
-        if len(self.ids) > CACHE_SIZE:
-            self.ids.clear()
+        if len(self.ids) > CACHE_SIZE:  # what is used again moves up, the rest goes
+            self.old, self.ids = self.ids, {}
         parts: list[bytes] = []
         for i in np.flatnonzero(count < 0) if lengths else range(len(value)):
             h = int(value[i])
             got = self.ids.get(h)
             if got is None:
-                got = self.ids[h] = self.encode_piece(joined[start[first[i]] : end[first[i]]])
+                got = self.ids[h] = self.old.get(h) or self.encode_piece(joined[start[first[i]] : end[first[i]]])
             if lengths:
                 count[i] = len(got) // 4
             else:
