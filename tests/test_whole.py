@@ -1,5 +1,6 @@
 """Queries over small tables, all of whose rows must count, by brute force."""
 
+import hashlib
 from datetime import date
 
 from attestry import registry
@@ -63,3 +64,24 @@ def test_hops(spark, tmp_path):
         want |= {(start, start, 0)} | {(start, a, 1) for a in one} | {(start, b, 2) for a, b in links if a in one and b != start}
     got = run(spark, "khop_component", graph_tables(spark, tmp_path / "t"))
     assert len(got) == len(want) > 6 and set(got) == want
+
+
+def test_roots(spark, tmp_path):
+    def root(keys):
+        level = [hashlib.sha256(str(k).encode()).hexdigest() for k in keys]
+        while len(level) > 1:
+            level = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(level[::2], [*level[1::2], level[-1]][: (len(level) + 1) // 2], strict=True)]
+        return level[0]
+
+    def roots(orders, folder):
+        trees = {}
+        for k, c in sorted(orders):
+            trees.setdefault(c % 20, []).append(k)
+        got = run(spark, "merkle_root", saved(spark, tmp_path / folder, orders=(orders, "o_orderkey long, o_custkey long")))
+        assert len(got) == len(trees) and dict(got) == {t: root(keys) for t, keys in trees.items()}
+        return dict(got)
+
+    orders = [(k, c) for c, n in ((1, 1), (21, 4), (2, 7), (3, 1), (20, 2)) for k in range(100 * c + 5, 100 * c + 5 + n)]
+    # One order more of one customer changes one root.
+    a, b = roots(orders, "a"), roots([*orders, (777, 2)], "b")
+    assert {t for t in a if a[t] != b[t]} == {2}
