@@ -96,9 +96,10 @@ def combine_beliefs(evidence) -> Column:
 
     def step(acc: Column, e: Column) -> Column:
         k = acc["real"] * e["spoof"] + acc["spoof"] * e["real"]
-        norm = 1 - k
         real = acc["real"] * e["real"] + acc["real"] * e["open"] + acc["open"] * e["real"]
         spoof = acc["spoof"] * e["spoof"] + acc["spoof"] * e["open"] + acc["open"] * e["spoof"]
+        # 1 - k, but without its rounding errors, which grow from item to item.
+        norm = real + spoof + acc["open"] * e["open"]
         fine = norm > 1e-9
         return state(F.when(fine, real / norm).otherwise(0.5), F.when(fine, spoof / norm).otherwise(0.5), F.when(fine, acc["open"] * e["open"] / norm).otherwise(0.0), F.when(fine, k).otherwise(1.0))
 

@@ -54,7 +54,7 @@ def regional_bias(spark, sf_dir):
 def _evidence(spark, sf_dir):
     e = signals(spark, sf_dir)
     item = F.struct("event_id", F.when(F.col("event_type") == "error", "spoof").otherwise("real").alias("hypothesis"), F.col("drift").alias("probability"), F.lit(0.1).alias("uncertainty"))
-    return e.groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(item)), 1, 4).alias("evidence"))
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
 
 
 def dempster_shafer(spark, sf_dir):
@@ -81,8 +81,9 @@ def _ds_sql() -> str:
 
 
 def soft_or_hybrid(spark, sf_dir):
-    e = signals(spark, sf_dir).where("event_id % 20 = 0 or user_id % 5 = 0").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("event_id", "drift"))), 1, 5).alias("e"))
-    return e.select("user_id", F.round(fusion.soft_or(F.transform("e", lambda x: x["drift"])), 6).alias("score"))
+    """A signal is the mean of all of a user's events of one type; over single events, tens a user, the score is 1."""
+    e = _scores(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "score"))).alias("e"))
+    return e.select("user_id", F.round(fusion.soft_or(F.transform("e", lambda x: x["score"])), 6).alias("score"))
 
 
 def _scores(spark, sf_dir):

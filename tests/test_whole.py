@@ -1,7 +1,11 @@
 """Queries over small tables, all of whose rows must count, by brute force."""
 
 import hashlib
-from datetime import date
+import math
+from datetime import date, datetime
+from fractions import Fraction
+
+import pytest
 
 from attestry import registry
 
@@ -85,3 +89,51 @@ def test_roots(spark, tmp_path):
     # One order more of one customer changes one root.
     a, b = roots(orders, "a"), roots([*orders, (777, 2)], "b")
     assert {t for t in a if a[t] != b[t]} == {2}
+
+
+#: Events of (id, user, type, value): users 1 and 2 differ in the ninth only.
+EVENTS = [(20 * u + i, u, "view" if i % 3 else "click", 46.0 + i) for u in (1, 2) for i in range(1, 9)] + [(29, 1, "view", 50.0), (49, 2, "error", 90.0), (61, 3, "error", 30.0), (82, 4, "view", 60.0), (83, 4, "error", 70.0)]
+EVENTS += [(1000 + i, 5, "view" if i % 5 else "error", i * 37 % 120 + 0.0) for i in range(70)]
+
+
+def event_tables(spark, folder):
+    rows = [(e, datetime(2024, 1, 1), u, t, v, '{"k": 1}') for e, u, t, v in reversed(EVENTS)]
+    return saved(spark, folder, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"))
+
+
+def test_soft_or_of_all_events(spark, tmp_path):
+    kinds = {}
+    for _, u, t, v in EVENTS:
+        kinds.setdefault(u, {}).setdefault(t, []).append(min(1.0, v / 100))
+    want = {u: 1 - math.prod(1 - sum(v) / len(v) for v in k.values()) for u, k in kinds.items()}
+    got = run(spark, "soft_or_hybrid", event_tables(spark, tmp_path / "t"))
+    assert dict(got) == pytest.approx(want, abs=1e-6) and len(got) == 5 and dict(got)[1] != dict(got)[2]
+
+
+def test_beliefs_of_all_events(spark, tmp_path):
+    def fold(items):
+        masses = []
+        for kind, p in items:
+            p = Fraction(min(1.0, p))
+            u = min(Fraction(0.1), 1 - p)
+            o = 1 - p - u
+            masses.append((o, p, u) if kind == "error" else (p, o, u))
+        (r, s, u), k = masses[0], Fraction(0)
+        for r2, s2, u2 in masses[1:]:
+            k = r * s2 + s * r2
+            if 1 - k <= 1e-9:
+                (r, s, u), k = (Fraction(1, 2), Fraction(1, 2), Fraction(0)), Fraction(1)
+            else:
+                r, s, u = (r * r2 + r * u2 + u * r2) / (1 - k), (s * s2 + s * u2 + u * s2) / (1 - k), u * u2 / (1 - k)
+        return float(r), float(k)
+
+    users = {}
+    for _, u, t, v in sorted(EVENTS):
+        users.setdefault(u, []).append((t, v / 100))
+    got = {u: (belief, conflict, decision) for u, belief, conflict, decision, _ in run(spark, "dempster_shafer", event_tables(spark, tmp_path / "t"))}
+    assert set(got) == set(users)
+    for u, items in users.items():
+        b, k = fold(items)
+        assert got[u][:2] == pytest.approx((b, k), abs=1e-6)
+        assert got[u][2] == ("approve" if b >= 0.7 and k < 0.3 else "reject" if b < 0.4 or k > 0.6 else "review")
+    assert got[1][:2] != got[2][:2]
