@@ -137,3 +137,35 @@ def test_beliefs_of_all_events(spark, tmp_path):
         assert got[u][:2] == pytest.approx((b, k), abs=1e-6)
         assert got[u][2] == ("approve" if b >= 0.7 and k < 0.3 else "reject" if b < 0.4 or k > 0.6 else "review")
     assert got[1][:2] != got[2][:2]
+
+
+PARTS = [(1, "SMALL TIN"), (2, "LARGE BRUSHED STEEL"), (3, "abba"), (4, "ECONOMY"), (6, "Ab"), (8, "X")]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def test_readings_of_all_parts(spark, tmp_path):
+    folder = saved(spark, tmp_path / "t", part=(PARTS, "p_partkey long, p_type string"))
+    alike = lambda a, b: 1 - edits(a.lower(), b.lower()) / max(len(a), len(b))
+    best, winners = {}, {}
+    for k, t in PARTS:
+        said = [t, t.lower(), f"{t}Z", t[::-1]]
+        means = [sum(alike(a, b) for j, b in enumerate(said) if j != i) / 3 for i, a in enumerate(said)]
+        best[k] = min(range(4), key=lambda i: (-round(means[i], 9), i)) + 1, round(max(means), 6)
+        groups = []
+        for s in said:
+            near = next((g for g in groups if alike(min(g, key=len), s) >= 0.85), None)
+            near.append(s) if near else groups.append([s])
+        top = max(groups, key=len)
+        winners[k] = min(top, key=len), len(top) / 4
+    got = run(spark, "consensus_reading", folder)
+    assert len(got) == len(PARTS) and {k: (s, a) for k, s, a in got} == best
+    got = run(spark, "consensus_string", folder)
+    assert len(got) == len(PARTS) and {k: (w, s) for k, w, s in got} == winners
