@@ -169,3 +169,15 @@ def test_readings_of_all_parts(spark, tmp_path):
     assert len(got) == len(PARTS) and {k: (s, a) for k, s, a in got} == best
     got = run(spark, "consensus_string", folder)
     assert len(got) == len(PARTS) and {k: (w, s) for k, w, s in got} == winners
+
+
+def test_all_steps(spark, tmp_path):
+    orders = [(1, "F", "1-URGENT", 7), (2, "O", "5-LOW", 8), (50, "P", "3-MEDIUM", 9), (99, "F", "1-URGENT", 7)]
+    want = set()
+    for k, *said in orders:
+        h = ""
+        for i, (step, value) in enumerate(zip(("capture", "extract", "decide"), said, strict=True)):
+            h = hashlib.sha256(f"{h}|{step}|{value}".encode()).hexdigest()
+            want.add((k, i, step, h))
+    got = run(spark, "provenance_steps", saved(spark, tmp_path / "t", orders=(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string, o_custkey long")))
+    assert len(got) == 12 and set(got) == want
