@@ -86,7 +86,7 @@ def canonicalize_text(spark, sf_dir):
 
 
 def sanitized(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.sanitize("text", 200)).alias("digest"), text.masked(F.col("source")).alias("masked"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.sanitize("text")).alias("digest"), text.masked(F.col("source")).alias("masked"))
 
 
 def field_match(spark, sf_dir):

@@ -181,3 +181,14 @@ def test_all_steps(spark, tmp_path):
             want.add((k, i, step, h))
     got = run(spark, "provenance_steps", saved(spark, tmp_path / "t", orders=(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string, o_custkey long")))
     assert len(got) == 12 and set(got) == want
+
+
+def test_sanitized_to_500(spark, tmp_path):
+    texts = ["a" * 499 + "bc", "a" * 200 + "b", "a" * 200 + "c", "a" * 300 + chr(7) + "b" * 300, " a" * 100, chr(0) * 600, "x"]
+    want = {}
+    for i, t in enumerate(texts):
+        s = t.replace(chr(7), "").replace(chr(0), "")[:500].strip(" ")
+        want[i] = hashlib.md5(s.encode()).hexdigest() if s else None
+    rows = [(i, t, "web") for i, t in enumerate(texts)]
+    got = run(spark, "sanitized", saved(spark, tmp_path / "t", documents=(rows, "doc_id long, text string, source string")))
+    assert {i: d for i, d, _ in got} == want and len(got) == len(texts)
