@@ -47,10 +47,10 @@ def perturbation(spark, sf_dir):
 
 
 def repaired_ids(spark, sf_dir):
-    """Nine-digit keys with a digit left out or put in, repaired by checksum."""
-    c = read(spark, sf_dir, "customer").where("c_custkey % 3 > 0")
+    """Nine-digit keys as they are or with a digit left out or put in, repaired by checksum."""
+    c = read(spark, sf_dir, "customer")
     base = F.lpad((F.col("c_custkey") * 7919 % 999999937).cast("string"), 9, "0")
-    raw = F.when(F.col("c_custkey") % 3 == 1, F.concat(F.substring(base, 1, 4), F.lit("7"), F.substring(base, 5, 5))).otherwise(F.concat(F.substring(base, 1, 3), F.substring(base, 5, 5)))
+    raw = F.when(F.col("c_custkey") % 3 == 1, F.concat(F.substring(base, 1, 4), F.lit("7"), F.substring(base, 5, 5))).when(F.col("c_custkey") % 3 == 2, F.concat(F.substring(base, 1, 3), F.substring(base, 5, 5))).otherwise(base)
     rows = c.select("c_custkey", raw.alias("raw"))
     digits = lambda s: F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.ascii(s.substr(i, F.lit(1))) - 48)
     luhn = lambda s: F.aggregate(F.transform(digits(s), lambda d, i: F.when(i % 2 == 1, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)), F.lit(0), lambda a, b: a + b) % 10 == 0

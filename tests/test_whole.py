@@ -192,3 +192,25 @@ def test_sanitized_to_500(spark, tmp_path):
     rows = [(i, t, "web") for i, t in enumerate(texts)]
     got = run(spark, "sanitized", saved(spark, tmp_path / "t", documents=(rows, "doc_id long, text string, source string")))
     assert {i: d for i, d, _ in got} == want and len(got) == len(texts)
+
+
+def test_repairs(spark, tmp_path):
+    def luhn(s):
+        return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(s)) % 10 == 0
+
+    want = {}
+    for k in range(61):
+        base = f"{k * 7919 % 999999937:09d}"
+        if k % 3 == 1:
+            s = base[:4] + "7" + base[4:]
+            options = [s[:i] + s[i + 1 :] for i in range(10)]
+        elif k % 3 == 2:
+            s = base[:3] + base[4:]
+            options = [s[:i] + d + s[i:] for i in range(9) for d in "0123456789"]
+        else:
+            options = [base]
+        first = min(options, key=lambda x: not luhn(x))
+        want[k] = first, luhn(first)
+    got = run(spark, "repaired_ids", saved(spark, tmp_path / "t", customer=([(k,) for k in range(61)], "c_custkey long")))
+    assert len(got) == 61 and {k: (r, ok) for k, r, ok in got} == want
+    assert {ok for k, (_, ok) in want.items() if k % 3 == 0} == {True, False}
