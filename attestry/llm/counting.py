@@ -8,7 +8,8 @@ byte a key.  Then the answers meet the block's documents again.
 A block sends each distinct key once, so one hot key costs at most one entry a
 block.  Buckets are drawn from a second hash, whose bits come on top of the 64
 bits of the key: two different keys fall together with probability
-1 / (2**64 * buckets).
+1 / (2**64 * buckets).  The number of buckets follows the input's bytes, so a
+bucket stays within a task's memory.
 
 Blocks are made twice, once for their keys and once for their documents, from
 partitions that must hold the same rows in the same order (see
@@ -29,10 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from attestry.llm import cluster
+from attestry.llm import cluster, worker
 from attestry.llm.text import Block, blocks
 
 
+#: Bytes of input on disk for a bucket, and text bytes of a block.
+BUCKET_BYTES, BLOCK = 1 << 20, 2 << 20
+
+
 class Keys(NamedTuple):
     """Keys of a block, any number of them alike; ``side`` draws the bucket."""
 
@@ -49,8 +54,10 @@ class Distinct(NamedTuple):
     bounds: np.ndarray
 
 
-def bucket_count(partitions: int) -> int:
-    return 1 << max(4, (4 * partitions - 1).bit_length())
+def bucket_count(partitions: int, size: int) -> int:
+    """Buckets for an input of ``size`` bytes on disk: by the input, so that a
+    bucket fits a task whatever the number of partitions is."""
+    return 1 << max(4, (max(4 * partitions, size // BUCKET_BYTES) - 1).bit_length())
 
 
 def _short(keys: np.ndarray, width: int) -> bytes:
@@ -80,7 +87,7 @@ def distinct(keys: Keys, n_buckets: int) -> Distinct:
 
 
 def _name(block: Block, partition: int, seq: int) -> str:
-    h = xxhash.xxh3_64(block.data.tobytes())
+    h = xxhash.xxh3_64(block.data)
     h.update(block.offsets.tobytes())
     return f"{partition}-{seq}-{h.hexdigest()}"
 
@@ -88,7 +95,7 @@ def _name(block: Block, partition: int, seq: int) -> str:
 def _named(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[str, Block]]:
     partition, seq = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for block in blocks(batch, column):
+        for block in blocks(batch, column, BLOCK):
             yield _name(block, partition, seq), block
             seq += 1
 
@@ -109,7 +116,7 @@ def with_counts(
     docs: DataFrame,
     column: str,
     keys: Callable[[Block], Keys],
-    finish: Callable[[Block, np.ndarray], Iterator[pa.RecordBatch] | pa.RecordBatch],
+    finish: Callable[[Block, np.ndarray], pa.RecordBatch],
     schema: T.StructType,
     width: int = 8,
 ) -> DataFrame:
@@ -125,7 +132,7 @@ def with_counts(
     cluster.prepare(spark)
     docs = cluster.settled(docs)
     n_parts = cluster.partitions(spark)
-    n_buckets = bucket_count(n_parts)
+    n_buckets = bucket_count(n_parts, cluster.size_bytes(docs))
     drop = np.uint64(64 - 8 * width)
 
     def own_keys(block: Block) -> Distinct:
@@ -176,15 +183,18 @@ def with_counts(
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows:
             raise RuntimeError("documents changed between two readings of one partition")
-        block = Block(_unpack(right.column("rows")[0].as_py()), column)
+        worker.begin("counting")
+        block = Block(_unpack(right.column("rows")[0].as_py()), column, right.column("block")[0].as_py())
         d = own_keys(block)
         level = np.zeros(len(d.key), np.uint8)
         for b, packed in zip(left.column("bucket").to_pylist(), left.column("levels").to_pylist(), strict=True):
             level[d.bounds[b] : d.bounds[b + 1]] = np.frombuffer(zstandard.decompress(packed), np.uint8)
         done = finish(block, level[d.inverse])
-        return pa.Table.from_batches([done] if isinstance(done, pa.RecordBatch) else list(done))
+        del d, level, block
+        worker.trim()
+        return pa.Table.from_batches([done])
 
-    sent = docs.mapInArrow(send, "bucket int, block string, keys binary, counts binary")
+    sent = docs.mapInArrow(worker.tended("counting", send), "bucket int, block string, keys binary, counts binary")
     levels = sent.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(count, "block string, bucket int, levels binary")
-    kept = docs.mapInArrow(keep, "block string, rows binary")
+    kept = docs.mapInArrow(worker.tended("counting", keep), "block string, rows binary")
     return levels.repartition(n_parts, "block").groupBy("block").cogroup(kept.repartition(n_parts, "block").groupBy("block")).applyInArrow(meet, schema)

@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from attestry.llm import worker
+
 #: Text bytes of a block; one longer document makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Bytes whose words are hashed at once; bounds the arrays of 8 bytes a byte.
 CHUNK = 1 << 20
@@ -45,6 +47,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _MUL_BYTE, _MUL_WORD, _MUL_SIDE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+worker.caching(_powers.clear)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +72,8 @@ def _sums(values: np.ndarray) -> np.ndarray:
 class Block:
     """Texts of some rows as one byte array with row offsets."""
 
-    def __init__(self, rows: pa.RecordBatch, column: str):
-        self.rows = rows
+    def __init__(self, rows: pa.RecordBatch, column: str, name: str = ""):
+        self.rows, self.name = rows, name
         texts = rows.column(column)
         if pa.types.is_large_string(texts.type):
             kind = np.int64
@@ -86,7 +89,7 @@ class Block:
             if texts.null_count:  # a null may own bytes of the buffer
                 null = texts.is_null().to_numpy(zero_copy_only=False)
                 if (np.diff(offs)[null] > 0).any():
-                    return self.__init__(rows.set_column(rows.schema.get_field_index(column), column, texts.fill_null("")), column)
+                    return self.__init__(rows.set_column(rows.schema.get_field_index(column), column, texts.fill_null("")), column, name)
             self.data, self.offsets = raw[offs[0] : offs[-1]], offs - offs[0]
 
     def __len__(self) -> int:
