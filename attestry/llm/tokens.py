@@ -3,31 +3,32 @@
 The texts of a block are split into pre-tokens in numpy, by classes of code
 points; each distinct pre-token is looked up once a block, first in a table
 handed in by the caller, then in the worker's cache, and only a miss is encoded
-by the library's own model.  Texts outside the plain range (code points that
-the class table does not cover, or special strings) go through the library's
-whole pipeline, so every text gets the library's ids.
+by the library's own model.  The class table has the scripts of Unicode 3.2 and
+all that is neither letter nor digit.  Texts with other code points, with special
+strings or (where the tokenizer composes) in decomposed form go through the
+library's whole pipeline, so every text gets the library's ids.
 """
 
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
-import regex
 
+from attestry.llm import worker
 from attestry.llm.text import Block, mix, powers
 
-#: Entries of each of the two generations of a worker's cache (some 40 MB).
-CACHE_SIZE = 200_000
+#: Entries of each of the two generations of a worker's cache (some 10 MB).
+CACHE_SIZE = 50_000
 
-#: Code points the numpy splitter handles: Latin up to Extended-B without odd
-#: controls, general punctuation and the euro sign.
-PLAIN_UP_TO = 0x250
-PLAIN_MORE = (*range(0x2010, 0x2028), 0x20AC)
-NOT_PLAIN = (0x1C, 0x1D, 0x1E, 0x1F, 0x85)
+#: Code points below this have a class; the planes above hold no common script.
+PLAIN_UP_TO = 0x30000
+#: Spaces in one version of Unicode or one library and not in another.
+NOT_PLAIN = (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E)
 
 #: Fixed value: the splitting pattern of the word-end layout.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -38,14 +39,23 @@ _MUL = 0xC2B2AE3D27D4EB4F
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
+    """Class of each code point.  Letters and digits that Unicode 3.2 had not got
+    and code points without a character are foreign, as the library's tables may
+    be older or newer than Python's."""
     table = np.full(0x110000, FOREIGN, np.uint8)
-    for c in (*range(PLAIN_UP_TO), *PLAIN_MORE):
-        if c not in NOT_PLAIN:
-            ch = chr(c)
-            table[c] = LETTER if regex.match(r"\p{L}", ch) else NUMBER if regex.match(r"\p{N}", ch) else SPACE if ch.isspace() else OTHER
+    first = unicodedata.ucd_3_2_0.category
+    for c in range(PLAIN_UP_TO):
+        ch = chr(c)
+        kind = unicodedata.category(ch)[0]
+        if c in NOT_PLAIN or unicodedata.category(ch) in ("Cs", "Cn") or (kind in "LN") != (first(ch)[0] in "LN"):
+            continue
+        table[c] = LETTER if kind == "L" else NUMBER if kind == "N" else SPACE if ch.isspace() else OTHER
     return table
 
 
+worker.caching(_classes.cache_clear)
+
+
 @lru_cache(1)
 def _byte_letters() -> dict[int, str]:
     """The printable letter that byte-level models use for each byte."""
@@ -94,11 +104,15 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def normal(self, text: str) -> str:
-        """What the splitter takes of a plain text; composing marks aren't plain."""
+        """What the splitter takes of a plain text."""
         return text.lower() if self.lowers else text
 
     def _plain(self, text: str) -> bool:
-        return not any(s in text for s in self.special)
+        """No special string; where case is folded, composed and without the one
+        letter whose lower case depends on its neighbours."""
+        if any(s in text for s in self.special):
+            return False
+        return not self.lowers or text.isascii() or ("\u03a3" not in text and unicodedata.is_normalized("NFC", text))
 
     def split(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         """Joined text, start and end of each pre-token, and bounds by row."""
@@ -204,12 +218,15 @@ class Encoder:
         return Ids(out, rows)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a file, kept from batch to batch."""
     return Encoder(path)
 
 
+worker.caching(encoder.cache_clear)
+
+
 def path(name: str) -> str:
     """Place of a public tokenizer file on this machine."""
     import public_tokenizers
