@@ -6,9 +6,9 @@ partitioned by the plane before it, with a count of ones before each 512 bits.
 One file so answers access (id at a place), count (an id's occurrences within
 a range) and select (place of its k-th occurrence).
 
-Layout, little-endian: magic ``AWM1``; ids u64; documents u64; planes u32; for
-each document its id i64 and its length u32; for each plane its zeros u64; then
-for each plane its directory (u64 for each 512 bits and one more) and its bits
+Layout, little-endian: magic ``AWM2``; ids u64; documents u64; planes u32; for
+each document its id i64 (0 for a null), its length u32 and a byte, 1 for a null
+id; for each plane its zeros u64; then for each plane its directory (u64 for each 512 bits and one more) and its bits
 in u64 words.
 
 ``write`` puts the files into a Parquet table of one row a file, so that any
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import cluster
+from attestry.llm import cluster, worker
 from attestry.llm.text import blocks
 from attestry.llm.tokens import encoder, path
 
@@ -38,11 +38,12 @@ _WORDS = 8  # words of a directory block
 
 
 class WaveletMatrix:
-    def __init__(self, n: int, docs: np.ndarray, lengths: np.ndarray, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray]):
+    def __init__(self, n: int, docs: np.ndarray, lengths: np.ndarray, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray], nulls: np.ndarray | None = None):
+        self.nulls = np.zeros(len(docs), bool) if nulls is None else nulls
         self.n, self.docs, self.lengths, self.zeros, self.planes, self.ranks = n, docs, lengths, zeros, planes, ranks
 
     @staticmethod
-    def build(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray) -> WaveletMatrix:
+    def build(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, nulls: np.ndarray | None = None) -> WaveletMatrix:
         n = len(ids)
         cur = ids.astype(np.uint16 if n == 0 or ids.max() < 1 << 16 else np.uint32)
         width = max(1, int(ids.max()).bit_length() if n else 1)
@@ -58,18 +59,18 @@ class WaveletMatrix:
             low = cur[~bit]
             zeros.append(len(low))
             cur = np.concatenate([low, cur[bit]])
-        return WaveletMatrix(n, docs, lengths, zeros, planes, ranks)
+        return WaveletMatrix(n, docs, lengths, zeros, planes, ranks, nulls)
 
     def tobytes(self) -> bytes:
-        head = b"AWM1" + struct.pack("<QQI", self.n, len(self.docs), len(self.planes))
-        parts = [head, self.docs.astype("<i8").tobytes(), self.lengths.astype("<u4").tobytes(), np.array(self.zeros, "<u8").tobytes()]
+        head = b"AWM2" + struct.pack("<QQI", self.n, len(self.docs), len(self.planes))
+        parts = [head, self.docs.astype("<i8").tobytes(), self.lengths.astype("<u4").tobytes(), self.nulls.astype(np.uint8).tobytes(), np.array(self.zeros, "<u8").tobytes()]
         for rank, plane in zip(self.ranks, self.planes, strict=True):
             parts += [rank.astype("<u8").tobytes(), plane.astype("<u8").tobytes()]
         return b"".join(parts)
 
     @staticmethod
     def frombytes(data: bytes) -> WaveletMatrix:
-        if data[:4] != b"AWM1":
+        if data[:4] != b"AWM2":
             raise ValueError("not a wavelet file")
         n, n_docs, width = struct.unpack_from("<QQI", data, 4)
         at = 24
@@ -80,13 +81,14 @@ class WaveletMatrix:
             at += out.nbytes
             return out
 
-        docs, lengths, zeros = take("<i8", n_docs), take("<u4", n_docs), [int(z) for z in take("<u8", width)]
+        docs, lengths, nulls = take("<i8", n_docs), take("<u4", n_docs), take("u1", n_docs).astype(bool)
+        zeros = [int(z) for z in take("<u8", width)]
         blocks_ = -(-max(n, 1) // 512)
         planes, ranks = [], []
         for _ in range(width):
             ranks.append(take("<u8", blocks_ + 1))
             planes.append(take("<u8", blocks_ * _WORDS))
-        return WaveletMatrix(n, docs, lengths, zeros, planes, ranks)
+        return WaveletMatrix(n, docs, lengths, zeros, planes, ranks, nulls)
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones before each place of a plane."""
@@ -160,23 +162,24 @@ class WaveletMatrix:
 def write(docs: DataFrame, folder: str, id_column: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k.json", end_id: int = 0) -> None:
     """Encode every document, add ``end_id`` and write the files.
 
-    A null text is an empty one.  Rows with one id stay next to each other;
-    an empty table gives a table without files.
+    A null text is an empty one.  Rows with a null id come first and keep it;
+    rows of one id follow each other in order of their texts.  An empty table
+    gives a table without files.
     """
     spark = docs.sparkSession
     cluster.prepare(spark)
-    flat = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spread = flat.repartitionByRange(cluster.partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    flat = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    spread = flat.repartitionByRange(cluster.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path(name)), TaskContext.get().partitionId()
         start = seq = held = 0
         ids: list[np.ndarray] = []
-        names: list[int] = []
+        names: list[int | None] = []
         sizes: list[int] = []
 
         def flush():
-            matrix = WaveletMatrix.build(np.concatenate(ids), np.array(names, np.int64), np.array(sizes, np.int64))
+            matrix = WaveletMatrix.build(np.concatenate(ids), np.array([i or 0 for i in names], np.int64), np.array(sizes, np.int64), np.array([i is None for i in names], bool))
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([start]), pa.array([held]), pa.array([matrix.tobytes()], pa.binary())], ["part", "seq", "start", "n_ids", "file"])
 
         for batch in batches:
@@ -188,13 +191,13 @@ def write(docs: DataFrame, folder: str, id_column: str = "doc_id", text: str = "
                         yield flush()
                         start, seq, held, ids, names, sizes = start + held, seq + 1, 0, [], [], []
                     ids.append(one)
-                    names.append(-1 if doc is None else doc)
+                    names.append(doc)
                     sizes.append(len(one))
                     held += len(one)
         if ids:
             yield flush()
 
-    spread.mapInArrow(files, "part long, seq long, start long, n_ids long, file binary").write.option("compression", "zstd").parquet(folder)
+    spread.mapInArrow(worker.tended("tokens", files), "part long, seq long, start long, n_ids long, file binary").write.mode("append").option("compression", "zstd").parquet(folder)
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
@@ -215,9 +218,9 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                 view = memoryview(ids).cast("B")
                 begins = ends - matrix.lengths
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                out = [pa.array(matrix.docs), pa.array(begins + start + base[part]), pa.array(matrix.lengths.astype(np.int64)), pa.array(crc, pa.int64())]
+                out = [pa.array(matrix.docs, mask=matrix.nulls), pa.array(begins + start + base[part]), pa.array(matrix.lengths.astype(np.int64)), pa.array(crc, pa.int64())]
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(begins, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
-    return table.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return table.mapInArrow(worker.tended("wavelet", rows), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
