@@ -4,10 +4,10 @@ Documents longer than a window fill whole windows first.  What is left of each
 document goes, in order of arrival, to the fill level that keeps the sum of
 squared counts of partially filled windows smallest; a level array has these
 counts, and a stack for each level has its windows.  Each task packs its own
-partition.  At its end the windows that are still open are joined: documents
-may be cut, so pieces of the emptiest fill up the fullest, and the one window
-left is cut into sequences whose lengths are powers of two, which need no
-padding.
+partition.  When ``MAX_OPEN`` windows are open they are joined: documents may be
+cut, so pieces of the emptiest fill up the fullest, and one open window at most is
+left.  At the partition's end this last one is cut into sequences whose lengths
+are powers of two, which need no padding.
 
 A null or empty text is its end id alone.  Repeated rows are packed each for
 itself; rows with a null id keep it.  Other columns are left out.  An empty
@@ -24,12 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm import cluster
+from attestry.llm import cluster, worker
 from attestry.llm.text import blocks
 from attestry.llm.tokens import encoder, path
 
 CAPACITY = 4096
 
+#: Open windows of a task (16 MB of ids at most).
+MAX_OPEN = 1024
+
 
 class Packer:
     """Windows of one task; a piece is (doc, start, ids, doc_tokens)."""
@@ -63,12 +66,16 @@ class Packer:
         self.open[h + size].append(window)
         return None
 
-    def rest(self) -> Iterator[list]:
-        """Close what is open: full windows, then powers of two."""
+    def rest(self, last: bool = True) -> Iterator[list]:
+        """Close what is open: full windows, then powers of two, or unless it is
+        the ``last`` time one open window."""
         pieces = [p for level in range(self.capacity, 0, -1) for window in self.open[level] for p in window]
+        self.levels[:] = 0
+        self.open = [[] for _ in range(self.capacity + 1)]
         total = sum(len(p[2]) for p in pieces)
-        sizes = [self.capacity] * (total // self.capacity)
-        sizes += [1 << b for b in range(self.capacity.bit_length(), -1, -1) if (total % self.capacity) >> b & 1]
+        sizes, over = [self.capacity] * (total // self.capacity), total % self.capacity
+        if last:
+            sizes += [1 << b for b in range(self.capacity.bit_length(), -1, -1) if over >> b & 1]
         pieces.reverse()
         for size in sizes:
             window = []
@@ -80,6 +87,9 @@ class Packer:
                 window.append((doc, start, ids, tokens))
                 size -= len(ids)
             yield window
+        if not last and over:
+            self.levels[over] = 1
+            self.open[over].append(pieces[::-1])
 
 
 def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", name: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
@@ -123,6 +133,9 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", name: s
                         full = packer.place((doc, whole, ids[whole:], len(ids)))
                         if full:
                             emit(full)
+                        elif packer.levels.sum() >= MAX_OPEN:
+                            for window in packer.rest(last=False):
+                                emit(window)
                 if len(out) >= 2000:
                     yield flush()
         for window in packer.rest():
@@ -132,4 +145,4 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", name: s
         if out:
             yield flush()
 
-    return flat.mapInArrow(rows, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return flat.mapInArrow(worker.tended("tokens", rows), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
