@@ -18,8 +18,11 @@ of the label, which bounds it.
 A pair is linked when its cosine, computed in double precision, is at least the
 threshold and the labels are equal and not null.  Null vectors, zero vectors and
 vectors with null or non-finite components, and vectors of differing
-lengths, link with nothing.  Repeated rows with one id count as one vector.  Other
-columns are left out; an empty table gives an empty result.
+lengths, link with nothing.  Repeated rows with one id count as one vector; if they
+differ, the one with the smallest label and then vector (nulls last by label).  A
+row without an id links with nothing, is no one's partner, keeps a row of its own
+and has null for ``component_id`` and ``kept``.  Other columns are left out; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm import cluster
+from attestry.llm import cluster, worker
 
 THRESHOLD = 0.93
 CELL, TILE = 2000, 1024
@@ -68,16 +71,18 @@ def link_groups(vectors: DataFrame, id_column: str = "vec_id", vector: str = "em
     cluster.prepare(spark)
     eps = float(np.sqrt(2 - 2 * threshold))
     flat = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
-    flat = flat.dropDuplicates(["vec_id"]) if not _unique(flat) else flat
+    if not _unique(flat):
+        said = flat.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct(F.col("label").isNull().alias("bare"), "label", "v")).alias("said"))
+        flat = said.select("vec_id", "said.v", "said.label").unionByName(flat.where("vec_id is null"))
     # -0.0 and 0.0 are one value; the bytes of the doubles are the point's name.
-    fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [(np.array(v, np.float64) + 0.0).tobytes() for v in batch.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(packed, pa.binary())], ["vec_id", "label", "v"])
 
-    named = cluster.written(flat.where(fine).mapInArrow(pack, "vec_id long, label string, v binary"), "vectors")
+    named = cluster.written(flat.where(fine).mapInArrow(worker.tended("vectors", pack), "vec_id long, label string, v binary"), "vectors")
     # The name of a point is its smallest id; weight is its number of ids.
     points = cluster.written(named.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "points")
     sizes = points.groupBy("label", F.length("v").alias("width")).agg(F.count("*").alias("n"))
@@ -126,7 +131,7 @@ def link_groups(vectors: DataFrame, id_column: str = "vec_id", vector: str = "em
                 ["label", "width", "id", "weight", "v", "cell", "home"],
             )
 
-    dealt = points.select("label", "id", "weight", "v", many.alias("group"), F.length("v").alias("width")).mapInArrow(deal, "label string, width int, id long, weight long, v binary, cell long, home boolean")
+    dealt = points.select("label", "id", "weight", "v", many.alias("group"), F.length("v").alias("width")).mapInArrow(worker.tended("vectors", deal), "label string, width int, id long, weight long, v binary, cell long, home boolean")
     dealt = cluster.written(dealt, "cells")
     cells = dealt.groupBy("label", "width", "cell").agg(F.count_if("home").alias("n_home"), F.count("*").alias("n_all")).where("n_home > 0 and n_all > 1")
     placed = dealt.join(cells, ["label", "width", "cell"])
@@ -147,30 +152,18 @@ def link_groups(vectors: DataFrame, id_column: str = "vec_id", vector: str = "em
         raw = _matrix(table.column("v"))
         norm = np.sqrt((raw * raw).sum(axis=1))
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out_id, out_n, out_to = [], [], []
+        me, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out_to: list[np.ndarray] = []
         if len(a) and len(b):
             cos = (raw[a] @ raw[b].T) / (norm[a][:, None] * norm[b][None, :])
             hit = (cos >= threshold) & (ids[a][:, None] != ids[b][None, :])
-            links = (hit * weight[b][None, :]).sum(axis=1)
-            best: dict[int, int] = {}
-
-            def find(i: int) -> int:
-                while best.setdefault(i, i) != i:
-                    best[i] = i = best[best[i]]
-                return i
-
-            for k in np.flatnonzero(links):
-                me = int(ids[a[k]])
-                forest = []
-                for other_ in ids[b[np.flatnonzero(hit[k])]].tolist():
-                    x, y = find(me), find(other_)
-                    if x != y:
-                        best[max(x, y)] = min(x, y)
-                        forest.append(other_)
-                out_id.append(me)
-                out_n.append(int(links[k]))
-                out_to.append(forest)
-        return pa.table({"id": pa.array(out_id, pa.int64()), "n": pa.array(out_n, pa.int64()), "linked": pa.array(out_to, pa.list_(pa.int64()))})
+            some = np.flatnonzero(hit.any(axis=1))
+            me, n = ids[a[some]], (hit[some] * weight[b][None, :]).sum(axis=1)
+            x, y = cluster.forest(me, ids[b], hit[some])
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            out_to = [y[lo:hi] for lo, hi in zip(np.searchsorted(x, me, "left"), np.searchsorted(x, me, "right"), strict=True)]
+        return pa.table({"id": pa.array(me), "n": pa.array(n, pa.int64()), "linked": pa.array(out_to, pa.list_(pa.int64()))})
 
     found = cluster.written(placed.repartition(cluster.partitions(spark), *by).groupBy(*by).applyInArrow(compare, "id long, n long, linked array<bigint>"), "links")
     comps = cluster.components(found.select(F.col("id").alias("a"), F.explode("linked").alias("b")))
@@ -188,4 +181,4 @@ def link_groups(vectors: DataFrame, id_column: str = "vec_id", vector: str = "em
 
 def _unique(flat: DataFrame) -> bool:
     """True if no id occurs twice."""
-    return flat.groupBy("vec_id").count().where("count > 1").isEmpty()
+    return flat.where("vec_id is not null").groupBy("vec_id").count().where("count > 1").isEmpty()
