@@ -5,8 +5,10 @@ occur in a template are joined in Spark to the places where they stand in it;
 an occurrence of a template puts its k-grams on one diagonal, document place
 less template place.  Votes are added up by diagonal.  A template of kind
 ``exact`` is found where a diagonal has all its k-grams.  For longer texts
-neighbouring diagonals (a few words put in or left out) merge, and a span is
-verified by its share of the template's k-grams.
+neighbouring diagonals (a few words put in or left out) merge into overlapping
+bands.  A band's span is verified against the template word for word: of the
+k-grams that vote in it, those count that stand in the template's order, each
+template place once.  Their share of the template's k-grams must be ``SHARE``.
 
 The template table is part of this module, so its size is fixed, and it is
 broadcast.  A k-gram that no template has can't vote and is left out before the
@@ -24,10 +26,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm import cluster
+from attestry.llm import cluster, worker
 from attestry.llm.text import ALNUM, Block, Words, blocks, windows
 
 #: Phrase, label: found only as they stand.
@@ -37,7 +39,7 @@ PHRASES = (
     ("all rights reserved", "reserved"),
 )
 
-#: Opening or grant sentences of well-known licenses, label: found with small changes.
+#: Sentences and whole texts of well-known licenses, label: found with small changes.
 TEXTS = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2.0"),
@@ -49,12 +51,37 @@ TEXTS = (
     ("this work is licensed under a creative commons attribution", "creative-commons"),
     ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
     ("the software is provided as is without warranty of any kind express or implied", "as-is"),
+    # Whole texts.
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit-full",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "isc-full",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "bsd-2-full",
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "zlib",
+    ),
 )
 
 GRAM_PHRASE, GRAM_TEXT = 2, 3
-#: Diagonals this near to each other belong to one occurrence of a text.
-NEAR = 3
-#: Share of a text's k-grams that a span must have.
+#: Share of a text's k-grams that a span must have in order.
 SHARE = 0.6
 
 
@@ -76,6 +103,26 @@ def templates() -> list[tuple[int, int, int, int, str, bool, int]]:
     return out
 
 
+def drift(grams: Column) -> Column:
+    """Words put in and left out, less each other, that an occurrence may have at
+    any place; half of a band of diagonals."""
+    return F.greatest(F.lit(8), F.floor(grams / 4))
+
+
+def chain(spots: str) -> Column:
+    """k-grams of the template that stand in its own order in the span: the
+    longest run of spots that grows in place and in template place at once.
+
+    Keeps the smallest template place that ends a run of each length."""
+
+    def put(ends: Column, s: Column) -> Column:
+        at = -s["back"]
+        n = F.size(F.filter(ends, lambda e: e < at))
+        return F.concat(F.slice(ends, 1, n), F.array(at), F.slice(ends, n + 2, F.greatest(F.size(ends) - n - 1, F.lit(0))))
+
+    return F.size(F.aggregate(F.array_sort(spots), F.array().cast("array<int>"), put))
+
+
 def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: ``doc_id``, ``n_words``, ``n_base`` (places of
     phrases), ``first_word``, ``last_word`` (their smallest and largest start),
@@ -109,29 +156,32 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(len(block))), block.rows.column("doc_id"), pa.array(words.counts), hits], ["uid", "doc_id", "n_words", "hits"])
                 uid += len(block)
 
-    rows = flat.mapInArrow(votes, f"uid long, doc_id {kind}, n_words long, hits array<struct<gram:bigint,place:bigint>>")
+    rows = flat.mapInArrow(worker.tended("license", votes), f"uid long, doc_id {kind}, n_words long, hits array<struct<gram:bigint,place:bigint>>")
     rows = rows.select("uid", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("uid", "doc_id", "n_words", "hit.gram", "hit.place")
     table = F.broadcast(spark.createDataFrame([t[1:] for t in templates()], "gram long, template int, at int, label string, exact boolean, grams int"))
     by = ["uid", "doc_id", "n_words", "template", "label", "exact", "grams"]
-    lines = rows.join(table, "gram", "left").groupBy(*by, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("at").alias("votes"), F.min("at").alias("head"))
-    # Neighbouring diagonals of a text are one run; phrases stay apart.
-    order = Window.partitionBy("uid", "template").orderBy("diagonal")
-    step = F.col("diagonal") - F.lag("diagonal").over(order)
-    runs = lines.withColumn("cut", F.when(F.coalesce(F.col("exact"), F.lit(True)) | step.isNull() | (step > NEAR), 1).otherwise(0)).withColumn("run", F.sum("cut").over(order))
-    spans = runs.groupBy(*by, "run").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
-    base = F.col("exact") & (F.col("votes") == F.col("grams"))
-    more = ~F.col("exact") & (share >= SHARE)
+    # Votes by diagonal; a place of the template votes once on each.
+    lines = rows.join(table, "gram", "left").groupBy(*by, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    # Neighbouring diagonals of a text merge in overlapping bands: each diagonal is
+    # in two, so any occurrence that drifts by no more than a band's half is whole in one.
+    half = F.floor(F.col("diagonal") / drift(F.col("grams")))
+    bands = lines.withColumn("band", F.explode(F.when(F.coalesce("exact", F.lit(True)), F.array("diagonal")).otherwise(F.array(half - 1, half))))
+    spots = F.flatten(F.collect_list(F.transform("ats", lambda at: F.struct((F.col("diagonal") + at).alias("place"), (-at).alias("back")))))
+    bands = bands.groupBy(*by, "band").agg(spots.alias("spots"))
+    distinct = F.size(F.array_distinct(F.transform("spots", lambda s: s["back"])))
+    found = bands.withColumn("share", F.when(F.col("exact"), F.when(distinct == F.col("grams"), 1.0)).when(distinct >= SHARE * F.col("grams"), chain("spots") / F.col("grams")))
+    base = F.col("exact") & F.col("share").isNotNull()
+    more = ~F.col("exact") & (F.col("share") >= SHARE)
     labels = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     return (
-        spans.groupBy("uid", "doc_id", "n_words")
+        found.groupBy("uid", "doc_id", "n_words")
         .agg(
             F.count(F.when(base, 1)).alias("n_base"),
-            F.min(F.when(base, F.col("start"))).alias("first_word"),
-            F.max(F.when(base, F.col("start"))).alias("last_word"),
+            F.min(F.when(base, F.col("band"))).alias("first_word"),
+            F.max(F.when(base, F.col("band"))).alias("last_word"),
             labels(base).alias("base_labels"),
             labels(base | more).alias("labels"),
-            F.coalesce(F.max(F.when(base | more, share)), F.lit(0.0)).alias("score"),
+            F.coalesce(F.max(F.when(base | more, F.col("share"))), F.lit(0.0)).alias("score"),
         )
         .drop("uid")
     )
