@@ -3,7 +3,7 @@
 ``paths`` enumerates all root-to-leaf paths by iterative self-joins: with
 ``jump`` (each message's ancestor 2**k steps up) a set of known ancestors
 doubles its reach in each round, so a tree of depth d takes log2(d) joins and no
-more rows than the paths have.  ``ranked`` orders the branches of a tree by the
+more rows than the paths have.  Texts may be of any length.  ``ranked`` orders the branches of a tree by the
 mean score of their messages.  ``formatted`` writes each chosen path as one
 conversation.
 
@@ -15,7 +15,7 @@ both.  The loss mask has the intervals of the assistant texts, in code points.
 
 Null texts and roles count as empty.  A message whose parent is null or unknown
 is a root; rows of one id are one message (ties go to the smallest role, then
-text).  Messages on a cycle have no root and are left out.  Null scores count
+text).  Messages on a cycle and replies below one have no root and are left out.  Null scores count
 as 0; equal branches are ranked by leaf id.  Other columns are left out; an
 empty table gives an empty result.
 """
@@ -63,6 +63,9 @@ def paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
         step *= 2
         if step > 2 and more.isEmpty():
             return known
+        if step >= 64 and step >= (nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0):
+            # Who still has an ancestor so far up has a cycle above.
+            return known.join(jump.select("tree", F.col("msg").alias("leaf")), ["tree", "leaf"], "left_anti")
     raise RuntimeError("paths are too deep")
 
 
