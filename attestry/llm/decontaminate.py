@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm import cluster
+from attestry.llm import cluster, worker
 from attestry.llm.text import ALNUM, Words, blocks, mix, rolling
 
 WINDOW, GRAM = 10, 5
@@ -74,7 +74,8 @@ def _context(hashes: np.ndarray, words: Words, place: np.ndarray, row: np.ndarra
     at = place[:, None] + np.arange(-left, right + 1)
     ok = (at >= words.first[row][:, None]) & (at < words.first[row + 1][:, None])
     out = np.where(ok, hashes[np.clip(at, 0, max(len(hashes) - 1, 0))] | np.uint64(1), np.uint64(0))
-    return pa.array([r.tobytes() for r in out], pa.binary())
+    ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel().view(np.int64)))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -89,7 +90,6 @@ def find(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str
     ``carry``, a struct of further columns, if any are named."""
     spark = docs.sparkSession
     cluster.prepare(spark)
-    n_parts = cluster.partitions(spark)
     reach = window - gram
     extra = [F.struct(*[F.col(c) for c in carry]).alias("carry")] if carry else []
     flat = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), *extra)
@@ -108,13 +108,13 @@ def find(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, around, pa.array(need), pa.array(pivot)], ["finger", "item_id", "words", "size", "pivot"])
                 short = np.flatnonzero((words.counts > 0) & (words.counts < window))
                 first = np.array([int(words.first[i]) + int(np.argmin(hashes[words.first[i] : words.first[i + 1]])) for i in short], np.int64)
-                own = [(hashes[words.first[i] : words.first[i + 1]] | np.uint64(1)).tobytes() for i in short]
+                own = [(hashes[words.first[i] : words.first[i + 1]] | np.uint64(1)).view(np.int64) for i in short]
                 key = mix(hashes[first], 99) if len(first) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), block.rows.column("item_id").take(pa.array(short)), pa.array(own, pa.binary()), pa.array(words.counts[short]), pa.array(first - words.first[short])], ["finger", "item_id", "words", "size", "pivot"]
+                    [pa.array(key.view(np.int64)), block.rows.column("item_id").take(pa.array(short)), pa.array(own, pa.list_(pa.int64())), pa.array(words.counts[short]), pa.array(first - words.first[short])], ["finger", "item_id", "words", "size", "pivot"]
                 )
 
-    tested = cluster.written(tests.mapInArrow(test_rows, "finger long, item_id string, words binary, size long, pivot long"), "fingers")
+    tested = cluster.written(tests.mapInArrow(worker.tended("benchmark", test_rows), "finger long, item_id string, words array<bigint>, size long, pivot long"), "fingers")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +122,7 @@ def find(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
     bitmap = np.zeros(BITS // 64, np.int64)
-    for r in tested.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():  # 65536 rows at most
+    for r in tested.mapInArrow(worker.tended("benchmark", bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():  # 65536 rows at most
         bitmap[r.word] = r.bits
     sent = spark.sparkContext.broadcast(bitmap.view(np.uint64))
 
@@ -155,45 +155,26 @@ def find(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(len(block))), block.rows.column("doc_id"), pa.array(words.counts), hits, *([block.rows.column("carry")] if carry else [])], names)
                 uid += len(block)
 
-    kinds = f"uid long, doc_id {doc_kind}, n_words long, hits array<struct<finger:bigint,place:bigint,around:binary>>" + (f", carry {flat.schema['carry'].dataType.simpleString()}" if carry else "")
-    rows = flat.mapInArrow(doc_rows, kinds)
+    kinds = f"uid long, doc_id {doc_kind}, n_words long, hits array<struct<finger:bigint,place:bigint,around:array<bigint>>>" + (f", carry {flat.schema['carry'].dataType.simpleString()}" if carry else "")
+    rows = flat.mapInArrow(worker.tended("benchmark", doc_rows), kinds)
     keep = ["uid", "doc_id", "n_words", *["carry"] * bool(carry)]
     rows = rows.select(*keep, F.explode_outer("hits").alias("hit")).select(*keep, "hit.finger", "hit.place", "hit.around")
     # A document without candidates joins under a key of its own, not all under one.
     rows = rows.withColumn("finger", F.coalesce("finger", F.xxhash64("uid")))
     joined = rows.join(tested, "finger", "left")
-    kept = [*keep, "item_id", "place", "lo", "hi"]
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = window - 1  # place of the hit within the document's words
-        for batch in batches:
-            lo, hi = [], []
-            for a, b, size, pivot in zip(*(batch.column(c).to_pylist() for c in ("around", "words", "size", "pivot")), strict=True):
-                if a is None or b is None:
-                    lo.append(None)
-                    hi.append(None)
-                    continue
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                span = x[left - pivot : left - pivot + len(y)]
-                same = (span == y[: len(span)]) & (span != 0)
-                i = pivot
-                if not same[i]:
-                    lo.append(None)
-                    hi.append(None)
-                    continue
-                while i > 0 and same[i - 1]:
-                    i -= 1
-                j = pivot + 1
-                while j < len(same) and same[j]:
-                    j += 1
-                ok = j - i >= size
-                lo.append(i - pivot if ok else None)
-                hi.append(j - pivot if ok else None)
-            cols = [batch.column(c) for c in [*keep, "item_id", "place"]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], kept)
-
-    by_name = {f.name: f.dataType.simpleString() for f in joined.schema}
-    spans = joined.mapInArrow(extend, ", ".join(f"{c} {by_name.get(c, 'bigint')}" for c in kept))
+    # The words around a candidate against those of the item, as far as the
+    # fingerprint carries them; then the run of equal ones through the hit itself.
+    left = F.lit(window - 1)  # place of the hit within the document's words
+    same = F.zip_with(F.slice("around", left - F.col("pivot") + 1, F.col("size_")), "words", lambda x, y: (x == y) & (x != 0))
+    joined = joined.withColumn("size_", F.size("words")).withColumn("same", same)
+    pivot = F.col("pivot").cast("int")
+    before = F.array_position(F.reverse(F.slice("same", 1, pivot)), False)
+    after = F.array_position(F.slice("same", pivot + 2, F.greatest(F.col("size_") - pivot - 1, F.lit(0))), False)
+    lo = F.when(before == 0, -pivot).otherwise(1 - before)
+    hi = F.when(after == 0, F.col("size_") - pivot).otherwise(after)
+    spans = joined.select(*keep, "item_id", "place", F.col("size"), F.coalesce(F.element_at("same", pivot + 1), F.lit(False)).alias("there"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    ok = F.col("there") & (F.col("hi") - F.col("lo") >= F.col("size"))
+    spans = spans.select(*keep, "item_id", "place", F.when(ok, F.col("lo")).alias("lo"), "hi")
     hit = F.col("lo").isNotNull()
     grouped = spans.groupBy("uid", *[c for c in keep if c not in ("uid", "carry")]).agg(
         F.array_sort(F.collect_set(F.when(hit, F.struct((F.col("place") + F.col("lo")).alias("from"), (F.col("place") + F.col("hi")).alias("to"))))).alias("spans"),

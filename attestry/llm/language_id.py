@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm import cluster
+from attestry.llm import cluster, worker
 from attestry.llm.text import Block, blocks
 
 BUCKETS = 1 << 15
@@ -57,6 +57,9 @@ def _fold() -> tuple[np.ndarray, np.ndarray]:
     return fold, letter
 
 
+worker.caching(_fold.cache_clear)
+
+
 def points(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Folded code points, row bounds, and which rows have a letter."""
     fold, letter = _fold()
@@ -125,7 +128,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
         return pa.table({"lang": [table.column("lang")[0].as_py()], "chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "docs": [sum(table.column("docs").to_pylist())], "counts": pa.array([total.tobytes()], pa.binary())})
 
     kind = "lang string, chunk int, docs long, counts binary"
-    parts = flat.mapInArrow(count, kind).groupBy("lang", "chunk").applyInArrow(add, kind).collect()  # languages x buckets / 1024 rows
+    parts = flat.mapInArrow(worker.tended("language", count), kind).groupBy("lang", "chunk").applyInArrow(add, kind).collect()  # languages x buckets / 1024 rows
     langs = sorted({r.lang for r in parts})
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
@@ -159,9 +162,10 @@ def score(block: Block, table: np.ndarray, buckets: int) -> tuple[np.ndarray, np
     return out, has
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_column: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (posterior of that language), and a
-    struct ``carry`` of further columns if any are named."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_column: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """``doc_id``, ``lang_pred``, ``score`` (posterior of that language), a
+    struct ``carry`` of further columns if any are named, and with ``with_text``
+    the ``text``, which crosses to the worker once."""
     spark = docs.sparkSession
     cluster.prepare(spark)
     langs, table = model
@@ -169,8 +173,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_column: str
     sent = spark.sparkContext.broadcast((langs, table))
     extra = [F.struct(*[F.col(c) for c in carry]).alias("carry")] if carry else []
     flat = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), *extra)
-    names = ["doc_id", "lang_pred", "score", *["carry"] * bool(carry)]
-    kinds = f"doc_id {flat.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + (f", carry {flat.schema['carry'].dataType.simpleString()}" if carry else "")
+    names = ["doc_id", "lang_pred", "score", *["carry"] * bool(carry), *["text"] * with_text]
+    kinds = f"doc_id {flat.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + (f", carry {flat.schema['carry'].dataType.simpleString()}" if carry else "") + ", text string" * with_text
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = sent.value
@@ -184,9 +188,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_column: str
                     sure = np.where(has, sure, 0.0)
                 else:
                     said, sure = ["und"] * len(block), np.zeros(len(block))
-                yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(said, pa.string()), pa.array(sure), *([block.rows.column("carry")] if carry else [])], names)
+                yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(said, pa.string()), pa.array(sure), *([block.rows.column("carry")] if carry else []), *([block.rows.column("text")] if with_text else [])], names)
 
-    return flat.mapInArrow(rows, kinds)
+    return flat.mapInArrow(worker.tended("language", rows), kinds)
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
