@@ -25,8 +25,8 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (null and empty ones too), or of no sure
     language, go; the others stay as they are."""
-    said = language_id.predict(docs, language_id.train(docs), carry=COLUMNS)
-    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("carry.*")
+    said = language_id.predict(docs, language_id.train(docs), carry=("lang", "source", "n_chars"), with_text=True)
+    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("doc_id", "text", "carry.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
