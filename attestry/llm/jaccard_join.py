@@ -279,7 +279,8 @@ def join_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     best = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "sig", "row")).alias("best")).select("doc_id", "best.*")
     best = cluster.written(best, "documents")
     alive = best.where("sig is not null")
-    reps = alive.groupBy("sig").agg(F.min(F.struct("doc_id", "row")).alias("rep"))
+    # A table of its own: so the join below is a plain one, which Spark can split at a hot set.
+    reps = cluster.written(alive.groupBy("sig").agg(F.min(F.struct("doc_id", "row")).alias("rep")), "reps")
     same = alive.join(reps, "sig").select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b"))
     chosen = reps.select(F.col("rep.doc_id").alias("id"), F.col("rep.row").alias("row"))
     sets = found.where("sig is not null").select(F.col("doc_id").alias("id"), "row", "own", "shingles").join(chosen, ["id", "row"], "left_semi")
