@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestry.functions.numbers import bound
+
 EASTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 WESTERN_DIGITS = "01234567890123456789"
 ALEF_VARIANTS = "آأإٱ"
@@ -167,18 +169,34 @@ def clean_numeric_id(text) -> Column:
     return F.regexp_replace(F.translate(F.upper(western_digits(text)), "ODQI|SBZG", "000115826"), "[^0-9]", "")
 
 
+#: Affixes that the light stemmer takes off, the first that fits.
+ENGLISH_SUFFIXES = ("ing", "edly", "ed", "ly", "es", "s", "ment", "tion", "ness", "ity", "er", "or", "ist")
+ARABIC_PREFIXES = ("ال", "و", "ف", "ب", "ل", "ك", "من", "في", "على", "الي", "هذا", "تلك")
+ARABIC_SUFFIXES = ("ة", "ه", "ي", "نا", "كم", "هم", "هن", "كان", "ون", "ين", "ات", "ين")
+
+
 def tokens(text) -> Column:
-    return F.filter(F.split(F.lower(_col(text)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 1)
+    """Lower-cased runs of letters and digits."""
+    return F.filter(F.split(F.lower(_col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def stem(word: Column) -> Column:
-    """Drops the first matching suffix of words over four letters."""
-    out = None
-    for suffix in ("ing", "tion", "ies", "ed", "es", "s"):
-        hit = word.endswith(suffix) & (F.length(word) - len(suffix) >= 3)
-        cut = F.left(word, F.length(word) - len(suffix))
-        out = F.when(hit, cut) if out is None else out.when(hit, cut)
-    return out.otherwise(word)
+    """Light stem: of an Arabic word one prefix and one suffix go, of any other
+    one suffix, where three letters and more are left.  Words under three letters
+    stay."""
+
+    def off(w: Column, affixes: tuple[str, ...], pattern: str) -> Column:
+        """The word less its first fitting affix."""
+        return F.regexp_replace(w, pattern.replace("AFFIX", "|".join(affixes)), "$1")
+
+    def cut(w: Column) -> Column:
+        arabic = off(off(w, ARABIC_PREFIXES, "^(?:AFFIX)(?=.{3})(.*)$"), ARABIC_SUFFIXES, "^(.{3,}?)(?:AFFIX)$")
+        out = F.when(F.length(w) < 3, w).when(w.rlike("[\u0600-\u06FF]"), arabic)
+        for suffix in ENGLISH_SUFFIXES:
+            out = out.when(w.endswith(suffix) & (F.length(w) > len(suffix) + 2), F.left(w, F.length(w) - len(suffix)))
+        return out.otherwise(w)
+
+    return bound(F.lower(word), cut)
 
 
 def strip_tags(html) -> Column:

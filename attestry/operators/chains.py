@@ -34,7 +34,7 @@ def build(events: DataFrame, key: str, order: list[str], payload: str) -> DataFr
     return out.select(key, "idx", *[F.col(f"x.{c}").alias(c) for c in order], F.col("x._payload").alias(payload), F.element_at("h", F.col("idx") + 1).alias("prev_hash"), F.element_at("h", F.col("idx") + 2).alias("hash"))
 
 
-def verify(chain: DataFrame, key: str, payload: str, idx: str = "idx") -> DataFrame:
+def checked(chain: DataFrame, key: str, payload: str, idx: str = "idx") -> DataFrame:
     """By key: entries, ``first_broken`` index (null if none) and ``intact``.
 
     Each entry is checked on its own against the one before, so all in parallel.

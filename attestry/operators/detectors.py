@@ -60,7 +60,7 @@ def mask_3d(depth) -> Column:
     at = F.when(F.size(d) > 1, F.sequence(F.lit(2), F.size(d))).otherwise(F.array().cast("array<int>"))
     breaks = lambda m: F.size(F.filter(at, lambda i: F.abs(F.element_at(d, i) - F.element_at(d, i - 1)) > m * 2)) / F.size(d)
     score = with_stats(d, lambda m, s: _steps((ratio(s, m) < 0.05, 0.4), (ratio(s, m) < 0.1, 0.2)) + _steps((breaks(m) > 0.1, 0.3)))
-    return F.when(_given(d), _signal("mask_3d", score, evidence_strength(d))).otherwise(_fixed("mask_3d", 0.1, 0.1))
+    return F.when(_given(d), _signal("3d_mask", score, evidence_strength(d))).otherwise(_fixed("3d_mask", 0.1, 0.1))
 
 
 def screen_replay(spectrum) -> Column:
@@ -84,7 +84,7 @@ def print_attack(texture) -> Column:
         return _steps((even & (F.size(peaks) >= 5), 0.4), (F.size(peaks) >= 5, 0.15))
 
     score = flat + bound(local_peaks(v), regular)
-    return F.when(_given(v), _signal("print", score, evidence_strength(v))).otherwise(_fixed("print", 0.1, 0.1))
+    return F.when(_given(v), _signal("print_attack", score, evidence_strength(v))).otherwise(_fixed("print_attack", 0.1, 0.1))
 
 
 def silicone(ridges) -> Column:
@@ -95,7 +95,7 @@ def silicone(ridges) -> Column:
         dips = bound(_share(v, lambda x: x < m - s), lambda r: _steps((r < 0.02, 0.35), (r < 0.05, 0.15)))
         return flat + dips + _steps((F.size(F.filter(v, lambda x: x > m + 3 * s)) >= 3, 0.25))
 
-    return F.when(_given(v), _signal("silicone", with_stats(v, score), evidence_strength(v))).otherwise(_fixed("silicone", 0.1, 0.1))
+    return F.when(_given(v), _signal("silicone_finger", with_stats(v, score), evidence_strength(v))).otherwise(_fixed("silicone_finger", 0.1, 0.1))
 
 
 def fgsm(gradient, epsilon) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.numbers import centre_distance, iou
+from attestry.functions.numbers import centre_distance, clamp, half_up, iou
 from attestry.functions.text import canonical, clean_numeric_id
 
 
@@ -55,19 +55,36 @@ def repaired_id(df: DataFrame, key: str, raw: str, size: int, check) -> DataFram
     return df.join(best, key, "left").select(*df.columns, F.col("b.candidate").alias("repaired"), (~F.col("b.bad")).alias("repaired_ok"))
 
 
-def explained(factors: list[tuple[str, Column]]) -> Column:
-    """Signed contributions that apply, their sum and a verdict."""
-    some = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(0.0)) != 0, F.struct(F.lit(n).alias("factor"), c.alias("contribution"))) for n, c in factors]))
+#: What each finding adds to an explained score (times 20 points).
+FACTORS = {
+    "AI Consensus Agreement": 0.3, "AI Consensus Agreement (2)": 0.15, "AI Consensus Disagreement": -0.2, "Provider Diversity": 0.05, "OCR Correction Applied": 0.05,
+    "ID Checksum Valid": 0.1, "ID Format Invalid": -0.15, "ID Checksum Mismatch": -0.1, "Cross-Field Critical Flag": -0.2, "Cross-Field Consistency": 0.1, "Cross-Field Inconsistency": -0.1,
+    "Fraud Probability": -0.15, "Image Blur": -0.1, "Glare Detected": -0.05, "Lighting": -0.05, "Good Image Quality": 0.05, "Liveness Challenge Met": 0.1, "Liveness Challenge Failed": -0.15,
+    "Anti-Spoofing Passed": 0.05, "Document Tampering Detected": -0.3, "No Tampering Detected": 0.05,
+}
+
+
+def explained(doc_confidence: Column, face: Column, live: Column, found: list[tuple[str, Column]]) -> Column:
+    """Base of document (0..1), face and liveness (0..100) by 30, 40 and 30
+    percent, findings that hold (names of FACTORS, conditions), and the score in
+    whole points of 0 to 100."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    some = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(name.split(" (")[0]).alias("factor"), F.lit(FACTORS[name]).alias("contribution"))) for name, when in found]))
     total = F.aggregate(some, F.lit(0.0), lambda s, x: s + x["contribution"])
-    return F.struct(some.alias("factors"), F.round(total, 4).alias("score"), F.when(total >= 0.5, "approve").when(total >= 0.0, "review").otherwise("reject").alias("verdict"))
+    base = zero(doc_confidence) * 100 * 0.3 + zero(face) * 0.4 + zero(live) * 0.3
+    return F.struct(some.alias("factors"), half_up(base).alias("base"), half_up(total * 20).alias("adjustment"), clamp(half_up(base + total * 20), 0.0, 100.0).alias("score"))
+
+
+def consensus_findings(agreeing: Column, providers: Column) -> list[tuple[str, Column]]:
+    return [("AI Consensus Agreement", agreeing >= 3), ("AI Consensus Agreement (2)", agreeing == 2), ("AI Consensus Disagreement", agreeing < 2), ("Provider Diversity", providers > 0)]
 
 
-def consensus_factor(agreeing: Column) -> Column:
-    return F.when(agreeing >= 3, 0.3).when(agreeing >= 2, 0.15).otherwise(-0.2)
+def id_findings(valid: Column, checksum: Column) -> list[tuple[str, Column]]:
+    return [("ID Checksum Valid", checksum), ("ID Format Invalid", ~checksum & ~valid), ("ID Checksum Mismatch", ~checksum & valid)]
 
 
-def id_factor(valid: Column, checksum: Column) -> Column:
-    return F.when(checksum, 0.1).when(~valid, -0.15).otherwise(-0.1)
+def cross_field_findings(critical: Column, consistency: Column, fraud: Column) -> list[tuple[str, Column]]:
+    return [("Cross-Field Critical Flag", critical), ("Cross-Field Consistency", ~critical & (consistency >= 0.8)), ("Cross-Field Inconsistency", ~critical & (consistency > 0) & (consistency < 0.5)), ("Fraud Probability", fraud > 0.3)]
 
 
 def other_documents(docs: DataFrame, user: str = "user_id", doc: str = "doc_id") -> DataFrame:

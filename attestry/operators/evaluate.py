@@ -64,6 +64,31 @@ def gauges(rows: DataFrame, name: str, labels: Column, value: str, ts: str, orde
 
 
 def health(rows: DataFrame, passed: str) -> DataFrame:
-    """Share of passed checks in percent, with a verdict."""
-    score = half_up(100 * F.avg(F.col(passed).cast("int")))
-    return rows.agg(score.alias("score")).withColumn("verdict", F.when(F.col("score") >= 95, "healthy").when(F.col("score") >= 80, "degraded").when(F.col("score") >= 50, "impaired").otherwise("down"))
+    """Share of passed checks in whole percent, with a verdict."""
+    score = half_up(100 * F.avg(F.col(passed).cast("int")), 0)
+    return rows.agg(score.alias("score")).withColumn("verdict", F.when(F.col("score") == 100, "PERFECT HARMONY").when(F.col("score") >= 80, "GOOD").when(F.col("score") >= 60, "DEGRADED").otherwise("CRITICAL"))
+
+
+def verification_summary(rows: DataFrame, now: Column, days: int) -> DataFrame:
+    """``metric``, ``key``, ``value`` of records (status, doc_type, created_at,
+    doc, face, live, image), from one aggregation.
+
+    Totals, counts and whole percents by status, counts of the last ``days``,
+    averages with nulls as 0, counts by type, and the last 24 hours by hour of day,
+    with a row for each hour.
+    """
+    recent = F.col("created_at") > now - F.make_dt_interval(F.lit(days))
+    day = (F.col("created_at") > now - F.make_dt_interval(F.lit(1))).alias("day")
+    by = rows.select("*", recent.alias("recent"), day, F.hour("created_at").alias("hour"))
+    zero = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(c)
+    # Few groups: statuses x types x hours.
+    small = by.groupBy("status", "doc_type", F.when(F.col("day"), F.col("hour")).alias("hour")).agg(F.count("*").alias("n"), F.count_if("recent").alias("r"), *map(zero, ("doc", "face", "live", "image")))
+    n = F.sum("n").cast("double")
+    of = lambda s, c="n": F.coalesce(F.sum(F.when(F.col("status") == s, F.col(c))), F.lit(0)).cast("double")
+    row = lambda metric, key, value: F.struct(F.lit(metric).alias("metric"), F.lit(key).alias("key"), F.round(value, 6).alias("value"))
+    cells = [row("total", "", F.coalesce(n, F.lit(0.0))), row("recent", "", F.coalesce(F.sum("r"), F.lit(0)).cast("double"))]
+    cells += [row("count", s, of(s)) for s in ("verified", "failed", "pending")] + [row("rate", s, half_up(ratio(100 * of(s), n))) for s in ("verified", "failed")]
+    cells += [row("recent_status", s, of(s, "r")) for s in ("verified", "failed", "pending")] + [row("average", c, ratio(F.sum(c), n)) for c in ("doc", "face", "live", "image")]
+    cells += [row("hour", f"{h:02d}", F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("n"))), F.lit(0)).cast("double")) for h in range(24)]
+    whole = small.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    return whole.unionByName(small.groupBy("doc_type").agg(n.alias("value")).select(F.lit("type").alias("metric"), F.col("doc_type").alias("key"), "value"))

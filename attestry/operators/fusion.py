@@ -19,7 +19,7 @@ BASE_WEIGHTS = {"medium": (0.35, 0.20, 0.15, 0.25, 0.05), "high": (0.40, 0.20, 0
 DEVICE_SHIFT = {"mobile": (-0.03, -0.02, 0.05, 0.0, 0.0), "desktop": (0.03, 0.0, -0.05, 0.0, 0.02), "kiosk": (0.0, -0.05, -0.08, 0.03, 0.10)}
 
 #: Ensemble weights of attack types.
-ATTACK_WEIGHTS = {"deepfake": 1.4, "mask_3d": 1.3, "screen_replay": 1.1, "print": 0.9, "silicone": 1.2, "hybrid": 1.2, "fgsm": 1.0, "perturbation": 1.0}
+ATTACK_WEIGHTS = {"deepfake": 1.2, "3d_mask": 1.1, "silicone_finger": 1.0, "screen_replay": 1.0, "print_attack": 0.9, "hybrid": 1.3, "fgsm": 1.4, "perturbation": 1.0}
 
 
 def _c(name: str) -> Column:
@@ -157,19 +157,22 @@ def detector_confidence(score: Column, evidence: Column) -> Column:
 
 
 def ensemble(detections) -> Column:
-    """Detections (type, score, confidence) to score, verdict, band and top types."""
+    """Detections (type, score, confidence) to score, verdict, band, action and
+    fingerprint: the types of score 0.2 and more among the three detections with
+    the largest score x confidence (ties in order)."""
     d = F.col(detections) if isinstance(detections, str) else detections
     weight = F.map_from_arrays(F.array(*map(F.lit, ATTACK_WEIGHTS)), F.array(*map(F.lit, ATTACK_WEIGHTS.values())))
     w = lambda x: F.coalesce(F.try_element_at(weight, x["type"]), F.lit(1.0)) * x["confidence"]
     score = clamp(ratio(F.aggregate(d, F.lit(0.0), lambda s, x: s + x["score"] * w(x)), F.aggregate(d, F.lit(0.0), lambda s, x: s + w(x))))
-    kinds = F.array_distinct(F.transform(F.filter(d, lambda x: x["score"] >= 0.5), lambda x: x["type"]))
-    ranked = F.transform(F.array_sort(F.transform(F.filter(d, lambda x: x["score"] * x["confidence"] >= 0.2), lambda x: F.struct((-x["score"] * x["confidence"]).alias("k"), x["type"].alias("type")))), lambda x: x["type"])
+    ranked = F.array_sort(F.transform(d, lambda x, i: F.struct((-x["score"] * x["confidence"]).alias("k"), i.alias("i"), x["type"].alias("type"), x["score"].alias("score"))))
+    kinds = F.array_distinct(F.transform(F.filter(F.slice(ranked, 1, 3), lambda x: x["score"] >= 0.2), lambda x: x["type"]))
     return F.struct(
         score.alias("score"),
         (score >= 0.5).alias("adversarial"),
         F.when(score >= 0.7, "critical").when(score >= 0.5, "high").when(score >= 0.3, "medium").otherwise("low").alias("band"),
         clamp(mean(F.transform(d, lambda x: x["confidence"])) + F.when(F.size(kinds) >= 2, 0.15).otherwise(0.0)).alias("confidence"),
-        F.slice(F.array_distinct(ranked), 1, 3).alias("fingerprint"),
+        kinds.alias("fingerprint"),
+        F.when(score >= 0.7, "reject").when(score >= 0.3, "review").otherwise("allow").alias("action"),
     )
 
 
@@ -181,12 +184,6 @@ def local_peaks(values) -> Column:
     return F.when(F.size(v) < 3, F.array().cast("array<int>")).otherwise(with_stats(v, lambda m, s: high(m + s)))
 
 
-def liveness(*signals: Column) -> Column:
-    """Weighted mean of (1 - s) over the five signals; live below 0.5."""
-    w = (0.20, 0.20, 0.15, 0.25, 0.20)
-    return _sum(*[(1 - s) * x for s, x in zip(signals, w, strict=True)]) / sum(w)
-
-
 def tampering(exif: Column, ela: Column, noise: Column, clone: Column) -> Column:
     return F.least(F.lit(1.0), 0.2 * exif + 0.3 * ela + 0.25 * noise + 0.35 * clone)
 

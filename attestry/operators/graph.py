@@ -1,18 +1,22 @@
 """Identity graph: upserts, hops, rings, trust and signals.
 
-``nodes``: id, type, trust, first_seen, last_seen.  ``edges``: src, dst, type,
-weight, evidence, last_seen.  Edges count in both directions.
+``nodes``: id, type, trust, first_seen, last_seen and, where there are any,
+attributes (a map; places have lat and lon).  ``edges``: src, dst, type, weight,
+evidence, last_seen.  Edges count in both directions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.numbers import clamp
+from attestry.functions.numbers import clamp, haversine_km
 
 #: Edge types that speak against a person (fixed values).
-SUSPICIOUS = ("shared_device", "shared_document", "shared_biometric", "same_ip", "same_address", "same_phone")
+SUSPICIOUS = ("document_reuse", "shares_device", "shares_ip", "shares_email", "shares_phone", "biometric_match")
 
 
 def upsert_edges(edges: DataFrame) -> DataFrame:
@@ -23,6 +27,12 @@ def upsert_edges(edges: DataFrame) -> DataFrame:
 def upsert_nodes(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """One node for each id; endpoints that no row names become persons of
     trust 0.5."""
+    if "attributes" in nodes.columns:
+        # Key by key the value seen last.
+        each = nodes.select("id", "last_seen", F.explode("attributes").alias("key", "value"))
+        last = each.groupBy("id", "key").agg(F.max_by("value", F.struct("last_seen", "value")).alias("value"))
+        maps = last.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attributes"))
+        return upsert_nodes(nodes.drop("attributes"), edges).join(maps, "id", "left")
     merged = nodes.groupBy("id").agg(F.min_by("type", "first_seen").alias("type"), F.min("trust").alias("trust"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
     if edges is None:
         return merged
@@ -37,11 +47,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder; one of our own only if all tasks run here."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="attestry-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="attestry-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -80,45 +94,91 @@ def fraud_rings(nodes: DataFrame, edges: DataFrame, min_size: int = 3, max_trust
     """Components over suspicious edges with enough nodes of low mean trust."""
     bad = edges.where(F.col("type").isin(*SUSPICIOUS))
     member = components(bad).join(nodes.select("id", "trust"), "id", "left")
-    rings = member.groupBy("component").agg(F.count("*").alias("size"), F.avg(F.coalesce("trust", F.lit(0.5))).alias("mean_trust"), F.array_sort(F.collect_set("id")).alias("members"))
+    rings = member.groupBy("component").agg(F.count("*").alias("size"), F.avg(F.coalesce("trust", F.lit(0.5))).alias("mean_trust"), F.array_sort(F.collect_list("id")).alias("members"))
     return rings.where((F.col("size") >= min_size) & (F.col("mean_trust") < max_trust))
 
 
-def hub_reuse(edges: DataFrame, nodes: DataFrame, hub: str) -> DataFrame:
-    """``id`` of hubs of one type and the distinct persons linked to each."""
-    typed = both_ways(edges).join(nodes.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a").join(nodes.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b")
-    return typed.where((F.col("ta") == hub) & (F.col("tb") == "person")).groupBy(F.col("a").alias("id")).agg(F.count_distinct("b").alias("persons"))
+def _typed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges both ways with the far node: a, b, type, last_seen, kind_b, trust_b."""
+    far = nodes.select(F.col("id").alias("b"), F.col("type").alias("kind_b"), F.col("trust").alias("trust_b"))
+    return both_ways(edges).select("a", "b", "type", "last_seen").join(far, "b", "left")
+
+
+def hub_reuse(edges: DataFrame, nodes: DataFrame, hub: str, types: tuple[str, ...] | None = None, below: float | None = None) -> DataFrame:
+    """``id`` of hubs of one type and the distinct persons linked to each, over
+    edges of some types, and persons with a trust ``below`` a limit, if given."""
+    ways = _typed(edges, nodes).where("kind_b = 'person'")
+    ways = ways.where(F.col("type").isin(*types)) if types else ways
+    ways = ways.where(F.col("trust_b") < below) if below is not None else ways
+    hubs = nodes.where(F.col("type") == hub).select(F.col("id").alias("a"))
+    return ways.join(hubs, "a", "left_semi").groupBy(F.col("a").alias("id")).agg(F.count_distinct("b").alias("persons"))
 
 
-def trust_scores(nodes: DataFrame, edges: DataFrame, as_of) -> DataFrame:
-    """Trust of persons from age, suspicious edges, bad neighbours and documents.
+def trust_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Trust of each node: 0.5, and from it the time between first and last seen
+    (up to 0.2), suspicious edges, far ends of those with trust under 0.3,
+    document reuse, and biometric matches with persons: one is in favour, more
+    are against.
 
-    A pure function of the nodes given: no score depends on another new one.
+    A pure function of the trust given: no score depends on another new one.
     """
-    ways = both_ways(edges).join(nodes.select(F.col("id").alias("b"), F.col("trust").alias("tb"), F.col("type").alias("kb")), "b", "left")
-    sums = ways.groupBy(F.col("a").alias("id")).agg(
-        F.count_if(F.col("type").isin(*SUSPICIOUS)).alias("susp"),
-        F.count_if(F.col("tb") < 0.3).alias("bad"),
-        F.count_distinct(F.when(F.col("kb") == "document", F.col("b"))).alias("docs"),
+    kind = F.col("type")
+    sums = _typed(edges, nodes).groupBy(F.col("a").alias("id")).agg(
+        F.count_if(kind.isin(*SUSPICIOUS)).alias("suspicious"),
+        F.count_if(kind.isin(*SUSPICIOUS) & (F.col("trust_b") < 0.3)).alias("bad"),
+        F.count_if(kind == "document_reuse").alias("reuse"),
+        F.count_if((kind == "biometric_match") & (F.col("kind_b") == "person")).alias("matches"),
     )
-    age = F.datediff(as_of, F.col("first_seen"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    score = 0.5 + F.least(F.lit(0.2), age / 365 * 0.2) - F.least(F.lit(0.3), 0.1 * zero("susp")) - F.least(F.lit(0.4), 0.2 * zero("bad")) - F.least(F.lit(0.3), 0.1 * F.greatest(zero("docs") - 1, F.lit(0)))
-    return nodes.where("type = 'person'").join(sums, "id", "left").select("id", clamp(score).alias("score"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    days = (F.unix_micros(F.col("last_seen").cast("timestamp")) - F.unix_micros(F.col("first_seen").cast("timestamp"))) / 86_400_000_000
+    age = F.greatest(F.lit(0.0), F.least(F.lit(0.2), days / 365 * 0.2))
+    biometric = F.when(n("matches") == 1, 0.05).when(n("matches") > 1, -F.least(F.lit(0.2), 0.1 * n("matches"))).otherwise(0.0)
+    score = 0.5 + F.coalesce(age, F.lit(0.0)) - F.least(F.lit(0.3), 0.1 * n("suspicious")) - F.least(F.lit(0.4), 0.2 * n("bad")) - F.least(F.lit(0.3), 0.1 * n("reuse")) + biometric
+    return nodes.join(sums, "id", "left").select("id", clamp(score).alias("score"))
+
+
+def impossible_trips(nodes: DataFrame, edges: DataFrame, kmh: float = 900.0, least_km: float = 5.0) -> DataFrame:
+    """``id`` of persons whose co-located places, in order of time, follow each
+    other faster than ``kmh``."""
+    place = nodes.where("type = 'location'").select(F.col("id").alias("b"), F.col("attributes")["lat"].try_cast("double").alias("lat"), F.col("attributes")["lon"].try_cast("double").alias("lon"))
+    at = both_ways(edges).where("type = 'co-located'").select("a", "b", F.unix_micros(F.col("last_seen").cast("timestamp")).alias("us"))
+    at = at.join(place.where("lat is not null and lon is not null"), "b").join(nodes.where("type = 'person'").select(F.col("id").alias("a")), "a", "left_semi")
+    w = Window.partitionBy("a").orderBy("us", "b")
+    before = lambda c: F.lag(c).over(w)
+    steps = at.select("a", (F.col("us") - before("us")).alias("dt"), haversine_km(before("lat"), before("lon"), F.col("lat"), F.col("lon")).alias("km"))
+    return steps.where((F.col("dt") > 0) & (F.col("km") >= least_km) & (F.col("km") / (F.col("dt") / 3.6e9) > kmh)).select(F.col("a").alias("id")).distinct()
+
+
+def bursts(edges: DataFrame, most: int = 10, hours: float = 1.0) -> DataFrame:
+    """``id`` of nodes with more than ``most`` edges last seen within some hours."""
+    w = Window.partitionBy("a").orderBy("us")
+    at = both_ways(edges).select("a", F.unix_micros(F.col("last_seen").cast("timestamp")).alias("us")).where("us is not null")
+    return at.select("a", (F.col("us") - F.lag("us", most).over(w)).alias("span")).where(F.col("span") <= hours * 3.6e9).select(F.col("a").alias("id")).distinct()
 
 
 def risk_signals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``signal``, ``id``, ``severity``: reuse of hubs, isolated persons, mules."""
-    out = []
-    for hub, name, high, critical in (("device", "device_reuse", 2, 5), ("document", "document_reuse", 2, 3), ("biometric", "biometric_duplicate", 2, 3)):
-        reuse = hub_reuse(edges, nodes, hub).where(F.col("persons") >= high)
-        out.append(reuse.select(F.lit(name).alias("signal"), "id", F.when(F.col("persons") >= critical, "critical").otherwise("high").alias("severity")))
-    alone = nodes.where("type = 'person'").join(both_ways(edges).select(F.col("a").alias("id")).distinct(), "id", "left_anti")
-    out.append(alone.select(F.lit("synthetic_identity").alias("signal"), "id", F.lit("medium").alias("severity")))
-    low = nodes.where("type = 'person' and trust < 0.4").select("id", "type", "trust", "first_seen", "last_seen").unionByName(nodes.where("type = 'device'").select("id", "type", "trust", "first_seen", "last_seen"))
-    mules = hub_reuse(edges, low, "device").where("persons >= 3")
-    out.append(mules.select(F.lit("mule_pattern").alias("signal"), "id", F.lit("critical").alias("severity")))
-    total = out[0]
-    for more in out[1:]:
-        total = total.unionByName(more)
-    return total
+    """``signal``, ``id``, ``severity``: the eight signals of a node's edges."""
+
+    def found(name: str, ids: DataFrame, severity: Column) -> DataFrame:
+        return ids.select(F.lit(name).alias("signal"), "id", severity.alias("severity"))
+
+    known = F.col("type").isin("verified_same_person", "document_reuse", "shares_device", "shares_ip", "biometric_match")
+    alone = nodes.where("type = 'person'").join(both_ways(edges).where(known).select(F.col("a").alias("id")), "id", "left_anti")
+    out = [found("synthetic_identity", alone, F.lit("medium"))]
+    out.append(found("fraud_ring_member", fraud_rings(nodes, edges).select(F.explode("members").alias("id")), F.lit("critical")))
+    for hub, name, kind, critical in (("device", "device_reuse", "shares_device", 5), ("document", "document_reuse", "document_reuse", 3), ("biometric", "biometric_duplicate", "biometric_match", 3)):
+        out.append(found(name, hub_reuse(edges, nodes, hub, (kind,)).where("persons >= 2"), F.when(F.col("persons") >= critical, "critical").otherwise("high")))
+    if "attributes" in nodes.columns:
+        out.append(found("impossible_travel", impossible_trips(nodes, edges), F.lit("critical")))
+    out.append(found("velocity_attack", bursts(edges).join(nodes.select("id"), "id", "left_semi"), F.lit("high")))
+    out.append(found("mule_pattern", hub_reuse(edges, nodes, "device", ("shares_device", "shares_ip"), 0.4).where("persons >= 3"), F.lit("critical")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def serialized(nodes: DataFrame, edges: DataFrame, component: DataFrame) -> DataFrame:
+    """One JSON text (nodes, edges, version) for each ``component`` of ``id``s."""
+    row = lambda df: F.to_json(F.struct(*sorted(df.columns)))
+    n = nodes.withColumn("json", row(nodes)).join(component, "id").groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias("nodes"))
+    e = edges.withColumn("json", row(edges)).join(component.withColumnRenamed("id", "src"), "src").groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias("edges"))
+    text = F.concat(F.lit('{"nodes":['), "nodes", F.lit('],"edges":['), F.coalesce("edges", F.lit("")), F.lit('],"version":1}'))
+    return n.join(e, "component", "left").select("component", text.alias("graph"))

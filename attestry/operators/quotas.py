@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.operators.rules import quota_level
 
-#: The level from which a priority is deferred, and suppressed.
-DEFERRED = {"P0": 100, "P1": 100, "P2": 95, "P3": 90, "P4": 80}
-SUPPRESSED = {"P0": 101, "P1": 101, "P2": 100, "P3": 95, "P4": 90}
+#: What is deferred or suppressed at a level; all else is sent.
+DEFERRED = {"restrict": ("P3",), "emergency": ("P2", "P3", "P4"), "exhausted": ("P1", "P2", "P3", "P4")}
+SUPPRESSED = {"restrict": ("P4",)}
 
 
 def usage(actions: DataFrame, limit: int, ts: str = "ts", order: str = "event_id", period: str = "day", *by: str) -> DataFrame:
@@ -23,9 +25,10 @@ def usage(actions: DataFrame, limit: int, ts: str = "ts", order: str = "event_id
     return used.withColumn("level", quota_level(F.col("percent")))
 
 
-def verdict(priority: Column, percent: Column) -> Column:
+def verdict(priority: Column, level: Column) -> Column:
     """send, defer or suppress."""
-    def bar(table: dict[str, int]) -> Column:
-        return F.coalesce(*[F.when(priority == p, F.lit(v)) for p, v in table.items()], F.lit(80))
 
-    return F.when(percent >= bar(SUPPRESSED), "suppress").when(percent >= bar(DEFERRED), "defer").otherwise("send")
+    def listed(table: dict[str, tuple[str, ...]]) -> Column:
+        return reduce(lambda a, b: a | b, [(level == k) & priority.isin(*ps) for k, ps in table.items()])
+
+    return F.when(listed(SUPPRESSED), "suppress").when(listed(DEFERRED), "defer").otherwise("send")

@@ -91,7 +91,11 @@ def _date(c: str) -> Column:
 
 
 #: Fewest and most name parts that are usual, by country.
-NAME_PARTS = {"EG": (3, 6), "SA": (3, 6), "AE": (2, 6), "US": (2, 5), "GB": (2, 5), "FR": (2, 5), "DE": (2, 5)}
+NAME_PARTS = {
+    "EG": (3, 6), "SA": (2, 6), "AE": (2, 6), "KW": (2, 6), "QA": (2, 6), "BH": (2, 6), "OM": (2, 6), "YE": (2, 6), "JO": (2, 6), "PS": (2, 6), "LB": (3, 6), "SY": (2, 6), "IQ": (2, 6), "SD": (2, 6),
+    "LY": (2, 6), "DZ": (2, 6), "TN": (2, 6), "MA": (2, 6), "MR": (2, 6), "IR": (2, 5), "AF": (2, 5), "US": (2, 4), "GB": (2, 4), "FR": (2, 5), "DE": (2, 5), "ES": (2, 4), "IT": (2, 5), "NL": (2, 4),
+    "BE": (2, 4), "BR": (2, 6), "VN": (2, 5), "TH": (2, 5), "KH": (2, 5), "ID": (2, 5), "MY": (2, 5), "SG": (2, 5), "BD": (2, 5), "LK": (2, 5), "NP": (2, 5), "NG": (2, 5), "GH": (2, 5), "MU": (2, 5),
+}
 
 #: Patterns that an address has, by country.
 ADDRESS_PATTERNS = {"US": (r"\b[0-9]{5}(-[0-9]{4})?\b", "ADDRESS_FORMAT_US_NO_ZIP"), "CA": (r"(?i)\b[A-Z][0-9][A-Z] ?[0-9][A-Z][0-9]\b", "ADDRESS_FORMAT_CA_NO_POSTCODE"), "GB": (r"(?i)\b[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2}\b", "ADDRESS_FORMAT_GB_NO_POSTCODE")}
@@ -152,7 +156,7 @@ def cross_field(as_of: Column, grace_days: int = 180, places: dict[str, list[str
     any_other = lambda test: F.exists(others, test)
     shared = lambda a, b: F.size(F.array_intersect(_words(F.lower(a)), _words(F.lower(b))))
     both = lambda a, b: a.isNotNull() & b.isNotNull()
-    parts = F.size(_parts(F.coalesce("full_name_en", "full_name_ar")))
+    parts = F.size(_parts(F.when(has_arabic("full_name_ar"), ar).otherwise(en)))
     arabic_home = country.isin(*ARABIC_COUNTRIES)
     address = F.trim("address")
     long_address = F.length(address) >= 5
@@ -207,7 +211,7 @@ def cross_field(as_of: Column, grace_days: int = 180, places: dict[str, list[str
         flag(reduce(lambda c, kv: c.when(country == kv[0], parts > kv[1][1]), NAME_PARTS.items(), F.when(F.lit(False), False)), "NAME_TOO_LONG_FOR_COUNTRY", "info"),
         *[flag((country == cc) & long_address & ~address.rlike(pattern), code, "info") for cc, (pattern, code) in ADDRESS_PATTERNS.items()],
         flag(arabic_home & long_address & ~has_arabic("address"), "ADDRESS_FORMAT_AR_NO_ARABIC", "info"),
-        flag((country == "IR") & long_address & ~has_arabic("address"), "ADDRESS_FORMAT_IR_NO_PERSIAN", "info"),
+        flag(country.isin("IR", "AF") & long_address & ~has_arabic("address"), "ADDRESS_FORMAT_IR_NO_PERSIAN", "info"),
         flag(~F.col("photo_present"), "PHOTO_MISSING", "error"),
         flag((kind == "passport") & (since_issue > 15), "DOCUMENT_AGE_PASSPORT_TOO_OLD", "warning"),
         flag((kind != "passport") & country.isin(*INDEFINITE_COUNTRIES) & (since_issue > 50), "DOCUMENT_AGE_INDEFINITE_TOO_OLD", "warning"),
@@ -288,16 +292,16 @@ def face_signal(similarity: Column, is_match: Column, quality: Column) -> Column
 
 #: States of a source's lifecycle and where each may go.
 LIFECYCLE = {
-    "discovered": ("under_review", "rejected"),
-    "under_review": ("approved", "rejected"),
-    "approved": ("integrating", "suspended"),
-    "integrating": ("active", "suspended"),
-    "active": ("degraded", "suspended", "deprecated"),
-    "degraded": ("active", "suspended", "deprecated"),
-    "suspended": ("active", "deprecated"),
-    "deprecated": ("retired",),
-    "rejected": (),
-    "retired": (),
+    "DISCOVERED": ("UNDER_REVIEW", "REJECTED", "BLOCKED"),
+    "UNDER_REVIEW": ("APPROVED", "REJECTED", "RESTRICTED", "BLOCKED"),
+    "APPROVED": ("DOWNLOADABLE", "RESTRICTED", "REJECTED"),
+    "DOWNLOADABLE": ("DOWNLOADED", "RESTRICTED", "BLOCKED"),
+    "DOWNLOADED": ("VALIDATED", "DOWNLOADABLE", "BLOCKED"),
+    "VALIDATED": ("INTEGRATED", "DOWNLOADED", "BLOCKED"),
+    "INTEGRATED": ("VALIDATED", "DOWNLOADED", "BLOCKED"),
+    "REJECTED": ("UNDER_REVIEW", "BLOCKED"),
+    "RESTRICTED": ("UNDER_REVIEW", "APPROVED", "BLOCKED"),
+    "BLOCKED": (),
 }
 
 
@@ -315,4 +319,4 @@ def first_failing(gates: list[tuple[str, Column]]) -> Column:
 
 
 def quota_level(percent: Column) -> Column:
-    return F.when(percent >= 100, "exhausted").when(percent >= 95, "emergency").when(percent >= 90, "restrict").when(percent >= 80, "warning").when(percent >= 70, "monitoring").otherwise("normal")
+    return F.when(percent >= 100, "exhausted").when(percent >= 95, "emergency").when(percent >= 90, "restrict").when(percent >= 80, "warning").when(percent >= 70, "monitoring").otherwise("ok")

@@ -52,12 +52,12 @@ def ema(values, alpha: float = 0.3) -> Column:
 
 
 def trend(values, band: float = 0.02) -> Column:
-    """Mean of the second half against the first: rising, falling or stable."""
+    """Mean of the second half against the first: increasing, decreasing or stable."""
     values = F.col(values) if isinstance(values, str) else values
     half = F.greatest(F.lit(1), F.floor(F.size(values) / 2)).cast("int")
     avg = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
     gap = avg(F.slice(values, half + 1, F.greatest(F.size(values) - half, F.lit(1)))) - avg(F.slice(values, 1, half))
-    return F.when(F.size(values) < 2, "stable").when(gap > band, "rising").when(gap < -band, "falling").otherwise("stable")
+    return F.when(F.size(values) < 2, "stable").when(gap > band, "increasing").when(gap < -band, "decreasing").otherwise("stable")
 
 
 def shifts(events: DataFrame, key: str, value: str, ts: str = "ts", order: str = "event_id", back: int = 5, drop: float = 0.4, severe: float = 0.6) -> DataFrame:

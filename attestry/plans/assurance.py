@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.functions import text
-from attestry.functions.numbers import cosine, half_up, l2, l2_similarity
+from attestry.functions.numbers import l2, l2_similarity
 from attestry.operators import chains, fairness, fusion, graph, retrieval, rules
 from attestry.plans.common import SIGNALS_SQL, signals
 from attestry.sources.tables import read
@@ -62,22 +62,16 @@ def dempster_shafer(spark, sf_dir):
     return out.select("user_id", F.round("b.real", 6).alias("belief"), F.round("b.conflict", 6).alias("conflict"), fusion.fused_decision(F.col("b.real"), F.col("b.conflict")).alias("decision"), fusion.risk_level(F.col("b.real"), F.col("b.conflict")).alias("risk"))
 
 
-def _ds_sql() -> str:
-    """The fold over at most four items, written out step by step."""
-    out = [f"with {SIGNALS_SQL}, e as (select user_id, case when event_type = 'error' then 0 else 1 end h, least(1.0::double, greatest(0.0::double, drift)) p, row_number() over (partition by user_id order by event_id) i from signals)"]
-    out.append("m as (select *, least(0.1::double, 1 - p) u, greatest(0.0::double, 1 - p - least(0.1::double, 1 - p)) o from e where i <= 4)")
-    out.append("q as (select user_id, i, case when h = 1 then p else o end r, case when h = 1 then o else p end s, u from m)")
-    out.append("s1 as (select user_id, r, s, u, 0.0::double k from q where i = 1)")
-    for n in (2, 3, 4):
-        k = "(a.r * q.s + a.s * q.r)"
-        out.append(
-            f"s{n} as (select a.user_id, case when q.r is null then a.r when 1 - {k} > 1e-9 then (a.r * q.r + a.r * q.u + a.u * q.r) / (1 - {k}) else 0.5 end r, case when q.r is null then a.s when 1 - {k} > 1e-9 then (a.s * q.s + a.s * q.u + a.u * q.s) / (1 - {k}) else 0.5 end s, "
-            f"case when q.r is null then a.u when 1 - {k} > 1e-9 then a.u * q.u / (1 - {k}) else 0.0 end u, case when q.r is null then a.k when 1 - {k} > 1e-9 then {k} else 1.0 end k from s{n - 1} a left join q on q.user_id = a.user_id and q.i = {n})"
-        )
-    return ", ".join(out) + (
-        " select user_id, round(r / (r + s + u), 6) belief, round(k, 6) conflict, case when r / (r + s + u) >= 0.7 and k < 0.3 then 'approve' when r / (r + s + u) < 0.4 or k > 0.6 then 'reject' else 'review' end decision,"
-        " case when greatest(0, least(1, 1 - r / (r + s + u) + 0.5 * k)) < 0.2 then 'low' when 1 - r / (r + s + u) + 0.5 * k < 0.45 then 'medium' when 1 - r / (r + s + u) + 0.5 * k < 0.7 then 'high' else 'critical' end risk from s4"
-    )
+_DS_SQL = f"""with recursive {SIGNALS_SQL},
+  e as (select user_id, event_type = 'error' spoof, least(1.0::double, greatest(0.0::double, drift)) p, row_number() over (partition by user_id order by event_id) i from signals),
+  m as (select *, least(0.1::double, 1 - p) u, greatest(0.0::double, 1 - p - least(0.1::double, 1 - p)) o from e),
+  q as (select user_id, i, case when spoof then o else p end r, case when spoof then p else o end s, u from m),
+  f as (select user_id, i, r, s, u, 0.0::double k from q where i = 1
+    union all select user_id, i, case when n > 1e-9 then a / n else 0.5 end, case when n > 1e-9 then b / n else 0.5 end, case when n > 1e-9 then c / n else 0 end, case when n > 1e-9 then k else 1 end
+    from (select q.user_id, q.i, f.r * q.r + f.r * q.u + f.u * q.r a, f.s * q.s + f.s * q.u + f.u * q.s b, f.u * q.u c, f.r * q.s + f.s * q.r k, a + b + c n from f join q on q.user_id = f.user_id and q.i = f.i + 1)),
+  g as (select user_id, arg_max(r / (r + s + u), i) b, arg_max(k, i) k from f group by 1)
+  select user_id, round(b, 6) belief, round(k, 6) conflict, case when b >= 0.7 and k < 0.3 then 'approve' when b < 0.4 or k > 0.6 then 'reject' else 'review' end decision,
+  case when greatest(0, least(1, 1 - b + 0.5 * k)) < 0.2 then 'low' when 1 - b + 0.5 * k < 0.45 then 'medium' when 1 - b + 0.5 * k < 0.7 then 'high' else 'critical' end risk from g"""
 
 
 def soft_or_hybrid(spark, sf_dir):
@@ -91,10 +85,10 @@ def _scores(spark, sf_dir):
 
 
 def ensemble_verdict(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "view", "deepfake").when(F.col("event_type") == "click", "print").when(F.col("event_type") == "error", "fgsm").otherwise("silicone")
-    d = _scores(spark, sf_dir).where("event_type <> 'purchase'").groupBy("user_id").agg(F.collect_list(F.struct(kind.alias("type"), "score", F.least(F.lit(1.0), F.col("n") / 20).alias("confidence"))).alias("d"))
+    kind = F.when(F.col("event_type") == "view", "deepfake").when(F.col("event_type") == "click", "print_attack").when(F.col("event_type") == "error", "fgsm").otherwise("silicone_finger")
+    d = _scores(spark, sf_dir).where("event_type <> 'purchase'").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(kind.alias("type"), "score", F.least(F.lit(1.0), F.col("n") / 20).alias("confidence")))).alias("d"))
     out = d.select("user_id", fusion.ensemble("d").alias("v"))
-    return out.select("user_id", F.round("v.score", 4).alias("score"), "v.adversarial", "v.band")
+    return out.select("user_id", F.round("v.score", 4).alias("score"), "v.adversarial", "v.band", "v.action", F.round("v.confidence", 6).alias("confidence"), F.array_join("v.fingerprint", ",").alias("kinds"))
 
 
 def modality_disagreement(spark, sf_dir):
@@ -143,20 +137,46 @@ def record_status(spark, sf_dir):
     return o.select("o_orderkey", rules.record_status(k % 10 / 10, k % 3 > 0, k % 4 > 0, k % 19 == 0, k % 23 == 0).alias("status"))
 
 
-def _edges(spark, sf_dir):
-    e = signals(spark, sf_dir)
-    kind = F.when(F.col("event_type") == "error", "shared_device").otherwise("uses")
-    return graph.upsert_edges(e.select(F.concat(F.lit("u"), "user_id").alias("src"), F.concat(F.lit("k"), "k").alias("dst"), kind.alias("type"), F.col("drift").alias("weight"), F.lit(1).alias("evidence"), F.col("ts").alias("last_seen")))
+_KIND = """case event_type when 'error' then 'shares_device' when 'view' then 'co-located' when 'signup' then 'document_reuse' when 'purchase' then 'biometric_match' else case when k % 3 = 0 then 'shares_ip' else 'verified_same_person' end end"""
+_FAR = "case event_type when 'error' then 'k' || k when 'view' then 'l' || k when 'signup' then 'd' || k % 40 when 'purchase' then case when k % 2 = 0 then 'b' || k % 30 else 'u' || k end else case when k % 3 = 0 then 'k' || k else 'u' || k end end"
 
 
-def _nodes(spark, sf_dir):
-    e = signals(spark, sf_dir)
-    u = e.groupBy(F.concat(F.lit("u"), "user_id").alias("id")).agg(F.lit("person").alias("type"), (1 - F.avg("drift")).alias("trust"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-    k = e.groupBy(F.concat(F.lit("k"), "k").alias("id")).agg(F.lit("device").alias("type"), F.lit(0.5).alias("trust"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-    return u.unionByName(k)
+def _edges(spark, sf_dir):
+    """Users with devices, places, documents, biometrics and other users."""
+    e = signals(spark, sf_dir).where("k is not null")
+    return graph.upsert_edges(e.select(F.concat(F.lit("u"), "user_id").alias("src"), F.expr(_FAR).alias("dst"), F.expr(_KIND).alias("type"), F.col("drift").alias("weight"), F.lit(1).alias("evidence"), F.col("ts").alias("last_seen")))
 
 
-_EDGES = f"{SIGNALS_SQL}, edges as (select 'u' || user_id src, 'k' || k dst, case when event_type = 'error' then 'shared_device' else 'uses' end as type, max(drift) weight, count(*) evidence from signals group by 1, 2, 3)"
+def _nodes(spark, sf_dir):
+    e = signals(spark, sf_dir).where("k is not null")
+    none = F.lit(None).cast("map<string,string>")
+    seen = [F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")]
+    u = e.groupBy(F.concat(F.lit("u"), "user_id").alias("id")).agg(F.lit("person").alias("type"), (F.first("user_id") % 10 / 20).alias("trust"), *seen, none.alias("attributes"))
+    hubs = []
+    for letter, kind, number in (("k", "device", F.col("k")), ("l", "location", F.col("k")), ("d", "document", F.col("k") % 40), ("b", "biometric", F.col("k") % 30)):
+        at = F.create_map(F.lit("lat"), F.first("lat").cast("string"), F.lit("lon"), F.first("lon").cast("string")) if kind == "location" else none
+        hubs.append(e.groupBy(F.concat(F.lit(letter), number).alias("id")).agg(F.lit(kind).alias("type"), F.lit(0.5).alias("trust"), *seen, at.alias("attributes")))
+    none_seen = F.lit(None).cast("timestamp_ntz")
+    alone = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("person").alias("type"), (F.col("c_custkey") % 10 / 10).alias("trust"), none_seen.alias("first_seen"), none_seen.alias("last_seen"), none.alias("attributes"))
+    out = u
+    for more in (*hubs, alone):
+        out = out.unionByName(more)
+    return out
+
+
+_EDGES = f"{SIGNALS_SQL}, edges as (select 'u' || user_id src, {_FAR} dst, {_KIND} as type, max(drift) weight, count(*) evidence, max(ts) last_seen from signals where k is not null group by 1, 2, 3)"
+_NODES = f"""{_EDGES}, nodes as (select 'u' || user_id id, 'person' as type, user_id % 10 / 20.0::double trust, min(ts) first_seen, max(ts) last_seen from signals where k is not null group by user_id
+  union all select unnest(['k' || k, 'l' || k]), unnest(['device', 'location']), 0.5, min(ts), max(ts) from signals where k is not null group by k union all select 'd' || k % 40, 'document', 0.5, min(ts), max(ts) from signals where k is not null group by 1
+  union all select 'b' || k % 30, 'biometric', 0.5, min(ts), max(ts) from signals where k is not null group by 1 union all select 'c' || c_custkey, 'person', c_custkey % 10 / 10.0::double, null, null from customer),
+  ways as (select src a, dst b, type, last_seen from edges union all select dst, src, type, last_seen from edges), far as (select w.*, n.type kind_b, n.trust trust_b from ways w left join nodes n on n.id = w.b)"""
+_BAD = "('document_reuse', 'shares_device', 'shares_ip', 'shares_email', 'shares_phone', 'biometric_match')"
+
+
+def _spread(links: str, rounds: int = 12) -> str:
+    """Smallest label among neighbours, again and again: more rounds than any path here is long."""
+    out = [f"w as (select distinct a, b from ({links}) union select distinct b, a from ({links})), l0 as (select distinct a id, a c from w)"]
+    out += [f"l{i + 1} as materialized (select l.id, least(l.c, min(n.c)) c from l{i} l join w on w.a = l.id join l{i} n on n.id = w.b group by l.id, l.c)" for i in range(rounds)]
+    return ", ".join(out) + f", labels as (select id, c component from l{rounds})"
 
 
 def graph_edges(spark, sf_dir):
@@ -167,9 +187,17 @@ def hub_reuse(spark, sf_dir):
     return graph.hub_reuse(_edges(spark, sf_dir), _nodes(spark, sf_dir), "device")
 
 
+def graph_text(spark, sf_dir):
+    """Each device's own neighbourhood as one text."""
+    e, n = _edges(spark, sf_dir).where("type = 'shares_device'").select("src", "dst", "type", "evidence"), _nodes(spark, sf_dir).select("id", "type")
+    member = e.select(F.col("dst").alias("component"), F.col("dst").alias("id")).distinct()
+    text_ = graph.serialized(n, e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "evidence"), member)
+    return text_.select("component", F.sha2("graph", 256).alias("sha256"))
+
+
 def _sparse_edges(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    return o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("h"), F.col("o_orderkey") % 997).alias("dst"), F.lit("shared_device").alias("type"), F.lit(1.0).alias("weight"), F.lit(1).alias("evidence"), F.col("o_orderdate").alias("last_seen"))
+    return o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("h"), F.col("o_orderkey") % 997).alias("dst"), F.lit("shares_device").alias("type"), F.lit(1.0).alias("weight"), F.lit(1).alias("evidence"), F.col("o_orderdate").alias("last_seen"))
 
 
 def khop_component(spark, sf_dir):
@@ -185,14 +213,14 @@ def graph_components(spark, sf_dir):
 
 def fraud_rings(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    e = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("h"), F.col("o_orderkey") % 3001).alias("dst"), F.lit("shared_device").alias("type"))
+    e = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("h"), F.col("o_orderkey") % 3001).alias("dst"), F.lit("shares_device").alias("type"))
     n = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), (F.col("c_custkey") % 10 / 10).alias("trust"))
     r = graph.fraud_rings(n, e)
     return r.select("component", F.col("size").cast("long").alias("size"), F.round("mean_trust", 6).alias("mean_trust"))
 
 
 def trust_scores(spark, sf_dir):
-    return graph.trust_scores(_nodes(spark, sf_dir), _edges(spark, sf_dir), F.lit("2024-02-01").cast("date")).select("id", F.round("score", 6).alias("score"))
+    return graph.trust_scores(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
 
 
 def risk_signals(spark, sf_dir):
@@ -202,9 +230,8 @@ def risk_signals(spark, sf_dir):
 def face_match_topk(spark, sf_dir):
     """Queries are the vectors whose id is divisible by 100; gallery is all."""
     v = read(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    pairs = v.crossJoin(F.broadcast(q)).where("vec_id <> query").select("query", "vec_id", half_up(cosine("embedding", "q"), 6).alias("similarity"))
-    return retrieval.top_k(pairs, "query", "similarity", "vec_id", 5).select("query", "vec_id", "similarity", F.col("rank").cast("long").alias("rank"))
+    out = retrieval.nearest_vectors(v, v.where("vec_id % 100 = 0"), 5, "vec_id", "embedding")
+    return out.select("query", "vec_id", "similarity", F.col("rank").cast("long").alias("rank"))
 
 
 def l2_scores(spark, sf_dir):
@@ -213,21 +240,41 @@ def l2_scores(spark, sf_dir):
     return v.join(nxt, "vec_id").select("vec_id", F.round(l2("embedding", "b"), 5).alias("distance"), F.round(l2_similarity("embedding", "b"), 4).alias("similarity"))
 
 
-_TERMS = ["the", "and", "erent", "nicht", "que", "license"]
-
-
-def _queries(spark):
-    return spark.createDataFrame([(i, f"{a} {b}") for i, (a, b) in enumerate(zip(_TERMS, _TERMS[1:] + _TERMS[:1], strict=True))], "query_id long, query string")
+_QUERIES = [(0, "the and the"), (1, "and nicht"), (2, "web license"), (3, "nicht que"), (4, "que los ich"), (5, "License, the books")]
 
 
 def tfidf_rank(spark, sf_dir):
-    d = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("content"))
-    return retrieval.tfidf(d, _queries(spark)).select("query_id", "chunk_id", F.round("score", 4).alias("score"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.col("text").alias("content"), F.array("lang").alias("keywords"))
+    return retrieval.tfidf(d, _QUERIES).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def keyword_rank(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return retrieval.keyword_scores(d, _queries(spark)).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.col("text").alias("content"), F.array("lang", "source").alias("keywords"))
+    return retrieval.keyword_scores(d, _QUERIES).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _stem_sql(t: str) -> str:
+    """The light stem of a Latin word."""
+    arms = " ".join(f"when ends_with({t}, '{x}') and len({t}) > {len(x) + 2} then {t}[1:len({t}) - {len(x)}]" for x in ("ing", "edly", "ed", "ly", "es", "s", "ment", "tion", "ness", "ity", "er", "or", "ist"))
+    return f"case when len({t}) < 3 then {t} {arms} else {t} end"
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({})), '[^a-z0-9؀-ۿ ]', ' ', 'g'), '\s+', ' ', 'g'), ' +', ' ', 'g'))"
+_ASKED = "q(query_id, q) as (values (0::bigint, 'the and the'), (1, 'and nicht'), (2, 'web license'), (3, 'nicht que'), (4, 'que los ich'), (5, 'License, the books'))"
+_TFIDF_SQL = f"""with {_ASKED}, qt as (select query_id, unnest(list_transform({_WORDS.format("q")}, lambda t: {_stem_sql("t")})) term from q), qn as (select query_id, term, count(*) n from qt group by 1, 2), qm as (select *, n / max(n) over (partition by query_id)::double qtf from qn),
+  d as (select doc_id, {_WORDS.format("concat_ws(' ', coalesce(source, ''), coalesce(text, ''))")} w, {_WORDS.format("concat_ws(' ', coalesce(source, ''), coalesce(text, ''), lang)")} ws, {_WORDS.format("coalesce(source, '')")} ts, lang from documents),
+  n as (select count(*) n from d), df as (select term, count(*) df from (select distinct term from qm) join d on list_contains(w, term) group by 1), idf as (select term, ln((n + 1.0::double) / (df + 1)) + 1 idf from df, n),
+  tf as (select doc_id, term, count(*) c from (select doc_id, unnest(list_transform(ws, lambda t: {_stem_sql("t")})) term from d) group by 1, 2), top as (select doc_id, max(c) m from tf group by 1),
+  body as (select query_id, doc_id, sum(qtf * idf * c / m) s from qm join idf using (term) join tf using (term) join top using (doc_id) group by 1, 2),
+  extra as (select query_id, doc_id, 2.0::double * (case when lang is not null and contains(lower(q), lower(lang)) then 1 else 0 end) + 1.5::double * (select count(*) from qt where qt.query_id = q.query_id and list_contains(list_transform(d.ts, lambda t: {_stem_sql("t")}), qt.term)) s from q, d),
+  s as (select query_id, doc_id, floor((coalesce(body.s, 0) + extra.s) * 1000000.0::double + 0.5) / 1000000.0::double s from extra left join body using (query_id, doc_id))
+  select query_id, doc_id chunk_id, round(s, 4) score, rank from (select *, row_number() over (partition by query_id order by s desc, doc_id) rank from s where s > 0) where rank <= 8"""
+_KEYWORD_SQL = f"""with {_ASKED}, t as (select query_id, unnest(list_filter(string_split({_PLAIN.format("q")}, ' '), lambda x: len(x) > 1)) t from q),
+  d as (select doc_id, [lang, source] ks, concat_ws(' ', lang, source, {_PLAIN.format("coalesce(source, '')")}, {_PLAIN.format("coalesce(text, '')")}) h from documents),
+  p as (select query_id, doc_id, len(list_filter(ks, lambda k: contains(k, t))) hits, case when len(t) >= 3 then len(list_filter(ks, lambda k: len(k) >= 3 and (starts_with(t, k) or starts_with(k, t)))) else 0 end begun, (len(h) - len(replace(h, t, ''))) // len(t) n from t, d),
+  s as (select query_id, doc_id, sum(case when hits > 0 then 5 else 0 end + hits + 2 * begun + least(n, 5))::bigint s from p group by 1, 2)
+  select query_id, doc_id chunk_id, s score, rank from (select *, row_number() over (partition by query_id order by s desc, doc_id) rank from s where s > 0) where rank <= 8"""
 
 
 _KEYS = [("fr", "que", 1.0), ("fr", "les", 1.0), ("en", "the", 1.5), ("de", "und", 1.5), ("es", "los", 1.0)]
@@ -257,11 +304,11 @@ def audit_chain(spark, sf_dir):
     return last.groupBy("user_id").agg(F.max("idx").cast("long").alias("last_idx"), F.max_by("hash", "idx").alias("head"))
 
 
-def audit_chain_verify(spark, sf_dir):
+def audit_chain_check(spark, sf_dir):
     """Every user divisible by 3 has a changed payload at entry 2."""
     bad = (F.col("user_id") % 3 == 0) & (F.col("idx") == 2)
     broken = _chain(spark, sf_dir).withColumn("payload", F.when(bad, "changed").otherwise(F.col("payload")))
-    return chains.verify(broken, "user_id", "payload").select("user_id", "entries", F.col("first_broken").cast("long").alias("first_broken"), "intact")
+    return chains.checked(broken, "user_id", "payload").select("user_id", "entries", F.col("first_broken").cast("long").alias("first_broken"), "intact")
 
 
 def merkle_root(spark, sf_dir):
@@ -326,12 +373,15 @@ QUERIES = {
     "fairness_report": (fairness_report, f"with {_METRICS} select arg_max(status, case status when 'pass' then 0 when 'unknown' then 1 when 'review' then 2 else 3 end) overall, count(*) filter (status = 'pass') n_pass, count(*) filter (status = 'unknown') n_unknown, count(*) filter (status = 'review') n_review, count(*) filter (status = 'fail') n_fail from a"),
     "group_accuracy_spread": (group_accuracy_spread, f"with {_OUT}, m as (select avg(least(1.0::double, o_totalprice / 300000.0::double)) m from outcomes group by value), v as (select max(m) - min(m) v from m) select 'skin_tone_bias' metric, round(v, 6) as value, case when v <= 0.05 then 'pass' when v <= 0.1 then 'review' else 'fail' end status from v"),
     "regional_bias": (regional_bias, f"with p as (select n_regionkey, avg((o_orderstatus = 'F')::int) p from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1), m as (select coalesce(min(p) / nullif(max(p), 0), 1) v from p) select 'regional_bias' metric, round(v, 6) as value, {_BANDS} status from m"),
-    "dempster_shafer": (dempster_shafer, _ds_sql()),
-    "soft_or_hybrid": (soft_or_hybrid, f"with {SIGNALS_SQL}, e as (select user_id, drift, row_number() over (partition by user_id order by event_id) i from signals where event_id % 20 = 0 or user_id % 5 = 0) select user_id, round(1 - product(1 - greatest(0.0::double, least(1.0::double, drift))), 6) score from e where i <= 5 group by 1"),
+    "dempster_shafer": (dempster_shafer, _DS_SQL),
+    "soft_or_hybrid": (soft_or_hybrid, f"with {SIGNALS_SQL}, m as (select user_id, avg(drift) s from signals group by user_id, event_type) select user_id, round(1 - product(1 - greatest(0.0::double, least(1.0::double, s))), 6) score from m group by 1"),
     "ensemble_verdict": (
         ensemble_verdict,
-        f"""with {SIGNALS_SQL}, d as (select user_id, avg(drift) s, least(1.0::double, count(*) / 20.0::double) c, case event_type when 'view' then 1.4::double when 'click' then 0.9::double when 'error' then 1.0::double else 1.2::double end w from signals where event_type <> 'purchase' group by user_id, event_type),
-        v as (select user_id, sum(s * c * w) / sum(c * w) s from d group by 1) select user_id, round(s, 4) score, s >= 0.5 adversarial, case when s >= 0.7 then 'critical' when s >= 0.5 then 'high' when s >= 0.3 then 'medium' else 'low' end band from v""",
+        f"""with {SIGNALS_SQL}, d as (select user_id, avg(drift) s, least(1.0::double, count(*) / 20.0::double) c, case event_type when 'view' then 'deepfake' when 'click' then 'print_attack' when 'error' then 'fgsm' else 'silicone_finger' end kind from signals where event_type <> 'purchase' group by user_id, event_type),
+        w as (select *, case kind when 'deepfake' then 1.2::double when 'print_attack' then 0.9::double when 'fgsm' then 1.4::double else 1.0::double end w, row_number() over (partition by user_id order by s * c desc, kind) r from d),
+        v as (select user_id, sum(s * c * w) / sum(c * w) s, avg(c) c, list(kind order by r) filter (r <= 3 and s >= 0.2) kinds from w group by 1)
+        select user_id, round(s, 4) score, s >= 0.5 adversarial, case when s >= 0.7 then 'critical' when s >= 0.5 then 'high' when s >= 0.3 then 'medium' else 'low' end band, case when s >= 0.7 then 'reject' when s >= 0.3 then 'review' else 'allow' end as action,
+        round(least(1.0::double, c + case when len(kinds) >= 2 then 0.15::double else 0 end), 6) confidence, coalesce(array_to_string(kinds, ','), '') kinds from v""",
     ),
     "modality_disagreement": (
         modality_disagreement,
@@ -356,33 +406,41 @@ QUERIES = {
     ),
     "record_status": (record_status, "select o_orderkey, case when o_orderkey % 19 = 0 or o_orderkey % 23 = 0 then 'rejected' when o_orderkey % 10 / 10.0::double >= 0.6::double and o_orderkey % 3 > 0 and o_orderkey % 4 > 0 then 'verified' else 'failed' end status from orders"),
     "graph_edges": (graph_edges, f"with {_EDGES} select src, dst, type, round(weight, 6) weight, evidence from edges"),
-    "hub_reuse": (hub_reuse, f"with {_EDGES} select dst id, count(distinct src) persons from edges where dst is not null group by 1"),
+    "hub_reuse": (hub_reuse, f"with {_NODES} select a id, count(distinct b) persons from far where kind_b = 'person' and a in (select id from nodes where type = 'device') group by 1"),
+    "graph_text": (
+        graph_text,
+        f"""with {_EDGES}, n as (select dst, '{{"id":"' || dst || '","type":"device"}}' n, string_agg('{{"dst":"' || src || '","evidence":' || evidence || ',"src":"' || dst || '","type":"shares_device"}}', ',' order by '{{"dst":"' || src || '","evidence":' || evidence || ',"src":"' || dst) e from edges where type = 'shares_device' group by 1)
+        select dst component, sha256('{{"nodes":[' || n || '],"edges":[' || e || '],"version":1}}') as sha256 from n""",
+    ),
     "khop_component": (
         khop_component,
-        """with e as (select distinct 'c' || o_custkey a, 'h' || (o_orderkey % 997) b from orders where o_orderkey % 4 = 0), s as (select unnest(['h3', 'h10']) id), one as (select distinct s.id as start, e.a id from s join e on e.b = s.id),
+        """with e as (select distinct 'c' || o_custkey a, 'h' || (o_orderkey % 997) b from orders), s as (select unnest(['h3', 'h10']) id), one as (select distinct s.id as start, e.a id from s join e on e.b = s.id),
         two as (select distinct one.start, e.b id from one join e on e.a = one.id where e.b <> one.start) select id as start, id, 0 hop from s union all select start, id, 1 from one union all select start, id, 2 from two""",
     ),
-    "graph_components": (
-        graph_components,
-        """with recursive e as (select distinct 'c' || o_custkey a, 'h' || (o_orderkey % 3001) b from orders where o_orderkey % 8 = 0), w as (select a, b from e union select b, a from e), r as (select a id, a c from w union select w.b, r.c from r join w on w.a = r.id)
-        select id, min(c) component from r group by id""",
-    ),
+    "graph_components": (graph_components, "with " + _spread("select 'c' || o_custkey a, 'h' || (o_orderkey % 3001) b from orders") + " select id, component from labels"),
     "fraud_rings": (
         fraud_rings,
-        """with recursive e as (select distinct 'c' || o_custkey a, 'h' || (o_orderkey % 3001) b from orders where o_orderkey % 16 = 0), w as (select a, b from e union select b, a from e), r as (select a id, a c from w union select w.b, r.c from r join w on w.a = r.id),
-        m as (select id, min(c) component from r group by id), t as (select component, count(*) size, avg(coalesce(c_custkey % 10 / 10.0::double, 0.5::double)) t from m left join customer on id = 'c' || c_custkey group by 1)
+        "with " + _spread("select 'c' || o_custkey a, 'h' || (o_orderkey % 3001) b from orders") + """, t as (select component, count(*) size, avg(coalesce(c_custkey % 10 / 10.0::double, 0.5::double)) t from labels left join customer on id = 'c' || c_custkey group by 1)
         select component, size, round(t, 6) mean_trust from t where size >= 3 and t < 0.5""",
     ),
     "trust_scores": (
         trust_scores,
-        f"""with {_EDGES}, n as (select 'u' || user_id id, date_diff('day', min(ts)::date, date '2024-02-01') age from signals group by 1), s as (select src, count(*) filter (type = 'shared_device') susp from edges group by 1)
-        select id, round(greatest(0.0::double, least(1.0::double, 0.5::double + least(0.2::double, age / 365.0::double * 0.2::double) - least(0.3::double, 0.1::double * coalesce(susp, 0)))), 6) score from n left join s on src = id""",
+        f"""with {_NODES}, s as (select a, count(*) filter (type in {_BAD}) s, count(*) filter (type in {_BAD} and trust_b < 0.3) bad, count(*) filter (type = 'document_reuse') d, count(*) filter (type = 'biometric_match' and kind_b = 'person') m from far group by 1),
+        t as (select id, coalesce(greatest(0.0::double, least(0.2::double, epoch_us(last_seen) / 86400000000.0::double / 365 * 0.2::double - epoch_us(first_seen) / 86400000000.0::double / 365 * 0.2::double)), 0) age, coalesce(s, 0) s, coalesce(bad, 0) bad, coalesce(d, 0) d, coalesce(m, 0) m from nodes left join s on a = id)
+        select id, round(greatest(0.0::double, least(1.0::double, 0.5::double + age - least(0.3::double, 0.1::double * s) - least(0.4::double, 0.2::double * bad) - least(0.3::double, 0.1::double * d) + case when m = 1 then 0.05::double when m > 1 then -least(0.2::double, 0.1::double * m) else 0 end)), 6) score from t""",
     ),
     "risk_signals": (
         risk_signals,
-        f"""with {_EDGES}, h as (select dst id, count(distinct src) p from edges where dst is not null group by 1), low as (select 'u' || user_id id from signals group by 1 having 1 - avg(drift) < 0.4),
-        l as (select dst id, count(distinct src) p from edges join low on low.id = src where dst is not null group by 1)
-        select 'device_reuse' as signal, id, case when p >= 5 then 'critical' else 'high' end severity from h where p >= 2 union all select 'mule_pattern', id, 'critical' from l where p >= 3""",
+        f"""with {_NODES}, {_spread(f"select src a, dst b from edges where type in {_BAD}")}, rings as (select component from labels left join nodes using (id) group by 1 having count(*) >= 3 and avg(coalesce(trust, 0.5)) < 0.5),
+        hubs as (select a id, n.type kind, count(distinct b) filter (far.type = 'shares_device') dev, count(distinct b) filter (far.type = 'document_reuse') doc, count(distinct b) filter (far.type = 'biometric_match') bio, count(distinct b) filter (far.type in ('shares_device', 'shares_ip') and trust_b < 0.4) mule from far join nodes n on n.id = a where kind_b = 'person' group by 1, 2),
+        places as (select distinct 'l' || k id, lat, lon from signals where k is not null), stops as (select a id, epoch_us(last_seen) us, lat, lon, b from ways join places on id = b where type = 'co-located' and a in (select id from nodes where type = 'person')),
+        legs as (select id, us - lag(us) over w dt, 2 * 6371.0::double * asin(least(1.0::double, sqrt(pow(sin(radians(lat - lag(lat) over w) / 2), 2) + cos(radians(lat)) * cos(radians(lag(lat) over w)) * pow(sin(radians(lon - lag(lon) over w) / 2), 2)))) km from stops window w as (partition by id order by us, b)),
+        burst as (select a id, epoch_us(last_seen) - lag(epoch_us(last_seen), 10) over (partition by a order by last_seen) span from ways)
+        select 'synthetic_identity' as signal, id, 'medium' severity from nodes where type = 'person' and id not in (select a from ways where type in ('verified_same_person', 'document_reuse', 'shares_device', 'shares_ip', 'biometric_match'))
+        union all select 'fraud_ring_member', id, 'critical' from labels where component in (select component from rings)
+        union all select 'device_reuse', id, case when dev >= 5 then 'critical' else 'high' end from hubs where kind = 'device' and dev >= 2 union all select 'document_reuse', id, case when doc >= 3 then 'critical' else 'high' end from hubs where kind = 'document' and doc >= 2
+        union all select 'biometric_duplicate', id, case when bio >= 3 then 'critical' else 'high' end from hubs where kind = 'biometric' and bio >= 2 union all select 'mule_pattern', id, 'critical' from hubs where kind = 'device' and mule >= 3
+        union all select distinct 'impossible_travel', id, 'critical' from legs where dt > 0 and km >= 5 and km / (dt / 3600000000.0::double) > 900 union all select distinct 'velocity_attack', id, 'high' from burst where span <= 3600000000 and id in (select id from nodes)""",
     ),
     "face_match_topk": (
         face_match_topk,
@@ -390,13 +448,8 @@ QUERIES = {
         from embeddings v, embeddings q where q.vec_id % 100 = 0 and v.vec_id <> q.vec_id) select query, vec_id, similarity, rank from (select *, row_number() over (partition by query order by similarity desc, vec_id) rank from p) where rank <= 5""",
     ),
     "l2_scores": (l2_scores, "with d as (select a.vec_id, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(a.embedding[i]::double - b.embedding[i]::double, 2)))) d from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) select vec_id, round(d, 5) distance, round(greatest(0.0::double, least(100.0::double, (1 - d / 0.6::double) * 100)), 4) similarity from d"),
-    "tfidf_rank": (tfidf_rank, None),
-    "keyword_rank": (
-        keyword_rank,
-        r"""with q(query_id, a, b) as (values (0, 'the', 'and'), (1, 'and', 'erent'), (2, 'erent', 'nicht'), (3, 'nicht', 'que'), (4, 'que', 'license'), (5, 'license', 'the')), w as (select query_id::bigint query_id, unnest([a, b]) term from q),
-        t as (select doc_id chunk_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) term from documents), c as (select chunk_id, term, count(*) n from t where term in (select term from w) group by 1, 2),
-        s as (select query_id, chunk_id, sum(5 + least(n, 5))::bigint score from w join c using (term) group by 1, 2) select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from s) where rank <= 8""",
-    ),
+    "tfidf_rank": (tfidf_rank, _TFIDF_SQL),
+    "keyword_rank": (keyword_rank, _KEYWORD_SQL),
     "intent_classify": (
         intent_classify,
         """with s as (select doc_id, lower(text) t from documents), c as (select doc_id, contains(t, 'que')::int::double + contains(t, 'les')::int fr, contains(t, 'the')::int * 1.5::double en, contains(t, 'und')::int * 1.5::double de, contains(t, 'los')::int::double es from s), m as (select *, greatest(fr, en, de, es) g from c)
@@ -405,12 +458,12 @@ QUERIES = {
     "page_features": (page_features, None),
     "conversation_context": (conversation_context, "select conv_id, turn, md5(coalesce(array_to_string(list_filter(list(text) over (partition by conv_id order by turn rows between 2 preceding and 1 preceding), lambda x: x is not null), chr(10)), '')) digest from conversations"),
     "audit_chain": (audit_chain, f"with recursive {_CHAIN} select user_id, max(idx) last_idx, arg_max(hash, idx) head from rec group by 1"),
-    "audit_chain_verify": (audit_chain_verify, "select user_id, count(*) entries, case when user_id % 3 = 0 and count(*) > 2 then 2 end first_broken, not (user_id % 3 = 0 and count(*) > 2) intact from events group by user_id"),
+    "audit_chain_check": (audit_chain_check, "select user_id, count(*) entries, case when user_id % 3 = 0 and count(*) > 2 then 2 end first_broken, not (user_id % 3 = 0 and count(*) > 2) intact from events group by user_id"),
     "merkle_root": (merkle_root, None),
     "provenance_steps": (
         provenance_steps,
         """with a as (select o_orderkey, sha256('|capture|' || o_orderstatus) h0, o_orderpriority p, o_custkey c from orders), b as (select *, sha256(h0 || '|extract|' || p) h1 from a), d as (select *, sha256(h1 || '|decide|' || c) h2 from b)
-        select o_orderkey, 2 idx, 'decide' step, h2 output_hash from d union all select o_orderkey, 0, 'capture', h0 from d where o_orderkey % 50 = 0 union all select o_orderkey, 1, 'extract', h1 from d where o_orderkey % 50 = 0""",
+        select o_orderkey, unnest([0, 1, 2]) idx, unnest(['capture', 'extract', 'decide']) step, unnest([h0, h1, h2]) output_hash from d""",
     ),
     "subject_export": (
         subject_export,

@@ -123,7 +123,7 @@ QUERIES = {
         drift_trend,
         f"""with {SIGNALS_SQL}, r as (select user_id, drift, row_number() over ({_BY}) i, count(*) over (partition by user_id) n from signals),
         h as (select user_id, n, avg(drift) filter (i > greatest(1, n // 2)) - avg(drift) filter (i <= greatest(1, n // 2)) gap from r group by 1, 2)
-        select user_id, case when n < 2 then 'stable' when gap > 0.02 then 'rising' when gap < -0.02 then 'falling' else 'stable' end trend, n from h""",
+        select user_id, case when n < 2 then 'stable' when gap > 0.02 then 'increasing' when gap < -0.02 then 'decreasing' else 'stable' end trend, n from h""",
     ),
     "behavioral_shift": (
         behavioral_shift,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.functions.numbers import half_up
-from attestry.operators import catalog, evaluate
+from attestry.operators import catalog, evaluate, rules
 from attestry.plans.common import SIGNALS_SQL, signals
 from attestry.sources.tables import MISSING, find_many, read, where_equal, with_children
 
@@ -106,11 +106,25 @@ def registry_filters(spark, sf_dir):
     return s.where(catalog.serves(F.col("c"), F.lit("7"))).select("s_suppkey")
 
 
+_STATES = ("DISCOVERED", "UNDER_REVIEW", "APPROVED", "DOWNLOADABLE", "DOWNLOADED", "VALIDATED", "INTEGRATED", "REJECTED", "RESTRICTED", "BLOCKED")
+
+
 def lifecycle_violations(spark, sf_dir):
-    from attestry.operators.rules import lifecycle_violations as check
+    """Events as states of sources, all ten, in the order their users had them."""
+    state = F.element_at(F.array(*map(F.lit, _STATES)), (F.col("event_id") * 7 % 10 + 1).cast("int"))
+    e = read(spark, sf_dir, "events").withColumn("state", state)
+    return rules.lifecycle_violations(e, "user_id", "state", "ts", "event_id").select("event_id", "previous", "state")
 
-    allowed = {"view": ("click", "signup"), "click": ("purchase", "view"), "signup": ("view",), "purchase": ("view", "error"), "error": ("view",)}
-    return check(read(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id", allowed).select("event_id", "previous", "event_type")
+
+def verification_summary(spark, sf_dir):
+    """Orders as verification records: counts and rates by status, four averages
+    with nulls as 0, counts by type, recent ones, and all 24 hours."""
+    o = read(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "verified").when(F.col("o_orderstatus") == "O", "failed").otherwise("pending")
+    score = lambda m: F.when(F.col("o_orderkey") % m > 0, F.col("o_orderkey") % m / m)
+    at = F.make_timestamp_ntz(F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"), (F.col("o_orderkey") % 24).cast("int"), F.lit(0), F.lit(0))
+    rows = o.select(status.alias("status"), F.col("o_orderpriority").alias("doc_type"), at.alias("created_at"), score(7).alias("doc"), score(5).alias("face"), score(11).alias("live"), score(3).alias("image"))
+    return evaluate.verification_summary(rows, F.lit("1998-08-01 12:00:00").cast("timestamp_ntz"), 30)
 
 
 def version_at(spark, sf_dir):
@@ -171,7 +185,7 @@ QUERIES = {
         select field, count(*) filter (ok) correct, count(*) total, floor(count(*) filter (ok)::double / count(*) * 10000.0::double + 0.5) / 10000.0::double accuracy, false labelled from l group by 1
         union all select field, count(*) filter (ok), count(*), floor(count(*) filter (ok)::double / count(*) * 10000.0::double + 0.5) / 10000.0::double, true from l where expected is not null group by 1""",
     ),
-    "health_score": (health_score, "select floor(100.0::double * avg((event_type <> 'error')::int) + 0.5) score, case when floor(100.0::double * avg((event_type <> 'error')::int) + 0.5) >= 95 then 'healthy' when floor(100.0::double * avg((event_type <> 'error')::int) + 0.5) >= 80 then 'degraded' when floor(100.0::double * avg((event_type <> 'error')::int) + 0.5) >= 50 then 'impaired' else 'down' end verdict from events"),
+    "health_score": (health_score, "select floor(100.0::double * avg((event_type <> 'error')::int) + 0.5) score, case when floor(100.0::double * avg((event_type <> 'error')::int) + 0.5) = 100 then 'PERFECT HARMONY' when floor(100.0::double * avg((event_type <> 'error')::int) + 0.5) >= 80 then 'GOOD' when floor(100.0::double * avg((event_type <> 'error')::int) + 0.5) >= 60 then 'DEGRADED' else 'CRITICAL' end verdict from events"),
     "coverage_matrix": (
         coverage_matrix,
         f"""with s as (select distinct n_name, c_mktsegment {_COVER} where c_acctbal > 6000 and c_custkey % 3 = 0), t as (select distinct n_name, c_mktsegment {_COVER} where c_acctbal < 1000 and c_custkey % 3 = 1),
@@ -189,8 +203,21 @@ QUERIES = {
     "registry_filters": (registry_filters, "select s_suppkey from supplier where s_suppkey % 10 = 0 or s_nationkey = 7"),
     "lifecycle_violations": (
         lifecycle_violations,
-        """select event_id, previous, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) previous from events) where previous <> event_type
-        and previous || '>' || event_type not in ('view>click', 'view>signup', 'click>purchase', 'click>view', 'signup>view', 'purchase>view', 'purchase>error', 'error>view')""",
+        """with e as (select *, ['DISCOVERED', 'UNDER_REVIEW', 'APPROVED', 'DOWNLOADABLE', 'DOWNLOADED', 'VALIDATED', 'INTEGRATED', 'REJECTED', 'RESTRICTED', 'BLOCKED'][event_id * 7 % 10 + 1] state from events)
+        select event_id, previous, state from (select *, lag(state) over (partition by user_id order by ts, event_id) previous from e) where previous <> state and not case previous
+        when 'DISCOVERED' then state in ('UNDER_REVIEW', 'REJECTED', 'BLOCKED') when 'UNDER_REVIEW' then state in ('APPROVED', 'REJECTED', 'RESTRICTED', 'BLOCKED') when 'APPROVED' then state in ('DOWNLOADABLE', 'RESTRICTED', 'REJECTED')
+        when 'DOWNLOADABLE' then state in ('DOWNLOADED', 'RESTRICTED', 'BLOCKED') when 'DOWNLOADED' then state in ('VALIDATED', 'DOWNLOADABLE', 'BLOCKED') when 'VALIDATED' then state in ('INTEGRATED', 'DOWNLOADED', 'BLOCKED')
+        when 'INTEGRATED' then state in ('VALIDATED', 'DOWNLOADED', 'BLOCKED') when 'REJECTED' then state in ('UNDER_REVIEW', 'BLOCKED') when 'RESTRICTED' then state in ('UNDER_REVIEW', 'APPROVED', 'BLOCKED') else false end""",
+    ),
+    "verification_summary": (
+        verification_summary,
+        """with r as (select case o_orderstatus when 'F' then 'verified' when 'O' then 'failed' else 'pending' end status, o_orderpriority t, o_orderdate + o_orderkey % 24 * interval 1 hour c, o_orderkey k from orders), n as (select timestamp '1998-08-01 12:00:00' now),
+        rec as (select * from r, n where c > now - interval 30 days), tot as (select count(*) n from r),
+        a as (select 'total' as metric, '' as key, n::double as value from tot union all select 'recent', '', count(*) from rec union all select 'count', s, count(*) filter (status = s) from r, (select unnest(['verified', 'failed', 'pending']) s) group by 2
+        union all select 'rate', s, floor(100.0::double * count(*) filter (status = s) / count(*) + 0.5) from r, (select unnest(['verified', 'failed']) s) group by 2 union all select 'recent_status', s, (select count(*) from rec where status = s) from (select unnest(['verified', 'failed', 'pending']) s)
+        union all select 'average', 'doc', avg(k % 7 / 7.0::double) from r union all select 'average', 'face', avg(k % 5 / 5.0::double) from r union all select 'average', 'live', avg(k % 11 / 11.0::double) from r union all select 'average', 'image', avg(k % 3 / 3.0::double) from r
+        union all select 'type', t, count(*) from r group by 2 union all select 'hour', lpad(h::varchar, 2, '0'), (select count(*) from r, n where now - c < interval 24 hours and hour(c) = h) from (select unnest(range(24)) h))
+        select metric, key, round(value, 6) as value from a""",
     ),
     "version_at": (
         version_at,

@@ -37,7 +37,7 @@ def attack_battery(spark, sf_dir):
     rows = v.select("user_id", F.col("v").alias("frequency"), F.col("v").alias("histogram"), F.col("v").alias("depth"), F.col("v").alias("spectrum"), F.col("v").alias("texture"), F.col("v").alias("fingerprint"), F.transform("v", lambda x: x - 40).alias("gradient"), F.lit(30.0).alias("epsilon"), F.lit(2.0).alias("l2"), F.lit(0.1).alias("linf"), F.lit(4.0).alias("entropy"), F.lit(9000).alias("size_bytes"))
     found = rows.withColumn("d", detectors.battery())
     out = found.select("user_id", fusion.ensemble("d").alias("v"), F.size("d").alias("n"))
-    return out.select("user_id", F.round("v.score", 4).alias("score"), "v.band", F.col("n").cast("long").alias("n"))
+    return out.select("user_id", F.round("v.score", 4).alias("score"), "v.band", F.array_join("v.fingerprint", ",").alias("kinds"), F.col("n").cast("long").alias("n"))
 
 
 def perturbation(spark, sf_dir):
@@ -61,8 +61,11 @@ def repaired_ids(spark, sf_dir):
 def explanation(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    e = documents.explained([("consensus", documents.consensus_factor(k % 5)), ("id", documents.id_factor(k % 7 > 0, k % 3 > 0)), ("ocr", F.when(k % 2 == 0, 0.05))])
-    return o.select("o_orderkey", e.alias("e")).select("o_orderkey", "e.score", "e.verdict", F.size("e.factors").cast("long").alias("n"))
+    found = documents.consensus_findings(k % 5, k % 2) + [("OCR Correction Applied", k % 4 == 1)] + documents.id_findings(k % 7 > 0, k % 3 == 0)
+    found += documents.cross_field_findings(k % 13 == 0, k % 11 / 10.0, k % 9 / 10.0) + [("Image Blur", k % 6 == 0), ("Glare Detected", k % 10 == 3), ("Lighting", k % 8 == 5), ("Good Image Quality", k % 6 == 1)]
+    found += [("Liveness Challenge Met", k % 3 > 0), ("Liveness Challenge Failed", k % 3 == 0), ("Anti-Spoofing Passed", k % 21 >= 15), ("Document Tampering Detected", k % 17 == 0), ("No Tampering Detected", k % 17 > 0)]
+    e = documents.explained(F.when(k % 19 > 0, k % 100 / 100.0), (k % 101).cast("double"), (k % 97).cast("double"), found)
+    return o.select("o_orderkey", e.alias("e")).select("o_orderkey", "e.base", "e.score", F.size("e.factors").cast("long").alias("n"))
 
 
 def liveness_fusion(spark, sf_dir):
@@ -82,7 +85,7 @@ def quota_usage(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     rank = F.element_at(F.array(*[F.lit(f"P{i}") for i in range(5)]), (F.col("event_id") % 5 + 1).cast("int"))
     used = quotas.usage(e, 300, "ts", "event_id", "day")
-    return used.withColumn("verdict", quotas.verdict(rank, F.col("percent"))).groupBy("level", "verdict").agg(F.count("*").alias("n"))
+    return used.withColumn("verdict", quotas.verdict(rank, F.col("level"))).groupBy("level", "verdict").agg(F.count("*").alias("n"))
 
 
 def model_scores(spark, sf_dir):
@@ -118,8 +121,10 @@ QUERIES = {
     "repaired_ids": (repaired_ids, None),
     "explanation": (
         explanation,
-        """with t as (select o_orderkey, case when o_orderkey % 5 >= 3 then 0.3::double when o_orderkey % 5 >= 2 then 0.15::double else -0.2::double end a, case when o_orderkey % 3 > 0 then 0.1::double when o_orderkey % 7 = 0 then -0.15::double else -0.1::double end b, case when o_orderkey % 2 = 0 then 0.05::double end c from orders), s as (select *, a + b + coalesce(c, 0) s from t)
-        select o_orderkey, round(s, 4) score, case when s >= 0.5 then 'approve' when s >= 0 then 'review' else 'reject' end verdict, (2 + (c is not null)::int)::bigint n from s""",
+        """with t as (select o_orderkey k, list_filter([case when k % 5 >= 3 then 0.3::double when k % 5 >= 2 then 0.15::double else -0.2::double end, case when k % 2 > 0 then 0.05::double end, case when k % 4 = 1 then 0.05::double end, case when k % 3 = 0 then 0.1::double when k % 7 = 0 then -0.15::double else -0.1::double end,
+        case when k % 13 = 0 then -0.2::double when k % 11 >= 8 then 0.1::double when k % 11 > 0 and k % 11 < 5 then -0.1::double end, case when k % 9 > 3 then -0.15::double end, case when k % 6 = 0 then -0.1::double end, case when k % 10 = 3 then -0.05::double end, case when k % 8 = 5 then -0.05::double end, case when k % 6 = 1 then 0.05::double end,
+        case when k % 3 > 0 then 0.1::double else -0.15::double end, case when k % 21 >= 15 then 0.05::double end, case when k % 17 = 0 then -0.3::double else 0.05::double end], lambda x: x is not null) c, case when k % 19 > 0 then k % 100 / 100.0::double else 0 end * 100 * 0.3::double + k % 101 * 0.4::double + k % 97 * 0.3::double b from orders)
+        select k o_orderkey, floor(b + 0.5::double)::double base, greatest(0, least(100, floor(b + list_reduce(c, lambda x, y: x + y) * 20 + 0.5::double)))::double score, len(c)::bigint n from t""",
     ),
     "liveness_fusion": (
         liveness_fusion,
@@ -130,8 +135,9 @@ QUERIES = {
     "id_rules": (country_count, None),
     "quota_usage": (
         quota_usage,
-        """with u as (select event_id, 100.0::double * row_number() over (partition by date_trunc('day', ts) order by ts, event_id) / 300 p from events), b as (select *, list_extract([100, 100, 95, 90, 80], (event_id % 5 + 1)::int) d, list_extract([101, 101, 100, 95, 90], (event_id % 5 + 1)::int) s from u)
-        select case when p >= 100 then 'exhausted' when p >= 95 then 'emergency' when p >= 90 then 'restrict' when p >= 80 then 'warning' when p >= 70 then 'monitoring' else 'normal' end as level, case when p >= s then 'suppress' when p >= d then 'defer' else 'send' end verdict, count(*) n from b group by 1, 2""",
+        """with u as (select 'P' || (event_id % 5) p, 100.0::double * row_number() over (partition by date_trunc('day', ts) order by ts, event_id) / 300 n from events),
+        b as (select p, case when n >= 100 then 'exhausted' when n >= 95 then 'emergency' when n >= 90 then 'restrict' when n >= 80 then 'warning' when n >= 70 then 'monitoring' else 'ok' end as level from u)
+        select level, case level when 'restrict' then case p when 'P4' then 'suppress' when 'P3' then 'defer' else 'send' end when 'emergency' then case when p in ('P0', 'P1') then 'send' else 'defer' end when 'exhausted' then case p when 'P0' then 'send' else 'defer' end else 'send' end verdict, count(*) n from b group by 1, 2""",
     ),
     "model_scores": (model_scores, "select p_partkey, round(1 / (1 + exp(-(p_size / 10.0::double * 0.5::double - (p_partkey % 7) * 0.25::double - 0.3::double))), 6) p from part"),
 }

@@ -228,7 +228,7 @@ QUERIES = {
         select id, 'D' || lpad(id::varchar, 8, '0') number, strftime(case when year(b) % 100 > 30 then b else b end, '%Y-%m-%d') birth_date, case when id % 2 = 0 then 'Male' else 'Female' end sex, surname, given, id % 7 <> 0 valid from p""",
     ),
     "canonicalize_text": (canonicalize_text, r"select doc_id, md5(regexp_replace(lower(translate(regexp_replace(text, '[ً-ْٰـ]', '', 'g'), 'آأإٱىة٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', 'اااايه01234567890123456789')), '[^\p{L}\p{N}]', '', 'g')) digest from documents"),
-    "sanitized": (sanitized, r"select doc_id, md5(nullif(trim(substr(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), 1, 200), ' '), '')) digest, repeat('*', len(source)) masked from documents"),
+    "sanitized": (sanitized, r"select doc_id, md5(nullif(trim(substr(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), 1, 500), ' '), '')) digest, repeat('*', len(source)) masked from documents"),
     "field_match": (
         field_match,
         r"""with t as (select p_partkey, lower(regexp_replace(p_type, '[^\p{L}\p{N}]', '', 'g')) e, lower(regexp_replace(case p_partkey % 3 when 0 then reverse(p_type) when 1 then p_type || 'x' else upper(p_type) end, '[^\p{L}\p{N}]', '', 'g')) a from part)
@@ -261,9 +261,9 @@ QUERIES = {
     "consensus_numeric": (consensus_numeric, "select user_id, floor(avg(value) * 1000.0::double + 0.5) / 1000.0::double mean, round(1 - coalesce(stddev_pop(value), 0) / greatest(1.0::double, max(value) - min(value)), 6) agreement from events group by 1"),
     "consensus_reading": (
         consensus_reading,
-        """with r as (select p_partkey, unnest([1, 2, 3, 4]) source, unnest([p_type, lower(p_type), p_type || 'Z', reverse(p_type)]) said from part where p_partkey % 4 = 0),
+        """with r as (select p_partkey, unnest([1, 2, 3, 4]) source, unnest([p_type, lower(p_type), p_type || 'Z', reverse(p_type)]) said from part),
         s as (select a.p_partkey, a.source, avg(1 - levenshtein(lower(a.said), lower(b.said))::double / greatest(len(a.said), len(b.said))) alike from r a join r b on a.p_partkey = b.p_partkey and a.source <> b.source group by 1, 2)
-        select p_partkey, source::bigint source, round(alike, 6) alike from (select *, row_number() over (partition by p_partkey order by alike desc, source) i from s) where i = 1""",
+        select p_partkey, source::bigint source, round(alike, 6) alike from (select *, row_number() over (partition by p_partkey order by round(alike, 9) desc, source) i from s) where i = 1""",
     ),
     "consensus_string": (consensus_string, None),
 }

@@ -31,7 +31,7 @@ def test_travel(spark):
 def test_drift(spark):
     v = series.ordered_values(events(spark, [("a", 2, 0.3), ("a", 0, 0.1), ("a", 1, 0.5)]), "k", "value")
     r = v.select(series.ema("values").alias("e"), series.trend("values").alias("t")).first()
-    assert abs(r.e - 0.244) < 1e-9 and r.t == "rising"
+    assert abs(r.e - 0.244) < 1e-9 and r.t == "increasing"
     d = spark.createDataFrame([(1.0, 24.0), (1.0, 0.0), (1.0, -24.0)], "t double, h double").select(series.decayed("t", F.col("h")).alias("d")).collect()
     assert [r.d for r in d] == [0.5, 1.0, 0.5]
     shift = series.shifts(events(spark, [("a", i, 0.9) for i in range(5)] + [("a", 6, 0.2)]), "k", "value").collect()
@@ -75,7 +75,7 @@ def test_fraud_scores(spark):
 
 
 def test_graph(spark):
-    e = spark.createDataFrame([(f"p{i}", "d1", "shared_device", 1.0, 1, T0) for i in range(4)] + [("p8", "p9", "uses", 1.0, 1, T0), ("a", "b", "x", 1.0, 1, T0), ("b", "c", "x", 1.0, 1, T0), ("c", "d", "x", 1.0, 1, T0)], "src string, dst string, type string, weight double, evidence int, last_seen timestamp")
+    e = spark.createDataFrame([(f"p{i}", "d1", "shares_device", 1.0, 1, T0) for i in range(4)] + [("p8", "p9", "uses", 1.0, 1, T0), ("a", "b", "x", 1.0, 1, T0), ("b", "c", "x", 1.0, 1, T0), ("c", "d", "x", 1.0, 1, T0)], "src string, dst string, type string, weight double, evidence int, last_seen timestamp")
     low = spark.createDataFrame([(f"p{i}", 0.2) for i in range(4)], "id string, trust double")
     high = spark.createDataFrame([(f"p{i}", 0.9) for i in range(4)], "id string, trust double")
     assert graph.fraud_rings(low, e).count() == 1 and graph.fraud_rings(high, e).count() == 0 and graph.fraud_rings(low, e, min_size=9).count() == 0
@@ -89,9 +89,9 @@ def test_graph(spark):
 def test_chains(spark):
     e = events(spark, [("a", i, i) for i in range(6)] + [("b", 0, 1)]).withColumn("p", F.col("value").cast("string"))
     c = chains.build(e, "k", ["ts", "event_id"], "p")
-    assert {r.k: r.intact for r in chains.verify(c, "k", "p").collect()} == {"a": True, "b": True}
+    assert {r.k: r.intact for r in chains.checked(c, "k", "p").collect()} == {"a": True, "b": True}
     broken = c.withColumn("p", F.when((F.col("k") == "a") & (F.col("idx") == 3), "x").otherwise(F.col("p")))
-    assert {r.k: r.first_broken for r in chains.verify(broken, "k", "p").collect()} == {"a": 3, "b": None}
+    assert {r.k: r.first_broken for r in chains.checked(broken, "k", "p").collect()} == {"a": 3, "b": None}
 
 
 def test_merkle(spark):
