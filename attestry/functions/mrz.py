@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestry.functions.numbers import bound
+
 VALUES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Lines, length, and (line, from, size) of each part.
@@ -38,12 +40,15 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 25)
 
 
-def detect(text: Column) -> Column:
-    found = lines(text)
+def _kind(found: Column) -> Column:
     fits = lambda n, lo, hi: (F.size(found) == n) & F.forall(found, lambda x: F.length(x).between(lo, hi))
     return F.when(fits(3, 28, 30), "TD1").when(fits(2, 34, 36), "TD2").when(fits(2, 42, 44), "TD3")
 
 
+def detect(text: Column) -> Column:
+    return bound(lines(text), _kind)
+
+
 def _iso(yymmdd: Column, pivot: int) -> Column:
     yy, mm, dd = (F.substring(yymmdd, i, 2).try_cast("int") for i in (1, 3, 5))
     good = yymmdd.rlike("^[0-9]{6}$") & mm.between(1, 12) & dd.between(1, 31)
@@ -51,14 +56,15 @@ def _iso(yymmdd: Column, pivot: int) -> Column:
 
 
 def parse(text: Column, reading: str = "plain", pivot: int = 30) -> Column:
-    """A struct of the zone's fields and its four check results; null fields if
-    the text is no zone."""
-    kind = detect(text)
-    found = lines(text)
+    """A struct of the zone's fields and its four check results; null if the text
+    is no zone.  The text is split once, and its lines are padded once."""
 
-    def of(name: str) -> Column:
+    def of(name: str, found: Column) -> Column:
         layout = LAYOUTS[name]
-        padded = [F.rpad(F.element_at(found, i + 1), layout["size"], "<") for i in range(layout["lines"])]
+        lined = F.array(*[F.rpad(F.element_at(found, i + 1), layout["size"], "<") for i in range(layout["lines"])])
+        return bound(lined, lambda rows: fields(name, layout, [rows[i] for i in range(layout["lines"])]))
+
+    def fields(name: str, layout: dict, padded: list[Column]) -> Column:
         cut = lambda part: F.substring(padded[part[0]], part[1] + 1, part[2])
         get = lambda part: cut(layout[part])
         plain = lambda c: F.trim(F.regexp_replace(c, "<+", " "))
@@ -85,4 +91,7 @@ def parse(text: Column, reading: str = "plain", pivot: int = 30) -> Column:
             (number_ok & birth_ok & expiry_ok & composite_ok).alias("valid"),
         )
 
-    return F.when(kind == "TD1", of("TD1")).when(kind == "TD2", of("TD2")).when(kind == "TD3", of("TD3"))
+    def either(found: Column) -> Column:
+        return bound(_kind(found), lambda kind: F.when(kind == "TD1", of("TD1", found)).when(kind == "TD2", of("TD2", found)).when(kind == "TD3", of("TD3", found)))
+
+    return bound(lines(text), either)

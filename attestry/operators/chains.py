@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.streaming.folds import in_order
+
 
 def link(previous: Column, payload: Column) -> Column:
     """Hash of an entry over the one before it; the first follows ''."""
@@ -20,27 +22,31 @@ def canonical_json(*columns: str) -> Column:
     return F.to_json(F.struct(*sorted(columns)))
 
 
-def build(events: DataFrame, key: str, order: list[str], payload: str) -> DataFrame:
+def build(events: DataFrame, key: str, order: list[str], payload: str, genesis: str = "") -> DataFrame:
     """Adds ``idx``, ``prev_hash`` and ``hash`` along each key's order.
 
-    Each hash needs the last, so a key is folded in one array; the fold stays in
-    the JVM.  Chains are kept by key, never one for the whole table.
+    Each hash needs the last, so chains are kept by key, never one for the whole
+    table; a partition is sorted by key and read in batches.
     """
-    entries = F.array_sort(F.collect_list(F.struct(*order, F.col(payload).alias("_payload"))))
-    rows = events.groupBy(key).agg(entries.alias("e"))
-    step = lambda acc, x: F.concat(acc, F.array(link(F.element_at(acc, -1), x["_payload"])))
-    rows = rows.withColumn("h", F.aggregate("e", F.array(F.lit("")), step))
-    out = rows.select(key, "h", F.posexplode("e").alias("idx", "x"))
-    return out.select(key, "idx", *[F.col(f"x.{c}").alias(c) for c in order], F.col("x._payload").alias(payload), F.element_at("h", F.col("idx") + 1).alias("prev_hash"), F.element_at("h", F.col("idx") + 2).alias("hash"))
+    names = [key, "idx", *order, payload, "prev_hash", "hash"]
+
+    def step(state: dict, row: dict) -> tuple[dict, tuple]:
+        idx, before = state.get("idx", 0), state.get("hash", genesis)
+        done = hashlib.sha256(f"{before}|{row[payload]}".encode()).hexdigest()
+        return {"idx": idx + 1, "hash": done}, (row[key], idx, *[row[c] for c in order], row[payload], before, done)
+
+    rows = events.select(key, *order, F.coalesce(F.col(payload).cast("string"), F.lit("")).alias(payload))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"idx": "int", "prev_hash": "string", "hash": "string"}
+    return in_order(rows, key, order, names, step, ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
 
-def checked(chain: DataFrame, key: str, payload: str, idx: str = "idx") -> DataFrame:
+def checked(chain: DataFrame, key: str, payload: str, idx: str = "idx", genesis: str = "") -> DataFrame:
     """By key: entries, ``first_broken`` index (null if none) and ``intact``.
 
     Each entry is checked on its own against the one before, so all in parallel.
     """
     w = Window.partitionBy(key).orderBy(idx)
-    before = F.coalesce(F.lag("hash").over(w), F.lit(""))
+    before = F.coalesce(F.lag("hash").over(w), F.lit(genesis))
     bad = (F.col("prev_hash") != before) | (F.col("hash") != link(F.col("prev_hash"), F.col(payload)))
     checked = chain.select(key, idx, F.coalesce(bad, F.lit(True)).alias("bad"))
     return checked.groupBy(key).agg(F.count("*").alias("entries"), F.min(F.when(F.col("bad"), F.col(idx))).alias("first_broken")).withColumn("intact", F.col("first_broken").isNull())

@@ -367,6 +367,16 @@ def sliding_counts(spark, sf_dir):
 
 
 _CHAIN = "r as (select user_id, event_id || '|' || event_type payload, row_number() over (partition by user_id order by ts, event_id) - 1 idx from events), rec as (select user_id, idx, sha256('|' || payload) hash from r where idx = 0 union all select r.user_id, r.idx, sha256(rec.hash || '|' || r.payload) from rec join r on r.user_id = rec.user_id and r.idx = rec.idx + 1)"
+
+
+def _merkle_sql(levels: int = 20) -> str:
+    """Level by level, more of them than any tree here has; a last odd node is hashed with itself, a lone one stays."""
+    out = ["l0 as (select o_custkey % 20 tree, row_number() over (partition by o_custkey % 20 order by o_orderkey) - 1 i, sha256(o_orderkey::varchar) h from orders)"]
+    for n in range(levels):
+        out.append(f"l{n + 1} as materialized (select tree, i // 2 i, case when any_value(many) = 1 then any_value(h) else sha256(arg_min(h, i) || arg_max(h, i)) end h from (select *, count(*) over (partition by tree) many from l{n}) group by 1, 2)")
+    return "with " + ", ".join(out) + f" select tree, h root from l{levels}"
+
+
 QUERIES = {
     "group_stats": (group_stats, f"with {_STATS} select value, approved, rejected, reviewed, total, round(p, 6) p_approve from s"),
     "fairness_metrics": (fairness_metrics, f"with {_METRICS} select metric, round(value, 6) as value, status from a"),
@@ -393,7 +403,13 @@ QUERIES = {
         """with t as (select c_custkey k, c_custkey % 3 r, list_filter([case when c_custkey % 2 = 0 then 'face' end, case when c_custkey % 3 = 0 then 'document' end], lambda x: x is not null) have, list_filter([case when c_custkey % 4 = 0 then 'face' end, case when c_custkey % 5 = 0 then 'voice' end], lambda x: x is not null) bad from customer)
         select k c_custkey, array_to_string((bad || list_filter(['face', 'document', 'voice', 'behavioral', 'device'], lambda m: not list_contains(have, m) and not list_contains(bad, m))[1:greatest(0, (case r when 2 then 3 when 1 then 2 else 0 end) - len(bad))])[1:3], ',') as next from t""",
     ),
-    "modality_weights": (modality_weights, None),
+    "modality_weights": (
+        modality_weights,
+        """with b as (select c_custkey, c_custkey % 3 r, c_custkey % 1000 age, [[0.45::double, 0.15, 0.15, 0.20, 0.05], [0.35, 0.20, 0.15, 0.25, 0.05], [0.40, 0.20, 0.05, 0.30, 0.05]][c_custkey % 3 + 1] base,
+        [[-0.03::double, -0.02, 0.05, 0.0, 0.0], [0.03, 0.0, -0.05, 0.0, 0.02], [0.0, -0.05, -0.08, 0.03, 0.10]][c_custkey % 3 + 1] shift from customer),
+        w as (select c_custkey, list_transform(range(1, 6), lambda i: greatest(0.001::double, base[i] + shift[i] + case when age > 600 then [-0.03::double, 0.0, 0.05, -0.02, 0.0][i] when age < 30 then [0.03::double, 0.0, -0.05, 0.02, 0.0][i] else 0 end)) w from b)
+        select c_custkey, round(w[1] / list_sum(w), 6) face, round(w[2] / list_sum(w), 6) voice, round(w[3] / list_sum(w), 6) behavioral, round(w[4] / list_sum(w), 6) "document", round(w[5] / list_sum(w), 6) device from w""",
+    ),
     "decision_engine": (
         decision_engine,
         """select o_orderkey, case when o_orderkey % 13 = 0 then 'UNSUPPORTED_DOCUMENT' when o_orderkey % 11 = 0 then 'DOCUMENT_MISMATCH' when o_orderkey % 7 = 0 then 'INVALID_STRUCTURE' when o_orderkey % 17 = 0 then 'EXPIRED'
@@ -455,11 +471,15 @@ QUERIES = {
         """with s as (select doc_id, lower(text) t from documents), c as (select doc_id, contains(t, 'que')::int::double + contains(t, 'les')::int fr, contains(t, 'the')::int * 1.5::double en, contains(t, 'und')::int * 1.5::double de, contains(t, 'los')::int::double es from s), m as (select *, greatest(fr, en, de, es) g from c)
         select doc_id, case when g = 0 then 'unknown' when fr = g then 'fr' when en = g then 'en' when de = g then 'de' else 'es' end intent, g score from m""",
     ),
-    "page_features": (page_features, None),
+    "page_features": (
+        page_features,
+        r"""select page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') title, len(regexp_extract_all(html, '(?i)<a[^>]*href\s*=\s*["''][^"'']*["'']'))::bigint links,
+        len(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) > 0 has_text from pages""",
+    ),
     "conversation_context": (conversation_context, "select conv_id, turn, md5(coalesce(array_to_string(list_filter(list(text) over (partition by conv_id order by turn rows between 2 preceding and 1 preceding), lambda x: x is not null), chr(10)), '')) digest from conversations"),
     "audit_chain": (audit_chain, f"with recursive {_CHAIN} select user_id, max(idx) last_idx, arg_max(hash, idx) head from rec group by 1"),
     "audit_chain_check": (audit_chain_check, "select user_id, count(*) entries, case when user_id % 3 = 0 and count(*) > 2 then 2 end first_broken, not (user_id % 3 = 0 and count(*) > 2) intact from events group by user_id"),
-    "merkle_root": (merkle_root, None),
+    "merkle_root": (merkle_root, _merkle_sql()),
     "provenance_steps": (
         provenance_steps,
         """with a as (select o_orderkey, sha256('|capture|' || o_orderstatus) h0, o_orderpriority p, o_custkey c from orders), b as (select *, sha256(h0 || '|extract|' || p) h1 from a), d as (select *, sha256(h1 || '|decide|' || c) h2 from b)

@@ -108,6 +108,14 @@ def circuit_breaker(spark, sf_dir):
     return folds.batch(e, "user_id", folds.breaker(threshold=2, rest_s=86_400, probes=1))
 
 
+def _fold(first: str, then: str) -> str:
+    """State along each user's events; e is the event, r the last state."""
+    return (
+        f"with recursive {SIGNALS_SQL}, e as (select user_id, event_id, epoch_us(ts) / 1000000.0::double t, drift d, event_type <> 'error' ok, row_number() over (partition by user_id order by ts, event_id) i from signals), "
+        f"r as (select user_id, event_id, i, {first} from e where i = 1 union all select e.user_id, e.event_id, e.i, {then} from r join e on e.user_id = r.user_id and e.i = r.i + 1) "
+    )
+
+
 _BY = "partition by user_id order by ts, event_id"
 QUERIES = {
     "velocity_attack": (velocity_attack, "select user_id, max(c) peak, max(c) > 3 attack from (select user_id, count(*) over (partition by user_id order by ts range between interval 6 hours preceding and current row) c from events) group by user_id"),
@@ -153,9 +161,29 @@ QUERIES = {
     ),
     "first_last_seen": (first_last_seen, "select user_id, epoch_us(min(ts)) first_us, epoch_us(max(ts)) last_us from events group by user_id"),
     "session_steps": (session_steps, "with f as (select user_id, event_type, min((ts, event_id)) f from events group by 1, 2) select user_id, string_agg(event_type, '>' order by f) steps from f group by 1"),
-    "anchored_velocity": (anchored_velocity, None),
-    "fixed_window_limiter": (fixed_window_limiter, None),
-    "sliding_log_limiter": (sliding_log_limiter, None),
-    "auth_session_machine": (auth_session_machine, None),
-    "circuit_breaker": (circuit_breaker, None),
+    "anchored_velocity": (
+        anchored_velocity,
+        _fold("t s, 1 n", "case when e.t - r.s > 86400 then e.t else r.s end, case when e.t - r.s > 86400 then 1 else r.n + 1 end") + "select user_id, event_id, n::bigint n, case when n > 5 then 'critical' when n > 3 then 'warning' else 'ok' end as level from r",
+    ),
+    "fixed_window_limiter": (fixed_window_limiter, _fold("t + 86400 s, 1 n", "case when r.s < e.t then e.t + 86400 else r.s end, case when r.s < e.t then 1 else r.n + 1 end") + "select user_id, event_id, n::bigint n, case when n <= 3 then 'accepted' else 'rejected' end as level from r"),
+    "sliding_log_limiter": (
+        sliding_log_limiter,
+        _fold("[t] log, true ok", "case when len(list_filter(r.log, lambda x: e.t - x < 86400)) < 3 then list_append(list_filter(r.log, lambda x: e.t - x < 86400), e.t) else list_filter(r.log, lambda x: e.t - x < 86400) end, len(list_filter(r.log, lambda x: e.t - x < 86400)) < 3")
+        + "select user_id, event_id, len(log)::bigint n, case when ok then 'accepted' else 'rejected' end as level from r",
+    ),
+    "auth_session_machine": (
+        auth_session_machine,
+        _fold("least(1.0::double, greatest(0.0::double, d)) a, 1 n, false gone", "case when r.a >= 0.4 then r.a else 0.3::double * least(1.0::double, greatest(0.0::double, e.d)) + (1 - 0.3::double) * r.a end, case when r.a >= 0.4 then r.n else r.n + 1 end, r.a >= 0.4")
+        + "select user_id, event_id, n::bigint n, case when gone then 'error' when a >= 0.4 then 'revoked' when a >= 0.15 then 'reverify' else 'active' end as level from r",
+    ),
+    "circuit_breaker": (
+        circuit_breaker,
+        # Two failures open it for a day; then one success closes it and one failure opens it anew.
+        _fold(
+            "case when ok then 'closed' else 'closed' end m, case when ok then 0 else 1 end f, 0.0::double s",
+            """case when r.m = 'open' and e.t - r.s < 86400 then 'open' when r.m = 'open' then case when e.ok then 'closed' else 'open' end when e.ok then 'closed' when r.f + 1 >= 2 then 'open' else 'closed' end,
+            case when r.m = 'open' and e.t - r.s < 86400 then r.f when e.ok then 0 else r.f + 1 end, case when r.m = 'open' and e.t - r.s < 86400 then r.s when not e.ok and (r.m = 'open' or r.f + 1 >= 2) then e.t else r.s end""",
+        )
+        + "select user_id, event_id, f::bigint n, m as level from r",
+    ),
 }

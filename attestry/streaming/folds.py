@@ -6,9 +6,16 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_NOTHING = object()
+
+#: (state, event) -> (state, answer); an event has ``at`` in seconds and ``value``.
 Fold = Callable[[dict[str, Any], dict[str, Any]], tuple[dict[str, Any], dict[str, Any]]]
 
 
@@ -17,7 +24,7 @@ def anchored_velocity(window_s: float = 3600.0, critical: int = 20, warning: int
     the first event after its end."""
 
     def step(state: dict, event: dict) -> tuple[dict, dict]:
-        at = event["ts"].timestamp()
+        at = event["at"]
         if state.get("start") is None or at - state["start"] > window_s:
             state = {"start": at, "n": 0}
         state["n"] += 1
@@ -31,7 +38,7 @@ def fixed_window(limit: int, window_s: float = 60.0) -> Fold:
     """Accepts ``limit`` events, then none until the window's end has passed."""
 
     def step(state: dict, event: dict) -> tuple[dict, dict]:
-        at = event["ts"].timestamp()
+        at = event["at"]
         if state.get("end") is None or state["end"] < at:
             state = {"end": at + window_s, "n": 0}
         state["n"] += 1
@@ -45,7 +52,7 @@ def sliding_log(limit: int, window_s: float = 60.0) -> Fold:
     rejected ones leave no trace."""
 
     def step(state: dict, event: dict) -> tuple[dict, dict]:
-        at = event["ts"].timestamp()
+        at = event["at"]
         log = [t for t in state.get("log", []) if at - t < window_s]
         ok = len(log) < limit
         if ok:
@@ -75,7 +82,7 @@ def breaker(threshold: int = 5, rest_s: float = 30.0, probes: int = 2) -> Fold:
     """Circuit breaker replayed over calls; ``value`` > 0 is a success."""
 
     def step(state: dict, event: dict) -> tuple[dict, dict]:
-        at, ok = event["ts"].timestamp(), float(event["value"]) > 0
+        at, ok = event["at"], float(event["value"]) > 0
         s = {"mode": "closed", "fails": 0, "good": 0, "since": 0.0, **state}
         if s["mode"] == "open":
             if at - s["since"] < rest_s:
@@ -108,19 +115,43 @@ def delivery(most: int = 3) -> Fold:
     return step
 
 
+def _timed(events: DataFrame, key: str, order: str) -> DataFrame:
+    """Events with their time in seconds (``at``)."""
+    return events.select(key, (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), order, "value")
+
+
+def in_order(rows: DataFrame, key: str, order: list[str], names: list[str], step: Callable[[dict[str, Any], dict[str, Any]], tuple[dict[str, Any], tuple]], schema: str) -> DataFrame:
+    """``step(state, row)`` along each key's order, a row out for each row in.
+
+    A partition is sorted by key and order and read batch by batch, so no key is
+    ever held as a whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: Any = _NOTHING
+        state: dict[str, Any] = {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row[key] != last:
+                    last, state = row[key], {}
+                state, answer = step(state, row)
+                out.append(answer)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, zip(*out, strict=True), strict=True)], names) if out else pa.RecordBatch.from_arrays([pa.array([], kinds[n]) for n in names], names)
+
+    kinds = {f.name: to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema)}
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def batch(events: DataFrame, key: str, fold: Fold, order: str = "event_id") -> DataFrame:
     """``key``, ``event_id``, ``n``, ``level`` for each event."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state: dict[str, Any] = {}
-        rows = []
-        for event in frame.sort_values(["ts", order]).to_dict("records"):
-            state, out = fold(state, event)
-            rows.append((event[key], event[order], out["n"], out["level"]))
-        return pd.DataFrame(rows, columns=[key, order, "n", "level"])
+    def step(state: dict, event: dict) -> tuple[dict, tuple]:
+        state, out = fold(state, event)
+        return state, (event[key], event[order], out["n"], out["level"])
 
     kind, order_kind = (events.schema[c].dataType.simpleString() for c in (key, order))
-    return events.select(key, "ts", order, "value").groupBy(key).applyInPandas(run, f"{key} {kind}, {order} {order_kind}, n long, level string")
+    return in_order(_timed(events, key, order), key, ["at", order], [key, order, "n", "level"], step, f"{key} {kind}, {order} {order_kind}, n long, level string")
 
 
 class _Processor(StatefulProcessor):
@@ -136,7 +167,7 @@ class _Processor(StatefulProcessor):
         state = json.loads(self.state.get()[0]) if self.state.exists() else {}
         frame = pd.concat(list(rows))
         out = []
-        for event in frame.sort_values(["ts", self.order]).to_dict("records"):
+        for event in frame.sort_values(["at", self.order]).to_dict("records"):
             state, answer = self.fold(state, event)
             out.append((key[0], event[self.order], answer["n"], answer["level"]))
         self.state.update((json.dumps(state),))
@@ -150,7 +181,7 @@ def stream(events: DataFrame, key: str, fold: Fold, order: str = "event_id") ->
     """The same for a stream; needs the RocksDB state store."""
     kind, order_kind = (events.schema[c].dataType.simpleString() for c in (key, order))
     return (
-        events.select(key, "ts", order, "value")
+        _timed(events, key, order)
         .groupBy(key)
         .transformWithStateInPandas(statefulProcessor=_Processor(key, order, fold), outputStructType=f"{key} {kind}, {order} {order_kind}, n long, level string", outputMode="Append", timeMode="None")
     )
