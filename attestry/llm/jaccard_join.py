@@ -281,7 +281,8 @@ def join_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     alive = best.where("sig is not null")
     # A table of its own: so the join below is a plain one, which Spark can split at a hot set.
     reps = cluster.written(alive.groupBy("sig").agg(F.min(F.struct("doc_id", "row")).alias("rep")), "reps")
-    same = alive.join(reps, "sig").select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b"))
+    same = alive.join(reps, "sig").select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b")).where("a <> b")
+    same = cluster.written(same, "same")
     chosen = reps.select(F.col("rep.doc_id").alias("id"), F.col("rep.row").alias("row"))
     sets = found.where("sig is not null").select(F.col("doc_id").alias("id"), "row", "own", "shingles").join(chosen, ["id", "row"], "left_semi")
     sets = cluster.written(sets.select("id", "own", "shingles"), "sets")
@@ -293,7 +294,7 @@ def join_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     cluster.dropped(member)
     star = judged.where("linked").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     known = cluster.written(cluster.components(star), "known")
-    edges = same.where("a <> b").unionByName(star).unionByName(other_answers(judged, known, percent))
+    edges = same.unionByName(star).unionByName(other_answers(judged, known, percent))
     comps = cluster.components(edges)
     named = best.select("doc_id", F.col("n").alias("n_shingles")).join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     nameless = found.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
