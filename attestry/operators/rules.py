@@ -274,6 +274,26 @@ def evidence_status(evidence, live, unsupported, expired, least_live: float = 0.
     )
 
 
+def confidence_breakdown(evidence, findings, live: Column, face: Column) -> Column:
+    """Shares behind a decision: mean OCR confidence of the findings (source,
+    confidence) read by OCR, 0.5 where unknown; passed structural and cross-field
+    checks; chip and half of issuer checks; liveness and face match as they are."""
+    e, f = F.col(evidence), F.col(findings)
+    about = lambda x, *words: reduce(lambda a, b: a | b, [F.contains(x["check"], F.lit(w)) for w in words])
+    some = lambda *words: F.filter(e, lambda x: about(x, *words))
+    share = lambda found: F.size(F.filter(found, lambda x: x["result"] == "pass")) / F.greatest(F.size(found), F.lit(1))
+    passed = lambda *words: F.coalesce(F.try_element_at(some(*words), F.lit(1))["result"] == "pass", F.lit(False)).cast("int")
+    read = F.transform(F.filter(f, lambda x: x["source"] == "ocr"), lambda x: F.coalesce(F.nullif(x["confidence"], F.lit(0.0)), F.lit(0.5)))
+    return F.struct(
+        (F.aggregate(read, F.lit(0.0), lambda a, c: a + c) / F.greatest(F.size(read), F.lit(1))).alias("ocr"),
+        share(some("structure", "MRZ", "cross_field")).alias("structural"),
+        share(some("cross_field")).alias("cross_field"),
+        (passed("chip", "electronic") + passed("issuer", "registry") / 2).alias("authenticity"),
+        live.alias("liveness"),
+        face.alias("face_match"),
+    )
+
+
 def risk_fusion(signals: dict[str, Column], codes: Column, critical: list[str]) -> Column:
     """Weighted mean of the signals; a critical code rejects, else by bands."""
     total = reduce(lambda a, b: a + b, [F.coalesce(signals[k], F.lit(0.0)) * w for k, w in RISK_WEIGHTS.items() if k in signals])

@@ -61,6 +61,43 @@ def id_validity(spark, sf_dir):
     return rows.groupBy("country").agg(F.count_if("r.is_valid").alias("valid"), F.count_if("r.checksum_valid").alias("checked"), F.sum("r.birth_year").alias("years"), F.count_if(F.col("r.sex") == "Male").alias("male"))
 
 
+#: Published specimens, valid by their issuers' own rules, and the same with a wrong last character.
+SPECIMENS = (
+    ("BR", "52998224725", "52998224726"),
+    ("PL", "44051401359", "44051401350"),
+    ("NL", "111222333", "111222334"),
+    ("FR", "255081416802538", "255081416802539"),
+    ("ES", "12345678Z", "12345678A"),
+    ("ES", "X1234567L", "X1234567A"),
+    ("HR", "94577403194", "94577403195"),
+    ("EE", "37605030299", "37605030290"),
+    ("SE", "8112189876", "8112189877"),
+    ("NO", "29029600013", "29029600014"),
+    ("CZ", "7103192745", "7103192746"),
+    ("RO", "1800101221144", "1800101221145"),
+    ("BG", "7523169263", "7523169264"),
+    ("ZA", "8001015009087", "8001015009088"),
+    ("IN", "999941057058", "999941057059"),
+    ("CL", "76086428-5", "76086428-6"),
+    ("SG", "S1234567D", "S1234567A"),
+    ("IL", "123456782", "123456783"),
+    ("CA", "046454286", "046454287"),
+    ("PT", "123456789", "123456780"),
+    ("AU", "123456782", "123456783"),
+    ("JP", "123456789018", "123456789019"),
+    ("RS", "0101006500006", "0101006500007"),
+    ("LT", "33309240064", "33309240065"),
+    ("IR", "0084575948", "0084575949"),
+    ("RU", "500100732259", "500100732250"),
+)
+
+
+def specimen_ids(spark, sf_dir):
+    """Specimens with the verdict of their country's rule."""
+    rows = spark.createDataFrame([(c, i) for c, *ids in SPECIMENS for i in ids], "country string, id string")
+    return checksums.validate(rows).select("country", "id", "checksum_valid")
+
+
 def _id_sql() -> str:
     parts = []
     for cc in checksums.RULES:
@@ -209,6 +246,14 @@ def consensus_string(spark, sf_dir):
 
 QUERIES = {
     "id_validity": (id_validity, _id_sql()),
+    "specimen_ids": (
+        specimen_ids,
+        """select * from (values ('BR', '52998224725', true), ('PL', '44051401359', true), ('NL', '111222333', true), ('FR', '255081416802538', true), ('ES', '12345678Z', true), ('ES', 'X1234567L', true), ('HR', '94577403194', true), ('EE', '37605030299', true), ('SE', '8112189876', true),
+        ('NO', '29029600013', true), ('CZ', '7103192745', true), ('RO', '1800101221144', true), ('BG', '7523169263', true), ('ZA', '8001015009087', true), ('IN', '999941057058', true), ('CL', '76086428-5', true), ('SG', 'S1234567D', true), ('IL', '123456782', true), ('CA', '046454286', true), ('PT', '123456789', true), ('AU', '123456782', true),
+        ('JP', '123456789018', true), ('RS', '0101006500006', true), ('LT', '33309240064', true), ('IR', '0084575948', true), ('RU', '500100732259', true), ('BR', '52998224726', false), ('PL', '44051401350', false), ('NL', '111222334', false), ('FR', '255081416802539', false), ('ES', '12345678A', false), ('ES', 'X1234567A', false), ('HR', '94577403195', false), ('EE', '37605030290', false), ('SE', '8112189877', false),
+        ('NO', '29029600014', false), ('CZ', '7103192746', false), ('RO', '1800101221145', false), ('BG', '7523169264', false), ('ZA', '8001015009088', false), ('IN', '999941057059', false), ('CL', '76086428-6', false), ('SG', 'S1234567A', false), ('IL', '123456783', false), ('CA', '046454287', false), ('PT', '123456780', false), ('AU', '123456783', false),
+        ('JP', '123456789019', false), ('RS', '0101006500007', false), ('LT', '33309240065', false), ('IR', '0084575949', false), ('RU', '500100732250', false)) t(country, id, checksum_valid)""",
+    ),
     "luhn_validity": (
         luhn_validity,
         "select c_custkey, list_sum(list_transform(range(1, 10), lambda i: case when i % 2 = 0 then (case when substr(lpad(c_custkey::varchar, 9, '0'), i, 1)::int > 4 then substr(lpad(c_custkey::varchar, 9, '0'), i, 1)::int * 2 - 9 else substr(lpad(c_custkey::varchar, 9, '0'), i, 1)::int * 2 end) else substr(lpad(c_custkey::varchar, 9, '0'), i, 1)::int end)) % 10 = 0 ok from customer",
