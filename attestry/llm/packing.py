@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm import cluster, worker
 from attestry.llm.text import blocks
-from attestry.llm.tokens import encoder, path
+from attestry.llm.tokens import BLOCK, encoder, path
 
 CAPACITY = 4096
 
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", name: s
         schema_id = [pa.int64()]
         for batch in batches:
             schema_id[0] = batch.schema.field("doc_id").type
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", BLOCK):
                 got = enc.block(block)
                 for i, doc in enumerate(block.rows.column("doc_id").to_pylist()):
                     ids = np.append(got.values[got.bounds[i] : got.bounds[i + 1]], np.uint32(end_id)).astype("<u4")

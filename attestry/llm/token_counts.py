@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm import cluster, worker
 from attestry.llm.text import blocks
-from attestry.llm.tokens import encoder, path
+from attestry.llm.tokens import BLOCK, encoder, path
 
 #: Entries of the broadcast table and of each summary.
 TABLE = 1 << 15
@@ -45,7 +45,7 @@ def frequent(docs: DataFrame, text: str, name: str, size: int = TABLE) -> dict[s
     def summary(batches):
         enc, found = encoder(path(name)), {}
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", BLOCK):
                 texts = [enc.normal(block.text(i).decode()) for i in range(len(block))]
                 joined, start, end, _ = enc.split(texts)
                 _, first, many = np.unique(enc.hash_pieces(joined, start, end), return_index=True, return_counts=True)
@@ -107,7 +107,7 @@ def count_tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     def count(batches):
         enc = encoder(path(name))
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", BLOCK):
                 n = enc.block(block, lambda keys: looked_up(sent.value, keys), lengths=True).values
                 yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(np.diff(block.offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

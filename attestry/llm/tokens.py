@@ -22,8 +22,11 @@ import numpy as np
 from attestry.llm import worker
 from attestry.llm.text import Block, mix, powers
 
-#: Entries of each of the two generations of a worker's cache (some 10 MB).
-CACHE_SIZE = 50_000
+#: Entries of each of the two generations of a worker's cache (some 30 MB).
+CACHE_SIZE = 150_000
+
+#: Text bytes of a block; a pre-token is looked up once a block.
+BLOCK = 4 << 20
 
 #: Code points below this have a class; the planes above hold no common script.
 PLAIN_UP_TO = 0x30000

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm import cluster, worker
 from attestry.llm.text import blocks
-from attestry.llm.tokens import encoder, path
+from attestry.llm.tokens import BLOCK, encoder, path
 
 #: Ids of a file, unless one document has more.
 SHARD_IDS = 4 << 20
@@ -183,7 +183,7 @@ def write(docs: DataFrame, folder: str, id_column: str = "doc_id", text: str = "
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([start]), pa.array([held]), pa.array([matrix.tobytes()], pa.binary())], ["part", "seq", "start", "n_ids", "file"])
 
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", BLOCK):
                 got = enc.block(block)
                 for i, doc in enumerate(block.rows.column("doc_id").to_pylist()):
                     one = np.append(got.values[got.bounds[i] : got.bounds[i + 1]], np.uint32(end_id))
