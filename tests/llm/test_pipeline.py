@@ -69,10 +69,24 @@ def test_packed(steps):
 
 
 def test_odd_rows(spark, tmp_path):
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "12 34", "en", "s", 5), (4, "the and of the with that", None, None, None), (4, "the and of the with that", None, None, None)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    """Each stage on nulls, empty, very long and repeated texts, and on no rows."""
+    long = " ".join(f"the word{i} and of that" for i in range(30_000))
+    same = "the and of the with that is a text of some more words than five"
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "12 34", "en", "s", 5), (4, same, None, None, None), (4, same, None, None, None), (5, same, "en", "s", 9), (None, same, "en", "s", 9), (6, long, "en", "s", 1), (7, "the item of ten words is here in the text too", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None), (2, ""), (3, "the item of ten words is here in the text")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, str(tmp_path)).count() <= 30
-        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r.doc_id if r.doc_id is not None else 0) for r in df.collect())
+    of = lambda name: stage[name](spark, docs, str(tmp_path))
+    assert ids(of("language_id")) == [0, 4, 4, 5, 6, 7]  # no letter, no language
+    assert ids(of("ngram_jaccard_join")) == [0, 1, 2, 3, 4, 4, 6, 7]  # 5 is a copy of 4; no id, no link
+    assert ids(of("substring_dedup")) == [0, 1, 2, 3, 4, 4, 5, 6, 7]  # nothing repeats over 35 words
+    assert ids(of("benchmark_decontamination")) == [0, 1, 2, 3, 4, 4, 5, 6]
+    packed = {}
+    for r in of("packing").collect():
+        packed.setdefault(r.doc_id, set()).add(r.doc_tokens)
+    assert set(packed) == {1, 2, 3, 4, 5, 6, 7, None} and packed[1] == packed[2] == {1} and min(packed[6]) > 4096
+    for f in stage.values():
+        assert f(spark, docs.limit(0), str(tmp_path)).count() == 0
