@@ -31,7 +31,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8) the
-    document with the smallest id stays.  Rows of one id stay or go together."""
+    document with the smallest id stays.  Rows of one id stay or go together; a row
+    without an id, and a text without words, links with nothing and stays."""
     groups = jaccard_join.join_groups(docs, k=5, percent=80)
     gone = groups.where("doc_id <> component_id").select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -47,14 +48,18 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share ten words in a row with a benchmark item go."""
+    """Documents that share ten words in a row with a benchmark item go.  Null,
+    empty and very long texts are judged alike: without words there is no hit and
+    the document stays.  Rows of one id stay or go together; a row without an id
+    stays."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     gone = decontaminate.find(docs, items).where("n_hit > 0").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, as query op10 returns them."""
+    """Pieces of token sequences, as query op10 returns them.  A null or empty text
+    is its end id alone; repeated rows are packed each for itself."""
     out = packing.pack(docs)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
