@@ -22,8 +22,8 @@ import numpy as np
 from attestry.llm import worker
 from attestry.llm.text import Block, mix, powers
 
-#: Entries of each of the two generations of a worker's cache (some 30 MB).
-CACHE_SIZE = 150_000
+#: Entries of each of the two generations of a worker's cache (some 20 MB).
+CACHE_SIZE = 100_000
 
 #: Text bytes of a block; a pre-token is looked up once a block.
 BLOCK = 4 << 20
