@@ -57,10 +57,30 @@ c as (select a, count(*) n from l group by 1), r as (select a id, a root from l
 select vec_id, coalesce(c.n, 0) n_links, coalesce(m.root, vec_id) component_id, coalesce(m.root, vec_id) = vec_id kept from embeddings left join c on c.a = vec_id left join m on m.id = vec_id
 """
 
+#: CRC-32 of the text {0}; {1} is the list of the remainders of all bytes.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, list_transform(range(len(hex({0})) // 2), lambda k: cast('0x' || substr(hex({0}), 2 * k + 1, 2) as bigint))), lambda c, y: xor(c >> 8, {1}[1 + (xor(c, y) & 255)])), 4294967295)"
+_CRC_TABLE = "(select list(v order by i) from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) v from (select unnest(range(256)) i)))"
+
+OP11 = f"""
+with h as (select c, {_CRC32.format("cast(c as varchar)", "t")} % 9 h from (select distinct conv_id c, {_CRC_TABLE} t from conversations where conv_id is not null)),
+o as (select conv_id c, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) p from conversations where conv_id is not null),
+u as (select h.c, p, r, x, 0 part from h join o on o.c = h.c - h.c % 5 where p <= h union all select h.c, p, r, x, 1 from h join o on o.c = h.c where p > h),
+s as (select c, row_number() over (partition by c order by part, p) d, strlen(x) z, length(r) || ':' || r || length(x) || ':' || x y from u),
+q as (select c, d, z, string_agg(y, '' order by d) over (partition by c order by d) k, string_agg(y, '' order by d) over (partition by c order by d rows between unbounded preceding and 1 preceding) pk from s union all select c, 0, 0, '', null from h),
+m as (select c, max(d) n from q group by 1),
+n as (select k, any_value(d) d, any_value(z) z, any_value(coalesce(pk, '')) pk, min(c) c, count(*) n_convs, string_agg(cast(c as varchar), ',' order by c) filter (d = n) ends from q join m using (c) group by k),
+w as (select n.*, (select count(*) from n i where i.pk = n.k and i.d = n.d + 1) n_children from n),
+f as (select q.k, any_value(w.n_convs) n_convs, any_value(w.z) z, any_value(w.n_children) n_children from q join q q2 on q.c = q2.c and q2.d >= q.d join w on w.k = q2.k group by q.k, w.k),
+g as (select k, count(*) filter (n_children = 0) n_leaves, cast(sum((n_convs - 1) * z) as bigint) saved_tokens from f group by k)
+select w.c conv_id, w.d depth, p.c parent_conv_id, w.n_convs, w.n_children, g.n_leaves, g.saved_tokens, sha256(coalesce(w.ends, '')) ends_sha256
+from w join g using (k) left join w p on p.k = w.pk and w.d = p.d + 1
+"""
+
 SQL = {
     "op1_chat_formatting": OP1,
     "op3_substring_dedup": OP3,
     "op5_ngram_jaccard_join": OP5,
     "op7_benchmark_decontamination": OP7,
     "op8_embedding_near_dedup": OP8,
+    "op11_conversation_prefix_trie": OP11,
 }

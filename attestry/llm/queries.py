@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestry.llm import chat_format, cluster, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, oracles, packing, substring_dedup, token_counts, wavelet
+from attestry.llm import chat_format, cluster, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, oracles, packing, prefix_trie, substring_dedup, token_counts, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.nodes(prefix_trie.occurrences(prefix_trie.regrouped(rows, group=5, spread=9), ("base", "conv")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_embedding_near_dedup,
             op9_license_scan,
             op10_packing,
+            op11_conversation_prefix_trie,
         )
     }
 
