@@ -76,6 +76,21 @@ select w.c conv_id, w.d depth, p.c parent_conv_id, w.n_convs, w.n_children, g.n_
 from w join g using (k) left join w p on p.k = w.pk and w.d = p.d + 1
 """
 
+OP13 = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+b as (select regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
+e as (select doc_id, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) f from d),
+g as (select unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) f from b),
+x as (select f, {_CRC32.format("f", "t")} % 10000 k from (select f, {_CRC_TABLE} t from (select f from e union select f from g))),
+s as (select k, count(*) n from e join x using (f) group by 1), t as (select k, count(*) n from g join x using (f) group by 1),
+w as (select k, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select sum(n) from s) + 10000)::double / ((coalesce(s.n, 0) + 1)::double * (coalesce((select sum(n) from t), 0) + 10000)::double))) as bigint) gain from s left join t using (k)),
+m as (select doc_id, count(*) n, cast(sum(gain) as bigint) z from e join x using (f) join w using (k) group by 1),
+v as (select doc_id, len(ws) words, coalesce(n, 0) n_features, coalesce((z - ((z % n) + n) % n) // n, 0) weight from d left join m using (doc_id)),
+c as (select *, weight + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('7:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) score from v),
+r as (select doc_id, row_number() over (order by score desc, doc_id) rank, count(*) over () n from c where words >= 20)
+select doc_id, n_features, weight, score, case when rank <= 25 * r.n // 100 then rank end rank from c left join r using (doc_id)
+"""
+
 SQL = {
     "op1_chat_formatting": OP1,
     "op3_substring_dedup": OP3,
@@ -83,4 +98,5 @@ SQL = {
     "op7_benchmark_decontamination": OP7,
     "op8_embedding_near_dedup": OP8,
     "op11_conversation_prefix_trie": OP11,
+    "op13_importance_resampling": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestry.llm import chat_format, cluster, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, oracles, packing, prefix_trie, substring_dedup, token_counts, wavelet
+from attestry.llm import chat_format, cluster, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, oracles, packing, prefix_trie, resampling, substring_dedup, token_counts, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,11 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie.nodes(prefix_trie.occurrences(prefix_trie.regrouped(rows, group=5, spread=9), ("base", "conv")))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_license_scan,
             op10_packing,
             op11_conversation_prefix_trie,
+            op13_importance_resampling,
         )
     }
 
