@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestry.llm import chat_format, cluster, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, oracles, packing, prefix_trie, resampling, substring_dedup, token_counts, wavelet
+from attestry.llm import chat_format, cluster, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, oracles, packing, prefix_trie, resampling, substring_dedup, token_counts, toxicity, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,13 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie.nodes(prefix_trie.occurrences(prefix_trie.regrouped(rows, group=5, spread=9), ("base", "conv")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(language_id.is_held_out(F.col("doc_id")), F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
     return out.select("doc_id", "n_features", "weight", "score", "rank")
@@ -106,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_license_scan,
             op10_packing,
             op11_conversation_prefix_trie,
+            op12_toxicity,
             op13_importance_resampling,
         )
     }
