@@ -37,12 +37,15 @@ from attestry.llm import cluster
 
 BUCKETS = 10_000
 
+#: What stands between words: all of ASCII but letters and digits.
+_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
     """Runs of letters and digits of ASCII, and of all that lies beyond ASCII, in lower case."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    plain = F.trim(F.translate(F.coalesce(text, F.lit("")), _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN)))
+    return bound(plain, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " +")))
 
 
 def buckets(spoken: Column, longest: int = 2, size: int = BUCKETS) -> Column:
@@ -51,7 +54,7 @@ def buckets(spoken: Column, longest: int = 2, size: int = BUCKETS) -> Column:
 
     def runs(n: int) -> Column:
         starts = F.slice(spoken, F.lit(1), F.greatest(F.size(spoken) - (n - 1), F.lit(0)))
-        return F.transform(starts, lambda w, i: number(F.concat_ws(" ", w, *[spoken[i + k] for k in range(1, n)])))
+        return F.transform(starts, lambda w, i: number(F.concat(w, *[part for k in range(1, n) for part in (F.lit(" "), spoken[i + k])])))
 
     return F.concat(*[runs(n) for n in range(1, longest + 1)])
 
