@@ -305,9 +305,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     # The sample of ids is bounded by max_rows, so the texts stay where they are.
-    labelled = texts.join(F.broadcast(known), "id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    labelled = texts.join(F.broadcast(known), "id").select("id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     parts = max(1, min(cluster.partitions(spark), 24))
-    labelled = cluster.written(labelled.repartition(parts, F.xxhash64("text")), "labelled")
+    labelled = cluster.written(labelled.repartition(parts, "id").drop("id"), "labelled")
     n_rows, n_toxic = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_rows:
         return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(1 / 2)))
