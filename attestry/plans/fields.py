@@ -146,13 +146,6 @@ def content_hashes(spark, sf_dir):
     return c.select("c_custkey", F.md5(said).alias("canonical"), chains.content_id(said).alias("id"), chains.commitment(F.col("c_mktsegment"), F.col("c_custkey")).alias("commitment"))
 
 
-def fairness_trail(spark, sf_dir):
-    """A chain of decisions for each customer segment, from a named genesis."""
-    o = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderpriority").alias("model"), "o_orderdate", "o_orderkey", F.concat_ws("|", "o_orderkey", "o_orderstatus").alias("payload"))
-    chain = chains.build(o, "model", ["o_orderdate", "o_orderkey"], "payload", "genesis")
-    return chain.groupBy("model").agg(F.max("idx").cast("long").alias("last_idx"), F.max_by("hash", "idx").alias("head"))
-
-
 QUERIES = {
     "normalized_names": (
         normalized_names,
@@ -199,9 +192,4 @@ QUERIES = {
         content_hashes,
         """with t as (select c_custkey, c_mktsegment, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}' j from customer) select c_custkey, md5(j) canonical, 'att_' || substr(sha256(j), 1, 32) as id, sha256(c_mktsegment || ':' || c_custkey) "commitment" from t""",
     ),
-    "fairness_trail": (
-        fairness_trail,
-        """with recursive e as (select o_orderpriority m, o_orderkey || '|' || o_orderstatus p, row_number() over (partition by o_orderpriority order by o_orderdate, o_orderkey) - 1 i from orders where o_orderstatus = 'P'),
-        r as (select m, i, sha256('genesis|' || p) h from e where i = 0 union all select e.m, e.i, sha256(r.h || '|' || e.p) from r join e on e.m = r.m and e.i = r.i + 1) select m model, max(i) last_idx, arg_max(h, i) head from r group by 1""",
-    ),
 }

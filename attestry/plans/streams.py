@@ -22,10 +22,11 @@ def _newest(events) -> int:
 def _sessions(spark, sf_dir):
     s = signals(spark, sf_dir)
     part = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / SPAN_US)
+    drift = F.least(F.lit(1.0), F.col("value") / 97)  # no round decimals, which two roundings may take apart
     kind = F.lit(None).cast("string")
     for event, modality in KINDS.items():
         kind = F.when(F.col("event_type") == event, modality).otherwise(kind)
-    return s.select(F.concat_ws("-", "user_id", part).alias("session_id"), "event_id", "ts", kind.alias("type"), (1 - F.col("drift")).alias("value"), "drift")
+    return s.select(F.concat_ws("-", "user_id", part).alias("session_id"), "event_id", "ts", kind.alias("type"), (1 - drift).alias("value"), drift.alias("drift"))
 
 
 def session_machine(spark, sf_dir):
@@ -68,7 +69,7 @@ QUERIES = {
     "session_machine": (
         session_machine,
         f"""with {SIGNALS_SQL},
-        s as (select user_id || '-' || (epoch_us(ts) // {SPAN_US}) session_id, event_id, epoch_us(ts) us, {_KIND_SQL} kind, least(1.0::double, greatest(0.0::double, drift)) d from signals),
+        s as (select user_id || '-' || (epoch_us(ts) // {SPAN_US}) session_id, event_id, epoch_us(ts) us, {_KIND_SQL} kind, least(1.0::double, greatest(0.0::double, value / 97.0::double)) d from signals),
         l as (select *, row_number() over w i, list(d) over (w rows between 99 preceding and current row) ds, lead(us) over w next from s window w as (partition by session_id order by us, event_id)),
         m as (select *, list_reduce(ds, lambda a, x: 0.3::double * x + 0.7::double * a) ema from l),
         r as (select *, min(case when ema >= 0.4 then i end) over (partition by session_id) dead from m),
