@@ -50,6 +50,30 @@ def registry_summary(sources: DataFrame, by: str, countries: str) -> DataFrame:
     return base.join(reach, by, "left")
 
 
+def coverage_stats(matrix: DataFrame, state: str = "state", kind: str = "kind", country: str = "country", flags: tuple[str, ...] = ()) -> DataFrame:
+    """``state``, ``kind`` (null where summed up), ``entries``, distinct ``countries`` and
+    the entries with each flag: by state, by kind and in all, in one aggregation."""
+    counts = [F.count("*").alias("entries"), F.count_distinct(country).alias("countries"), *[F.count_if(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in flags]]
+    sums = matrix.groupingSets([[F.col(state)], [F.col(kind)], []], state, kind).agg(F.grouping_id().alias("_set"), *counts)
+    by = F.element_at(F.create_map(F.lit(1), F.lit("state"), F.lit(2), F.lit("kind"), F.lit(3), F.lit("all")), F.col("_set").cast("int"))
+    return sums.select(by.alias("by"), state, kind, "entries", "countries", *flags)
+
+
+def registry_stats(sources: DataFrame, source: str, countries: str, dims: tuple[str, ...]) -> DataFrame:
+    """``by`` (a dimension, or "all"), ``value``, distinct ``sources`` and distinct
+    ``countries`` they serve: each dimension and the total, in one aggregation over
+    exploded countries.  A source without countries counts as a source."""
+    rows = sources.select(source, *[F.col(d).cast("string").alias(d) for d in dims], F.explode_outer(countries).alias("_country"))
+    sums = rows.groupingSets([*[[F.col(d)] for d in dims], []], *dims).agg(F.grouping_id().alias("_set"), F.count_distinct(source).alias("sources"), F.count_distinct("_country").alias("countries"))
+    full = (1 << len(dims)) - 1
+    at = {full ^ (1 << (len(dims) - 1 - i)): d for i, d in enumerate(dims)}
+    by = F.when(F.col("_set") == full, "all")
+    value = F.when(F.col("_set") == full, F.lit(None).cast("string"))
+    for number, d in at.items():
+        by, value = by.when(F.col("_set") == number, d), value.when(F.col("_set") == number, F.col(d))
+    return sums.select(by.alias("by"), value.alias("value"), "sources", "countries")
+
+
 def tier_of(paths: DataFrame, path: str, rules: list[tuple[str, int]]) -> DataFrame:
     """Lowest tier whose pattern fits a path: exact, or a prefix before ``*``."""
     hits = [F.when(F.col(path).startswith(p[:-1]) if p.endswith("*") else F.col(path) == p, tier) for p, tier in rules]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.numbers import clamp, half_up, mean, ratio, remap, with_stats
+from attestry.functions.numbers import bound, clamp, half_up, mean, ratio, remap, with_stats
 
 MODALITIES = ("face", "voice", "behavioral", "document", "device")
 
@@ -98,16 +98,24 @@ def combine_beliefs(evidence) -> Column:
         k = acc["real"] * e["spoof"] + acc["spoof"] * e["real"]
         real = acc["real"] * e["real"] + acc["real"] * e["open"] + acc["open"] * e["real"]
         spoof = acc["spoof"] * e["spoof"] + acc["spoof"] * e["open"] + acc["open"] * e["spoof"]
-        # 1 - k, but without its rounding errors, which grow from item to item.
-        norm = real + spoof + acc["open"] * e["open"]
-        fine = norm > 1e-9
-        return state(F.when(fine, real / norm).otherwise(0.5), F.when(fine, spoof / norm).otherwise(0.5), F.when(fine, acc["open"] * e["open"] / norm).otherwise(0.0), F.when(fine, k).otherwise(1.0))
-
-    all_masses = F.transform(evidence, masses)
-    head = F.element_at(all_masses, 1)
-    folded = F.aggregate(F.slice(all_masses, 2, F.greatest(F.size(all_masses) - 1, F.lit(0))), state(head["real"], head["spoof"], head["open"], F.lit(0.0)), step)
-    total = folded["real"] + folded["spoof"] + folded["open"]
-    done = F.struct((folded["real"] / total).alias("real"), (folded["spoof"] / total).alias("spoof"), folded["conflict"].alias("conflict"))
+        open_ = acc["open"] * e["open"]
+
+        def scaled(t: Column) -> Column:
+            # 1 - k, but without its rounding errors, which grow from item to item.
+            return bound(t["real"] + t["spoof"] + t["open"], lambda norm: F.when(norm > 1e-9, state(t["real"] / norm, t["spoof"] / norm, t["open"] / norm, t["conflict"])).otherwise(state(F.lit(0.5), F.lit(0.5), F.lit(0.0), F.lit(1.0))))
+
+        return bound(state(real, spoof, open_, k), scaled)
+
+    def fold(all_masses: Column) -> Column:
+        head = F.element_at(all_masses, 1)
+        return F.aggregate(F.slice(all_masses, 2, F.greatest(F.size(all_masses) - 1, F.lit(0))), state(head["real"], head["spoof"], head["open"], F.lit(0.0)), step)
+
+    def finished(folded: Column) -> Column:
+        total = folded["real"] + folded["spoof"] + folded["open"]
+        return bound(total, lambda t: F.struct((folded["real"] / t).alias("real"), (folded["spoof"] / t).alias("spoof"), folded["conflict"].alias("conflict")))
+
+    # Masses and their fold are lambda variables: as plain expressions they would be written out, and computed, for each field of the result.
+    done = bound(F.transform(evidence, masses), lambda m: bound(fold(m), finished))
     none = F.struct(F.lit(0.5).alias("real"), F.lit(0.5).alias("spoof"), F.lit(0.0).alias("conflict"))
     return F.when(F.size(evidence) > 0, done).otherwise(none)
 

@@ -156,22 +156,42 @@ def bursts(edges: DataFrame, most: int = 10, hours: float = 1.0) -> DataFrame:
     return at.select("a", (F.col("us") - F.lag("us", most).over(w)).alias("span")).where(F.col("span") <= hours * 3.6e9).select(F.col("a").alias("id")).distinct()
 
 
-def risk_signals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``signal``, ``id``, ``severity``: the eight signals of a node's edges."""
+#: Edge types that make a person known to others.
+_KNOWN = ("verified_same_person", "document_reuse", "shares_device", "shares_ip", "biometric_match")
+
 
-    def found(name: str, ids: DataFrame, severity: Column) -> DataFrame:
-        return ids.select(F.lit(name).alias("signal"), "id", severity.alias("severity"))
+def risk_signals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``signal``, ``id``, ``severity``: the eight signals of a node's edges.
 
-    known = F.col("type").isin("verified_same_person", "document_reuse", "shares_device", "shares_ip", "biometric_match")
-    alone = nodes.where("type = 'person'").join(both_ways(edges).where(known).select(F.col("a").alias("id")), "id", "left_anti")
-    out = [found("synthetic_identity", alone, F.lit("medium"))]
-    out.append(found("fraud_ring_member", fraud_rings(nodes, edges).select(F.explode("members").alias("id")), F.lit("critical")))
-    for hub, name, kind, critical in (("device", "device_reuse", "shares_device", 5), ("document", "document_reuse", "document_reuse", 3), ("biometric", "biometric_duplicate", "biometric_match", 3)):
-        out.append(found(name, hub_reuse(edges, nodes, hub, (kind,)).where("persons >= 2"), F.when(F.col("persons") >= critical, "critical").otherwise("high")))
+    Nodes and edges are written once.  What a node's own edges tell (all but rings,
+    trips and bursts) comes from one aggregation of the edges both ways, with the
+    far node's kind and trust.
+    """
+    nodes, edges = _cut(nodes), _cut(edges)
+    person = F.col("kind_b") == "person"
+    linked = lambda *types: F.count_distinct(F.when(person & F.col("type").isin(*types), F.col("b")))
+    sums = _typed(edges, nodes).groupBy(F.col("a").alias("id")).agg(
+        F.max(F.col("type").isin(*_KNOWN)).alias("known"),
+        linked("shares_device").alias("device"),
+        linked("document_reuse").alias("document"),
+        linked("biometric_match").alias("biometric"),
+        F.count_distinct(F.when(person & F.col("type").isin("shares_device", "shares_ip") & (F.col("trust_b") < 0.4), F.col("b"))).alias("mules"),
+    )
+    own = nodes.select("id", "type").join(sums, "id", "left")
+    kind, n = F.col("type"), lambda c: F.coalesce(F.col(c), F.lit(0))
+    signal = lambda name, severity: F.struct(F.lit(name).alias("signal"), severity.alias("severity"))
+    shared = [F.when((kind == hub) & (n(hub) >= 2), signal(name, F.when(n(hub) >= critical, "critical").otherwise("high"))) for hub, name, critical in (("device", "device_reuse", 5), ("document", "document_reuse", 3), ("biometric", "biometric_duplicate", 3))]
+    alone = F.when((kind == "person") & ~F.coalesce("known", F.lit(False)), signal("synthetic_identity", F.lit("medium")))
+    mule = F.when((kind == "device") & (n("mules") >= 3), signal("mule_pattern", F.lit("critical")))
+    out = [own.select("id", F.inline(F.array_compact(F.array(alone, *shared, mule)))).select("signal", "id", "severity")]
+
+    def found(name: str, ids: DataFrame, severity: str) -> DataFrame:
+        return ids.select(F.lit(name).alias("signal"), "id", F.lit(severity).alias("severity"))
+
+    out.append(found("fraud_ring_member", fraud_rings(nodes, edges).select(F.explode("members").alias("id")), "critical"))
     if "attributes" in nodes.columns:
-        out.append(found("impossible_travel", impossible_trips(nodes, edges), F.lit("critical")))
-    out.append(found("velocity_attack", bursts(edges).join(nodes.select("id"), "id", "left_semi"), F.lit("high")))
-    out.append(found("mule_pattern", hub_reuse(edges, nodes, "device", ("shares_device", "shares_ip"), 0.4).where("persons >= 3"), F.lit("critical")))
+        out.append(found("impossible_travel", impossible_trips(nodes, edges), "critical"))
+    out.append(found("velocity_attack", bursts(edges).join(nodes.select("id"), "id", "left_semi"), "high"))
     return reduce(DataFrame.unionByName, out)
 
 

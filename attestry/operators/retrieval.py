@@ -107,16 +107,25 @@ def keyword_scores(chunks: DataFrame, queries: Queries, k: int = 8, chunk_id: st
     spark = chunks.sparkSession
     asked = spark.createDataFrame(queries, "query_id long, q string").select("query_id", F.filter(F.split(plain_text("q"), " "), lambda t: F.length(t) > 1).alias("terms")).collect()
     kw = F.coalesce(F.col(keywords), F.array().cast("array<string>"))
-    texts = chunks.select(chunk_id, kw.alias("_k"), F.concat_ws(" ", F.array_join(kw, " "), plain_text(F.coalesce(title, F.lit(""))), plain_text(F.coalesce(content, F.lit("")))).alias("_h"))
+    whole = F.concat_ws(" ", F.array_join(kw, " "), plain_text(F.coalesce(title, F.lit(""))), plain_text(F.coalesce(content, F.lit(""))))
 
-    def points(term: str) -> Column:
-        within = F.size(F.filter("_k", lambda x: F.contains(x, F.lit(term))))
-        begun = F.size(F.filter("_k", lambda x: (F.length(x) >= 3) & (F.startswith(F.lit(term), x) | F.startswith(x, F.lit(term))))) if len(term) >= 3 else F.lit(0)
-        places = (F.length("_h") - F.length(F.replace("_h", F.lit(term), F.lit("")))) / len(term)
-        return F.when(within > 0, 5).otherwise(0) + within + 2 * begun + F.least(places.cast("int"), F.lit(5))
+    def points(term: str, words: Column, text: Column) -> Column:
+        within = F.size(F.filter(words, lambda x: F.contains(x, F.lit(term))))
+        begun = F.size(F.filter(words, lambda x: (F.length(x) >= 3) & (F.startswith(F.lit(term), x) | F.startswith(x, F.lit(term))))) if len(term) >= 3 else F.lit(0)
+        places = (F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)
+        return bound(within, lambda n: F.when(n > 0, 5).otherwise(0) + n) + 2 * begun + F.least(places.cast("int"), F.lit(5))
 
-    scores = [F.struct(F.lit(r.query_id).cast("long").alias("query_id"), reduce(lambda a, b: a + b, map(points, r.terms), F.lit(0)).cast("long").alias("score")) for r in asked]
-    return _ranked(texts.select(chunk_id, F.array(*scores).alias("scores")), k, chunk_id)
+    terms = list(dict.fromkeys(t for r in asked for t in r.terms))
+
+    def all_scores(words: Column, text: Column) -> Column:
+        """Each distinct term is counted once, however many queries have it."""
+        per = F.array(*[points(t, words, text).cast("long") for t in terms]) if terms else F.array().cast("array<bigint>")
+        total = lambda p, r: reduce(lambda a, b: a + b, [p[terms.index(t)] for t in r.terms], F.lit(0).cast("long"))
+        return bound(per, lambda p: F.array(*[F.struct(F.lit(r.query_id).cast("long").alias("query_id"), total(p, r).alias("score")) for r in asked]))
+
+    # The cleaned text is a lambda variable, so it is cleaned once and not once a term.
+    scores = bound(F.struct(kw.alias("k"), whole.alias("h")), lambda t: all_scores(t["k"], t["h"]))
+    return _ranked(chunks.select(chunk_id, scores.alias("scores")), k, chunk_id)
 
 
 def intents(texts: DataFrame, key: str, text: str, keywords: list[tuple[str, str, float]]) -> DataFrame:

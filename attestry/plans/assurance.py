@@ -148,20 +148,18 @@ def _edges(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir):
+    """Users and the four kinds of hubs, from one aggregation over the events."""
     e = signals(spark, sf_dir).where("k is not null")
-    none = F.lit(None).cast("map<string,string>")
-    seen = [F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")]
-    u = e.groupBy(F.concat(F.lit("u"), "user_id").alias("id")).agg(F.lit("person").alias("type"), (F.first("user_id") % 10 / 20).alias("trust"), *seen, none.alias("attributes"))
-    hubs = []
-    for letter, kind, number in (("k", "device", F.col("k")), ("l", "location", F.col("k")), ("d", "document", F.col("k") % 40), ("b", "biometric", F.col("k") % 30)):
-        at = F.create_map(F.lit("lat"), F.first("lat").cast("string"), F.lit("lon"), F.first("lon").cast("string")) if kind == "location" else none
-        hubs.append(e.groupBy(F.concat(F.lit(letter), number).alias("id")).agg(F.lit(kind).alias("type"), F.lit(0.5).alias("trust"), *seen, at.alias("attributes")))
+    none, k = F.lit(None).cast("map<string,string>"), F.col("k")
+    node = lambda letter, kind, number, trust: F.struct(F.concat(F.lit(letter), number.cast("string")).alias("id"), F.lit(kind).alias("type"), trust.cast("double").alias("trust"))
+    half = F.lit(0.5)
+    each = [node("u", "person", F.col("user_id"), F.col("user_id") % 10 / 20), node("k", "device", k, half), node("l", "location", k, half), node("d", "document", k % 40, half), node("b", "biometric", k % 30, half)]
+    rows = e.select("ts", "lat", "lon", F.inline(F.array(*each)))
+    at = F.when(F.col("type") == "location", F.create_map(F.lit("lat"), F.first("lat").cast("string"), F.lit("lon"), F.first("lon").cast("string"))).otherwise(none)
+    found = rows.groupBy("id", "type").agg(F.first("trust").alias("trust"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), at.alias("attributes"))
     none_seen = F.lit(None).cast("timestamp_ntz")
     alone = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("person").alias("type"), (F.col("c_custkey") % 10 / 10).alias("trust"), none_seen.alias("first_seen"), none_seen.alias("last_seen"), none.alias("attributes"))
-    out = u
-    for more in (*hubs, alone):
-        out = out.unionByName(more)
-    return out
+    return found.unionByName(alone)
 
 
 _EDGES = f"{SIGNALS_SQL}, edges as (select 'u' || user_id src, {_FAR} dst, {_KIND} as type, max(drift) weight, count(*) evidence, max(ts) last_seen from signals where k is not null group by 1, 2, 3)"

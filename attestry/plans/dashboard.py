@@ -101,6 +101,20 @@ def registry_summary(spark, sf_dir):
     return catalog.registry_summary(s, "state", "countries")
 
 
+def coverage_stats(spark, sf_dir):
+    """Orders as entries: their status, priority and customer's nation."""
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    m = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("kind"), F.col("c_nationkey").alias("country"), (F.col("o_orderkey") % 3 == 0).alias("tested_real"), (F.col("o_orderkey") % 2 == 0).alias("tested_synthetic"))
+    return catalog.coverage_stats(m, flags=("tested_real", "tested_synthetic"))
+
+
+def registry_stats(spark, sf_dir):
+    """Suppliers as sources: life cycle, implementation and access."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 0, "active").otherwise("suspended").alias("lifecycle"), F.when(k % 3 == 0, "live").otherwise("planned").alias("implementation"), F.when(k % 4 > 0, "public").alias("access"), F.when(k % 5 > 0, F.array(n, (n + 7) % 25)).otherwise(F.array().cast("array<int>")).alias("countries"))
+    return catalog.registry_stats(s, "s_suppkey", "countries", ("lifecycle", "implementation", "access"))
+
+
 def registry_filters(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 10 == 0, F.array(F.lit("global"))).otherwise(F.array(F.col("s_nationkey").cast("string"))).alias("c"))
     return s.where(catalog.serves(F.col("c"), F.lit("7"))).select("s_suppkey")
@@ -200,6 +214,19 @@ QUERIES = {
     ),
     "coverage_rollup": (coverage_rollup, "select '' as dim, null::varchar as value, count(*) n from orders union all select 'o_orderstatus', o_orderstatus, count(*) from orders group by 2 union all select 'o_orderpriority', o_orderpriority, count(*) from orders group by 2"),
     "registry_summary": (registry_summary, "with s as (select case when s_acctbal > 0 then 'active' else 'suspended' end state, s_nationkey a, (s_nationkey + 7) % 25 b from supplier), u as (select state, a c from s union all select state, b from s) select s.state, count(*) sources, (select count(distinct c) from u where u.state = s.state) countries from s group by s.state"),
+    "coverage_stats": (
+        coverage_stats,
+        """with m as (select o_orderstatus state, o_orderpriority kind, c_nationkey country, o_orderkey k from orders join customer on o_custkey = c_custkey),
+        a as (select 'state' "by", state, null kind, country, k from m union all select 'kind', null, kind, country, k from m union all select 'all', null, null, country, k from m)
+        select "by", state, kind, count(*) entries, count(distinct country) countries, count(*) filter (k % 3 = 0) tested_real, count(*) filter (k % 2 = 0) tested_synthetic from a group by 1, 2, 3""",
+    ),
+    "registry_stats": (
+        registry_stats,
+        """with s as (select s_suppkey k, case when s_acctbal > 0 then 'active' else 'suspended' end lifecycle, case when s_suppkey % 3 = 0 then 'live' else 'planned' end implementation, case when s_suppkey % 4 > 0 then 'public' end access, s_nationkey n from supplier),
+        c as (select k, n c from s where k % 5 > 0 union all select k, (n + 7) % 25 from s where k % 5 > 0),
+        a as (select 'lifecycle' "by", lifecycle as value, k from s union all select 'implementation', implementation, k from s union all select 'access', access, k from s union all select 'all', null, k from s)
+        select "by", value, count(distinct a.k) sources, count(distinct c) countries from a left join c on a.k = c.k group by 1, 2""",
+    ),
     "registry_filters": (registry_filters, "select s_suppkey from supplier where s_suppkey % 10 = 0 or s_nationkey = 7"),
     "lifecycle_violations": (
         lifecycle_violations,

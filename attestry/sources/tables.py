@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SKIP = object()
@@ -42,8 +42,10 @@ def count(df: DataFrame, where: dict[str, Any] | None = None) -> DataFrame:
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, order: str, most: int = 500) -> DataFrame:
-    """Parents with an array of their first children in order."""
-    rows = children.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct(order, *[c for c in children.columns if c not in (key, order)]))), 1, most).alias("children"))
+    """Parents with an array of their first ``most`` children in order; the others are left out before anything is gathered."""
+    rest = [c for c in children.columns if c not in (key, order)]
+    first = children.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order, *rest))).where(F.col("_n") <= most)
+    rows = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("children"))
     return parents.join(rows, key, "left")
 
 
@@ -63,9 +65,9 @@ def insert(df: DataFrame, path: str, key: str | None = None) -> int:
                 raise
         else:
             rows = rows.join(have, key, "left_anti")
-    before = rows.count()
-    rows.write.mode("append").parquet(path)
-    return before
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)  # counted as they are written
+    return seen.get["n"]
 
 
 def rewritten(df: DataFrame, where: dict[str, Any], values: dict[str, Any]) -> DataFrame:
@@ -84,9 +86,9 @@ def cascade_deleted(parents: DataFrame, children: DataFrame, key: str, where: di
     return deleted(parents, where), children.join(gone, key, "left_anti")
 
 
-def write_csv(df: DataFrame, path: str, newest: int | None = None, by: str = "created_at") -> None:
-    """RFC 4180: quotes only where needed, nulls empty."""
-    out = df.orderBy(F.desc(by)).limit(newest) if newest else df
+def write_csv(df: DataFrame, path: str, newest: int | None = None, by: str = "created_at", tie: str | None = None) -> None:
+    """RFC 4180: quotes only where needed, nulls empty.  Of rows of one time, those with the least ``tie`` (all columns, if none is named) come first."""
+    out = df.orderBy(F.desc(by), *([tie] if tie else df.columns)).limit(newest) if newest else df
     out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
