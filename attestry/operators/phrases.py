@@ -119,6 +119,29 @@ def occurring(text: Column, phrases: Sequence[str]) -> Column:
     return find(text)
 
 
+def counted(text: Column, phrases: Sequence[str], most: int) -> Column:
+    """How often each phrase stands in the text, places that overlap counted once, up to ``most``."""
+    plain = _checked(phrases)
+    where = [plain.index(p) for p in phrases]
+
+    @F.pandas_udf("array<bigint>")
+    def count(texts: pd.Series) -> pd.Series:
+        machine, sizes = _automaton(plain), [len(p) for p in plain]
+
+        def one(t: str | None) -> list[int]:
+            n, free = [0] * len(plain), [0] * len(plain)
+            for end, k in machine.iter(t) if t else ():
+                start = end + 1 - sizes[k]
+                if start >= free[k] and n[k] < most:
+                    n[k] += 1
+                    free[k] = end + 1
+            return [n[k] for k in where]
+
+        return texts.map(one)
+
+    return count(text)
+
+
 def intent(question: Column, intents: Sequence[tuple[str, Sequence[str | tuple[str, ...]]]] = INTENTS, otherwise: str = "default") -> Column:
     """The first intent with a phrase in the question (all phrases of an inner tuple)."""
     flat = list(dict.fromkeys(p for _, each in intents for e in each for p in ((e,) if isinstance(e, str) else e)))

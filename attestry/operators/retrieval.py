@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.numbers import bound, half_up
 from attestry.functions.text import stem, tokens
+from attestry.operators.phrases import counted
 
 
 def terms(text, stemmed: bool = True) -> Column:
@@ -88,7 +89,7 @@ MARKED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaa
 def plain_text(text) -> Column:
     """Lower case without marks; anything but a-z, digits, Arabic is one space."""
     s = F.regexp_replace(F.translate(F.lower(text), MARKED, BARE), r"\p{Mn}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9\u0600-\u06FF ]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(s, "[^a-z0-9\u0600-\u06FF]+", " "))
 
 
 def top_k(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
@@ -109,23 +110,24 @@ def keyword_scores(chunks: DataFrame, queries: Queries, k: int = 8, chunk_id: st
     kw = F.coalesce(F.col(keywords), F.array().cast("array<string>"))
     whole = F.concat_ws(" ", F.array_join(kw, " "), plain_text(F.coalesce(title, F.lit(""))), plain_text(F.coalesce(content, F.lit(""))))
 
-    def points(term: str, words: Column, text: Column) -> Column:
+    terms = list(dict.fromkeys(t for r in asked for t in r.terms))
+    # All terms are looked for in one pass over the cleaned text.
+    places = counted(whole, terms, 5) if terms else F.array().cast("array<bigint>")
+    texts = chunks.select(chunk_id, kw.alias("_k"), places.alias("_n"))
+
+    def points(term: str, at: int, words: Column, seen: Column) -> Column:
         within = F.size(F.filter(words, lambda x: F.contains(x, F.lit(term))))
         begun = F.size(F.filter(words, lambda x: (F.length(x) >= 3) & (F.startswith(F.lit(term), x) | F.startswith(x, F.lit(term))))) if len(term) >= 3 else F.lit(0)
-        places = (F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)
-        return bound(within, lambda n: F.when(n > 0, 5).otherwise(0) + n) + 2 * begun + F.least(places.cast("int"), F.lit(5))
-
-    terms = list(dict.fromkeys(t for r in asked for t in r.terms))
+        return bound(within, lambda n: F.when(n > 0, 5).otherwise(0) + n) + 2 * begun + seen[at]
 
-    def all_scores(words: Column, text: Column) -> Column:
-        """Each distinct term is counted once, however many queries have it."""
-        per = F.array(*[points(t, words, text).cast("long") for t in terms]) if terms else F.array().cast("array<bigint>")
+    def all_scores(words: Column, seen: Column) -> Column:
+        """Each distinct term is judged once, however many queries have it."""
+        per = F.array(*[points(t, i, words, seen).cast("long") for i, t in enumerate(terms)]) if terms else F.array().cast("array<bigint>")
         total = lambda p, r: reduce(lambda a, b: a + b, [p[terms.index(t)] for t in r.terms], F.lit(0).cast("long"))
         return bound(per, lambda p: F.array(*[F.struct(F.lit(r.query_id).cast("long").alias("query_id"), total(p, r).alias("score")) for r in asked]))
 
-    # The cleaned text is a lambda variable, so it is cleaned once and not once a term.
-    scores = bound(F.struct(kw.alias("k"), whole.alias("h")), lambda t: all_scores(t["k"], t["h"]))
-    return _ranked(chunks.select(chunk_id, scores.alias("scores")), k, chunk_id)
+    scores = bound(F.struct("_k", "_n"), lambda t: all_scores(t["_k"], t["_n"]))
+    return _ranked(texts.select(chunk_id, scores.alias("scores")), k, chunk_id)
 
 
 def intents(texts: DataFrame, key: str, text: str, keywords: list[tuple[str, str, float]]) -> DataFrame:
