@@ -182,6 +182,43 @@ def _after(text: str, seen: str, hits: list[tuple[int, int, int]], starts: list[
     return None
 
 
+class Labels:
+    """The automata of all labels, as they are and in lower case, and the order to try them in."""
+
+    def __init__(self, labels: Mapping[str, tuple[Sequence[str], Sequence[str]]]):
+        everything = _checked([label.strip() for pair in labels.values() for part in pair for label in part if len(label.strip()) > 1])
+        self.lists = (everything, _checked([folded(p) for p in everything]))
+        self.number = tuple({p: i for i, p in enumerate(part)} for part in self.lists)
+        self.plan = [(name, [(label, 0) for label in ar] + [(label, 1) for label in en]) for name, (ar, en) in labels.items()]
+
+    def read(self, *texts: str | None) -> Iterator[tuple[str, str, str]]:
+        """Field, value and label of an Arabic and an English reading."""
+        found = []
+        for side, text in enumerate(texts):
+            phrases = self.lists[side]
+            seen = (folded(text) if side else text) if text else ""
+            hits = sorted((end + 1 - len(phrases[k]), k, len(phrases[k])) for end, k in _automaton(phrases).iter(seen)) if seen else []
+            found.append((text or "", seen, hits, [h[0] for h in hits]))
+        for field, tried in self.plan:
+            for label, side in tried:
+                shown = label.strip()
+                k = self.number[side].get(folded(shown) if side else shown)
+                value = _after(*found[side], k) if k is not None and found[side][2] else None
+                if value:
+                    yield field, value, label
+                    break
+
+
+@lru_cache(1)
+def _standard() -> Labels:
+    return Labels(FIELD_LABELS)
+
+
+def fields_of(arabic: str | None, english: str | None) -> Iterator[tuple[str, str, str]]:
+    """Field, value and label of one reading, by ``FIELD_LABELS``."""
+    return _standard().read(arabic, english)
+
+
 def extracted(readings: DataFrame, key: str, arabic: str, english: str, labels: Mapping[str, tuple[Sequence[str], Sequence[str]]] = FIELD_LABELS) -> DataFrame:
     """``key``, ``field``, ``value``, ``label``: what follows a field's labels in a reading.
 
@@ -189,30 +226,11 @@ def extracted(readings: DataFrame, key: str, arabic: str, english: str, labels:
     blanks and colons, to the end of the line or the next label of any field.  Case
     counts in Arabic readings only.  Fields that aren't found have no row.
     """
-    everything = _checked([label.strip() for pair in labels.values() for part in pair for label in part if len(label.strip()) > 1])
-    lower = _checked([folded(p) for p in everything])
-    plan = [(name, [(label, 0) for label in ar] + [(label, 1) for label in en]) for name, (ar, en) in labels.items()]
+    finder = Labels(labels)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = (_automaton(everything), _automaton(lower))
-        lists = (everything, lower)
-        number = tuple({p: i for i, p in enumerate(part)} for part in lists)
         for batch in batches:
-            out: list[tuple] = []
-            for name, *texts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                found = []
-                for side, text in enumerate(texts):
-                    seen = (folded(text) if side else text) if text else ""
-                    hits = sorted((end + 1 - len(lists[side][k]), k, len(lists[side][k])) for end, k in machines[side].iter(seen)) if seen else []
-                    found.append((text or "", seen, hits, [h[0] for h in hits]))
-                for field, tried in plan:
-                    for label, side in tried:
-                        shown = label.strip()
-                        k = number[side].get(folded(shown) if side else shown)
-                        value = _after(*found[side], k) if k is not None and found[side][2] else None
-                        if value:
-                            out.append((name, field, value, label))
-                            break
+            out = [(name, *found) for name, ar, en in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) for found in finder.read(ar, en)]
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.string()) for c in columns[1:])], [key, "field", "value", "label"])
 
