@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with ``QUERIES``: name -> (function, SQL or None).
-MODULES = ("dashboard", "behaviour", "identity", "assurance", "detection", "fields", "risk", "records", "streams", "ledgers", "readings")
+MODULES = ("dashboard", "behaviour", "identity", "assurance", "detection", "fields", "risk", "records", "streams", "ledgers", "readings", "outcomes")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
