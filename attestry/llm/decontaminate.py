@@ -92,7 +92,8 @@ def find(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str
     cluster.prepare(spark)
     reach = window - gram
     extra = [F.struct(*[F.col(c) for c in carry]).alias("carry")] if carry else []
-    flat = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), *extra)
+    # Rows are named by partition and place below, so a partition made anew must hold the same rows.
+    flat = cluster.settled(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), *extra))
     doc_kind = flat.schema["doc_id"].dataType.simpleString()
     tests = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"))
 

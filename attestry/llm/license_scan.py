@@ -130,7 +130,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     share of a template found."""
     spark = docs.sparkSession
     cluster.prepare(spark)
-    flat = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    # Rows are named by partition and place below, so a partition made anew must hold the same rows.
+    flat = cluster.settled(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")))
     kind = flat.schema["doc_id"].dataType.simpleString()
     grams = {k: np.unique(np.array([h for kk, h, *_ in templates() if kk == k], np.int64)) for k in (GRAM_PHRASE, GRAM_TEXT)}
 

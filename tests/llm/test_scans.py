@@ -6,7 +6,7 @@ import pytest
 from brute import ALNUM, LOWER, hits, phrases, sha
 from pyspark.sql import functions as F
 
-from attestry.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan
+from attestry.llm import chat_format, cluster, decontaminate, embedding_dedup, language_id, license_scan
 from attestry.llm.queries import op1_chat_formatting
 
 
@@ -148,3 +148,16 @@ def test_chat_round_trip(spark, tmp_path):
         said = "".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own)
         loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), sha(said), len(loss), sha(loss)), own
+
+
+@pytest.mark.parametrize("name", ["decontaminate", "license"])
+def test_shuffled_input_is_written_first(spark, monkeypatch, name):
+    """Rows are named by their place, so partitions out of a shuffle are fixed before; plain scans aren't copied."""
+    seen, write = [], cluster.written
+    monkeypatch.setattr(cluster, "written", lambda df, what: seen.append(what) or write(df, what))
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    run = (lambda d: decontaminate.find(d, items).select("doc_id", "n_words", "n_hit")) if name == "decontaminate" else license_scan.scan
+    want = sorted(map(tuple, run(plain).collect()))
+    assert "settled" not in seen
+    assert sorted(map(tuple, run(plain.repartition(5)).collect())) == want and "settled" in seen
