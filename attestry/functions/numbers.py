@@ -73,13 +73,17 @@ def mean(a) -> Column:
     return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(a)).otherwise(F.lit(0.0))
 
 
+def _around(a: Column, m: Column) -> Column:
+    """Population standard deviation about a mean that is known."""
+    total = F.aggregate(a, F.lit(0.0), lambda s, v: s + (v.cast("double") - m) * (v.cast("double") - m))
+    return F.when(F.size(a) > 0, F.sqrt(total / F.size(a))).otherwise(F.lit(0.0))
+
+
 def deviation(a) -> Column:
-    """Population standard deviation of an array, 0 if it is empty; one pass."""
+    """Population standard deviation of an array, 0 if it is empty.  Two passes: sums
+    of squares less the square of the sum would lose all digits where values are alike."""
     a = _col(a)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    add = lambda t, v: F.struct((t["s"] + v.cast("double")).alias("s"), (t["q"] + v.cast("double") * v.cast("double")).alias("q"))
-    done = lambda t: F.sqrt(F.greatest(F.lit(0.0), t["q"] / F.size(a) - (t["s"] / F.size(a)) * (t["s"] / F.size(a))))
-    return F.when(F.size(a) > 0, F.aggregate(a, start, add, done)).otherwise(F.lit(0.0))
+    return bound(mean(a), lambda m: _around(a, m))
 
 
 def bound(value: Column, then) -> Column:
@@ -90,7 +94,7 @@ def bound(value: Column, then) -> Column:
 def with_stats(values, then) -> Column:
     """``then(mean, deviation)`` of an array."""
     v = _col(values)
-    return bound(F.struct(mean(v).alias("m"), deviation(v).alias("s")), lambda t: then(t["m"], t["s"]))
+    return bound(mean(v), lambda m: bound(_around(v, m), lambda s: then(m, s)))
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:

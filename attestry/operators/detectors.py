@@ -126,15 +126,16 @@ def hybrid(signals) -> Column:
 
 
 def battery(frequency="frequency", histogram="histogram", depth="depth", spectrum="spectrum", texture="texture", fingerprint="fingerprint", gradient="gradient", epsilon="epsilon", l2="l2", linf="linf", entropy="entropy", size_bytes="size_bytes") -> Column:
-    """All detectors whose input is there, the hybrid last."""
+    """Deepfake, screen and print always (neutral without input), the others if their
+    input is there, an empty array too; the hybrid of them all comes last."""
     some = F.array_compact(
         F.array(
-            F.when(_given(frequency) | _given(histogram), deepfake(frequency, histogram, size_bytes)),
-            F.when(_given(depth), mask_3d(depth)),
-            F.when(_given(spectrum), screen_replay(spectrum)),
-            F.when(_given(texture), print_attack(texture)),
-            F.when(_given(fingerprint), silicone(fingerprint)),
-            F.when(_given(gradient), fgsm(gradient, epsilon)),
+            deepfake(frequency, histogram, size_bytes),
+            F.when(_of(depth).isNotNull(), mask_3d(depth)),
+            screen_replay(spectrum),
+            print_attack(texture),
+            F.when(_of(fingerprint).isNotNull(), silicone(fingerprint)),
+            F.when(_of(gradient).isNotNull() & _of(epsilon).isNotNull(), fgsm(gradient, epsilon)),
             F.when(_of(l2).isNotNull(), perturbation(l2, linf, entropy)),
         )
     )
