@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import canonical
 from attestry.functions.numbers import bound, clamp
-from attestry.operators import chains, fusion, rules
+from attestry.operators import chains, fusion, risk, rules
 
 #: Advice by state; {0} is what the state depends on.
 ADVICE = {
@@ -67,6 +67,25 @@ def decision(evidence: str, live: str, unsupported: str, expired: str, confidenc
     return bound(rules.evidence_status(evidence, live, unsupported, expired, least_live), advised)
 
 
+def written_steps(signals: Mapping[str, Column], result: Column, approve: float = 0.80, review: float = 0.60) -> Column:
+    """A decision of ``risk.evaluate`` in five steps: signals, weights, contributions and
+    their sum, thresholds, and each reason code with its severity and what it says."""
+    lines = lambda items, one: F.array_join(F.transform(items, one), "\n")
+    score, factors, codes = result["score"], result["factors"], result["codes"]
+    facts = [F.format_string(f"  - {name} = %.4f", value.cast("double")) for name, value in signals.items()]
+    weights = [f"  - {name}: weight = {w:.2f}" for name, w in rules.RISK_WEIGHTS.items() if name in signals]
+    sum_ = F.array_join(F.transform(factors, lambda f: F.format_string("%.4f", f["contribution"])), " + ")
+    place = F.when(score >= approve, "score meets or exceeds the APPROVE threshold.").when(score >= review, "score falls in REVIEW range (between review and approve).").otherwise("score below REVIEW threshold → REJECT path.")
+    parts = [
+        [F.lit("Step 1 — Gathered signals:"), *facts],
+        [F.lit("\n".join(["Step 2 — Applied fusion weights:", *weights]))],
+        [F.lit("Step 3 — Computed weighted contribution per factor:"), lines(factors, lambda f: F.format_string("  - %s: %.4f × %.2f = %.4f", f["factor"], f["value"], f["weight"], f["contribution"])), F.concat(F.lit("  weighted_sum = "), sum_, F.format_string(" = %.4f", score))],
+        [F.lit(f"Step 4 — Compared to decision thresholds:\n  - approve threshold: {approve:g}\n  - review threshold: {review:g}"), F.concat(F.format_string("  - score %.4f ", score), F.when(score >= approve, "≥").otherwise("<"), F.lit(" approve_threshold")), F.concat(F.lit("  → "), place)],
+        [F.concat(F.lit("Step 5 — Final decision: "), F.upper(result["decision"])), F.concat(F.lit("  Reason codes: "), F.when(F.size(codes) > 0, F.array_join(codes, ", ")).otherwise("(none)")), F.when(F.size(codes) > 0, lines(codes, lambda c: F.concat(F.lit("    • ["), F.rpad(F.upper(risk.severity(c)), 8, " "), F.lit("] "), c, F.lit(": "), risk.description(c))))],
+    ]
+    return F.concat_ws("\n\n", *[F.concat_ws("\n", *p) for p in parts])
+
+
 def fused(scores: Mapping[str, tuple[Column, Column]], weights: Column | None = None) -> Column:
     """Modalities (score, confidence; null if not given) put together.
 

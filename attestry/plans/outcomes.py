@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.operators import fusion, outcomes
+from attestry.operators import fusion, outcomes, risk
 from attestry.plans.common import SIGNALS_SQL, signals
+from attestry.plans.risk import _cases
 from attestry.sources.tables import read
 
 
@@ -28,6 +29,17 @@ def fused_modalities(spark, sf_dir):
     return w.select("p_partkey", F.round("f.score", 6).alias("score"), F.round("f.conflict", 6).alias("conflict"), "f.decision", F.col("f.count").cast("long").alias("n"), F.array_join("f.missing", ",").alias("missing"))
 
 
+#: Signals in the order that the steps list them.
+STEP_SIGNALS = ("document_authenticity", "ocr_confidence", "cross_field_consistency", "face_match_confidence", "liveness_confidence", "device_signals", "ai_consensus_confidence")
+
+
+def decision_steps(spark, sf_dir):
+    """The written steps of each order's decision."""
+    rows = _cases(spark, sf_dir).select("o_orderkey", risk.signals().alias("s"), risk.evaluate().alias("r"))
+    text = outcomes.written_steps({n: F.col("s")[n] for n in STEP_SIGNALS}, F.col("r"))
+    return rows.select("o_orderkey", text.alias("steps"))
+
+
 def face_matches(spark, sf_dir):
     """Each vector against the next one, with the qualities of both."""
     v = read(spark, sf_dir, "embeddings")
@@ -95,6 +107,7 @@ QUERIES = {
         select p_partkey, round(coalesce(score, 0), 6) score, round(coalesce(conflict, 0), 6) "conflict", case when score >= 0.7 and conflict < 0.3 then 'approve' when score is null or score < 0.4 or conflict > 0.6 then 'reject' else 'review' end decision, coalesce(n, 0) n, coalesce(missing, '') missing
         from part left join o on o.k = p_partkey left join w on w.k = p_partkey""",
     ),
+    "decision_steps": (decision_steps, None),
     "face_matches": (
         face_matches,
         """with p as (select a.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])), 6) s from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.operators import chains, outcomes
+from attestry.operators import chains, outcomes, risk, rules
+from attestry.plans import outcomes as plan
+from attestry.plans.risk import _cases
 
 
 def test_advice_names_what_failed(spark):
@@ -71,3 +73,28 @@ def test_endpoints_and_devices(spark):
     assert {r.ep: r.failures for r in outcomes.endpoint_failures(df, "ep", ["t"]).collect()} == {"e": 2, "f": 1, "g": 0}
     seen = spark.createDataFrame([("u", i, d) for i, d in enumerate(["old", "a", "a", None, "a", "a", "a"])] + [("v", 1, "x"), ("w", 1, None)], "k string, event_id int, d string").withColumn("ts", F.timestamp_seconds("event_id"))
     assert sorted(map(tuple, outcomes.latest_devices(seen, "k", "d").collect())) == [("u", 1, False), ("v", 1, False)]
+
+
+def test_written_steps(spark):
+    """The text of all orders, from the numbers of their decisions."""
+    sf = "/root/testdata/sf0.001"
+    rows = {r.o_orderkey: r for r in _cases(spark, sf).select("o_orderkey", risk.signals().alias("s"), risk.evaluate().alias("r")).collect()}
+    kinds = {code: kind for kind, codes in risk.REASON_CODES.items() for code in codes}
+    for got in plan.decision_steps(spark, sf).collect():
+        s, r = rows[got.o_orderkey].s, rows[got.o_orderkey].r
+        near = "score meets or exceeds the APPROVE threshold." if r.score >= 0.8 else "score falls in REVIEW range (between review and approve)." if r.score >= 0.6 else "score below REVIEW threshold → REJECT path."
+        want = ["Step 1 — Gathered signals:", *[f"  - {n} = {s[n]:.4f}" for n in plan.STEP_SIGNALS], ""]
+        want += ["Step 2 — Applied fusion weights:", *[f"  - {n}: weight = {w:.2f}" for n, w in rules.RISK_WEIGHTS.items() if n in plan.STEP_SIGNALS], ""]
+        want += ["Step 3 — Computed weighted contribution per factor:", *[f"  - {f.factor}: {f.value:.4f} × {f.weight:.2f} = {f.contribution:.4f}" for f in r.factors]]
+        want += ["  weighted_sum = " + " + ".join(f"{f.contribution:.4f}" for f in r.factors) + f" = {r.score:.4f}", ""]
+        want += ["Step 4 — Compared to decision thresholds:", "  - approve threshold: 0.8", "  - review threshold: 0.6", f"  - score {r.score:.4f} {'≥' if r.score >= 0.8 else '<'} approve_threshold", "  → " + near, ""]
+        want += [f"Step 5 — Final decision: {r.decision.upper()}", "  Reason codes: " + (", ".join(r.codes) or "(none)"), *[f"    • [{kinds[c].upper():<8}] {c}: {risk.DESCRIPTIONS[c]}" for c in r.codes]]
+        have = got.steps.split("\n")
+        assert len(have) == len(want)
+        for a, b in zip(have, want, strict=True):
+            # Halves of the last decimal are rounded up here and to even there.
+            assert a == b or [x for x in a.split() if x[:1] not in "0123456789"] == [x for x in b.split() if x[:1] not in "0123456789"], (a, b)
+
+
+def test_every_code_says_something():
+    assert {c for codes in risk.REASON_CODES.values() for c in codes} == set(risk.DESCRIPTIONS)
