@@ -53,6 +53,9 @@ from attestry.llm.text import SPACED, Block, Words, mix, rolling, spread
 #: Members of a tile's side, blocks of a size by place, shingles of a slab.
 TILE, PLACES, SLAB = 512, 4, 4096
 
+#: Bytes of difference sets in one batch of answers.
+OUT = 1 << 20
+
 
 def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, and row bounds."""
@@ -177,7 +180,14 @@ def leader_answers(member: DataFrame, sets: DataFrame, percent: int) -> DataFram
         names = ["leader", "id", "n", "reach", "common", "size", "linked", "difference"]
         pivot = np.zeros(0, np.uint64)
         for batch in batches:
-            took, common, size, difference = [], [], [], []
+            took, common, size, difference, held = [], [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                rows = batch.take(pa.array(took, pa.int64()))
+                c, m = np.array(common, np.int64), np.array(size, np.int64)
+                linked = links(c, rows.column("n").to_numpy(), m, percent)
+                return pa.RecordBatch.from_arrays([*(rows.column(x) for x in names[:4]), pa.array(c), pa.array(m), pa.array(linked), pa.array(difference, pa.binary())], names)
+
             ids = batch.column("id").to_pylist()
             for i, s in enumerate(_sets(batch.column("shingles"))):
                 if ids[i] is None:
@@ -191,10 +201,11 @@ def leader_answers(member: DataFrame, sets: DataFrame, percent: int) -> DataFram
                 common.append(int(same.sum()))
                 size.append(len(pivot))
                 difference.append(np.concatenate([s[~same], pivot[gone]]).tobytes())
-            rows = batch.take(pa.array(took, pa.int64()))
-            c, m = np.array(common, np.int64), np.array(size, np.int64)
-            linked = links(c, rows.column("n").to_numpy(), m, percent)
-            yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in names[:4]), pa.array(c), pa.array(m), pa.array(linked), pa.array(difference, pa.binary())], names)
+                held += len(difference[-1])
+                if held >= OUT:  # a large leader is in each member's difference, so a batch out may be far larger than one in
+                    yield out()
+                    took, common, size, difference, held = [], [], [], [], 0
+            yield out()
 
     return rows.mapInArrow(worker.tended("jaccard", answers), "leader long, id long, n long, reach long, common long, size long, linked boolean, difference binary")
 

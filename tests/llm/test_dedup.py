@@ -4,6 +4,7 @@ import pytest
 from brute import jaccard_groups, repeats, sha
 from pyspark.sql import functions as F
 
+from attestry.llm import jaccard_join
 from attestry.llm.jaccard_join import join_groups
 from attestry.llm.substring_dedup import remove_repeats
 
@@ -79,3 +80,13 @@ def test_many_near_copies(spark, monkeypatch):
         docs.append((i, " ".join(w)))
     got = sorted(map(tuple, join_groups(frame(spark, docs), k=3, percent=90).collect()))
     assert got == jaccard_groups(docs, 3, 90)
+
+
+def test_large_leader_comes_out_in_small_batches(spark, monkeypatch):
+    """Differences from a leader of many shingles are sent as soon as they fill a batch."""
+    rng = random.Random(9)
+    passage = [f"w{i}" for i in range(3000)]
+    docs = [(0, " ".join(passage))] + [(i, " ".join(passage[a : a + 40] + [f"x{i}y{j}" for j in range(rng.randrange(3))])) for i in range(1, 60) for a in [rng.randrange(0, 2900, 7)]]
+    monkeypatch.setattr(jaccard_join, "OUT", 50_000)
+    got = sorted(map(tuple, jaccard_join.join_groups(spark.createDataFrame(docs, "doc_id long, text string"), k=3, percent=90).collect()))
+    assert got == jaccard_groups(docs, 3, 90)
