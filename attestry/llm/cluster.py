@@ -76,11 +76,12 @@ def release(spark: SparkSession) -> None:
 def settled(df: DataFrame) -> DataFrame:
     """Rows whose partitions hold the same rows in the same order each time.
 
-    A plain scan does.  Whatever comes out of a shuffle may not, so that it is
-    written to the shared folder first.
+    A plain scan does.  Whatever comes out of a shuffle, of Python or of an RDD (whose
+    size Spark doesn't know either) may not, so that it is written to the shared
+    folder first.
     """
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return written(df, "settled") if "Exchange" in plan or "Python" in plan or "InPandas" in plan or "InArrow" in plan else df
+    return written(df, "settled") if any(x in plan for x in ("Exchange", "Python", "InPandas", "InArrow", "ExistingRDD")) else df
 
 
 def partitions(spark: SparkSession) -> int:
