@@ -137,3 +137,21 @@ def test_explained_scores(spark):
     e = points(0.9, 80.0, 70.0, [("AI Consensus Agreement", True), ("Image Blur", True), ("Glare Detected", False)])
     assert (e.base, e.adjustment, e.score) == (80.0, 4.0, 84.0) and [f.factor for f in e.factors] == ["AI Consensus Agreement", "Image Blur"]
     assert points(1.0, 100.0, 100.0, [("No Tampering Detected", True)]).score == 100 and points(None, None, None, [("Document Tampering Detected", True)]).score == 0
+
+
+def test_customers_by_kind_of_rule(spark):
+    """Each customer dealt to one country's rule, counted in plain Python."""
+    from collections import Counter
+
+    from attestry import registry
+    from attestry.functions import checksums
+
+    sf = "/root/testdata/sf0.001"
+    table = [(r.clean if r.clean in ("digits", "alnum", "spaces") else "other", r.checksum != "true") for r in checksums.RULES.values()]
+    keys = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
+    n, checked = Counter(), Counter()
+    for k in keys:
+        clean, has = table[k % len(table)]
+        n[clean] += 1
+        checked[clean] += has
+    assert {(r.clean, r.n, r.checked) for r in registry.queries()["id_rules"](spark, sf).collect()} == {(c, n[c], checked[c]) for c in n}
