@@ -11,7 +11,7 @@ subtree sums up, without walking the tree:
 * a child is an owned node one turn further down;
 * a leaf is a conversation's last node if it is owned and no member goes on.
 
-Windows over each conversation give the name of each prefix (two 64-bit sums of
+Windows over each conversation give the name of each prefix (two 64-bit XORs of
 its turns' hashes and places, from MD5), the weight before it and the length; one
 group-by of prefixes finds the owners, and after a join by conversation another
 sums the shares.  Both combine on the map side, so a turn that starts a third of
