@@ -92,7 +92,7 @@ def frequent_lengths(pieces: list[str], name: str, size: int) -> tuple[np.ndarra
     enc = encoder(path(name))
     ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
     keys = enc.hash_pieces("".join(pieces), np.append(0, ends[:-1])[: len(ends)], ends) if pieces else np.zeros(0, np.uint64)
-    lengths = np.array([len(enc.encode_piece(p)) // 4 for p in pieces], np.int64)
+    lengths = enc.encode_pieces(pieces)[1].astype(np.int64)
     ok = (keys != 0) & (lengths < 1 << 16)
     return hash_table(keys[ok], lengths[ok], size)
 

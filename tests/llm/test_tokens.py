@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from attestry.llm import packing, token_counts, wavelet
+from attestry.llm import packing, token_counts, tokens, wavelet
 from attestry.llm.text import Block
 from attestry.llm.tokens import Encoder, path
 
@@ -49,6 +49,57 @@ def test_ids_are_the_librarys(name):
     assert enc.block(block(rows), lengths=True).values.tolist() == [len(w) for w in want]
 
 
+class Counted:
+    """A model that counts what it is asked for."""
+
+    def __init__(self, model):
+        self.model, self.asked = model, 0
+
+    def tokenize(self, piece):
+        self.asked += 1
+        return self.model.tokenize(piece)
+
+
+def test_pieces_of_large_blocks_are_encoded_once():
+    enc = Encoder(path("byte_bpe_50k.json"))
+    enc.model = Counted(enc.model)
+    name = "".join(chr(97 + i) for i in range(26))
+    words = [f"{a}{b}{c}{d}" for a in name for b in name for c in name for d in name[:13]]
+    one, two = block([" ".join(words[:110_000])]), block([" ".join(words[110_000:220_000])])
+    first = enc.block(one)
+    enc.block(two)
+    again = enc.block(one)
+    assert enc.model.asked == 220_000
+    assert again.values.tolist() == first.values.tolist()
+
+
+@pytest.mark.parametrize("limits", [(1, 10**6), (60, 10**6), (10**6, 200), (10**6, 0)])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_full_cache_keeps_its_bounds(name, limits, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_SIZE", limits[0])
+    monkeypatch.setattr(tokens, "CACHE_IDS", limits[1])
+    library, enc = Tokenizer.from_file(path(name)), Encoder(path(name))
+    rows = texts(200)
+    for k in [0, 40, 80, 0, 120, 80, 160, 0]:
+        part = rows[k : k + 40]
+        got = enc.block(block(part))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert [got.values[a:b].tolist() for a, b in zip(got.bounds[:-1], got.bounds[1:], strict=True)] == want
+        assert enc.block(block(part), lengths=True).values.tolist() == [len(w) for w in want]
+        full = len(enc.cache) > limits[0] or len(enc.cache.flat) > limits[1]
+        enc.cache.next_block()
+        assert not full or len(enc.cache) <= limits[0] // 2 and enc.cache.size.max(initial=0) <= tokens.LONG
+
+
+def test_hashes_do_not_depend_on_chunks(monkeypatch):
+    enc = Encoder(path("byte_bpe_50k.json"))
+    joined, start, end, _ = enc.split([t or "" for t in texts()])
+    whole = enc.hash_pieces(joined, start, end)
+    monkeypatch.setattr(tokens, "CHUNK", 5)
+    assert (enc.hash_pieces(joined, start, end) == whole).all()
+    assert len(set(whole.tolist())) == len({joined[a:b] for a, b in zip(start, end, strict=True)})
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, 1) for i, t in enumerate(rows)], "doc_id long, text string, n_tokens int").repartition(3)
 
