@@ -39,13 +39,27 @@ def lag_seconds(events: DataFrame, log: DataFrame, ts: str = "ts") -> DataFrame:
     return a.crossJoin(b).select(((F.unix_micros(F.col("a").cast("timestamp")) - F.unix_micros(F.col("b").cast("timestamp"))) / 1e6).alias("lag_s"))
 
 
+def _wanted(endpoints: DataFrame, kind: str) -> DataFrame:
+    """The kinds that each active endpoint subscribes to, one a row."""
+    return endpoints.where("active").select("endpoint_id", F.explode("events").alias(kind)).distinct()
+
+
 def fan_out(events: DataFrame, endpoints: DataFrame, kind: str = "event_type") -> DataFrame:
     """A row for each event and active endpoint that subscribes to its kind.
 
     Endpoints are exploded by kind, so this is an equi-join.
     """
-    wanted = endpoints.where("active").select("endpoint_id", F.explode("events").alias(kind)).distinct()
-    return events.join(wanted, kind)
+    return events.join(_wanted(endpoints, kind), kind)
+
+
+def fan_out_counts(events: DataFrame, endpoints: DataFrame, kind: str = "event_type") -> DataFrame:
+    """How many rows ``fan_out`` has for each endpoint, ``n``, without making them.
+
+    Events are counted by kind before they meet the endpoints, so the join has a
+    row for each subscription, not one for each delivery.
+    """
+    counts = events.groupBy(kind).agg(F.count("*").alias("n"))
+    return counts.join(_wanted(endpoints, kind), kind).groupBy("endpoint_id").agg(F.sum("n").alias("n"))
 
 
 def fenced(events: DataFrame, epochs: DataFrame, writer: str = "writer", epoch: str = "epoch") -> DataFrame:

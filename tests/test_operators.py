@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from attestry import registry
 from attestry.operators import catalog, chains, evaluate, fairness, fusion, graph, rules, series
 from attestry.sources import prometheus, tables
 from attestry.streaming import folds, outbox
@@ -150,6 +151,17 @@ def test_outbox(spark):
     assert {r.event_id: (r.status, r.attempts) for r in done.collect()} == {1: ("processed", 1), 2: ("dead_letter", 5), 3: ("failed", 5), 4: ("processed", 1)}
 
 
+def test_fan_out_counts(spark):
+    """Events are counted before they meet endpoints: deliveries are a product and never made."""
+    kinds = spark.createDataFrame([(k,) for k in ["error"] * 3 + ["signup"] * 2 + ["view", None]], "event_type string")
+    hooks = spark.createDataFrame([(1, True, ["error", "signup"]), (2, True, ["error", "error"]), (3, False, ["error"]), (4, True, ["never"]), (5, None, ["view"]), (1, True, ["error"])], "endpoint_id int, active boolean, events array<string>")
+    out = outbox.fan_out_counts(kinds, hooks)
+    assert {r.endpoint_id: r.n for r in out.collect()} == {1: 5, 2: 3} == {r.endpoint_id: r["count"] for r in outbox.fan_out(kinds, hooks).groupBy("endpoint_id").count().collect()}
+    query = registry.queries()["webhook_fanout"](spark, "/root/testdata/sf0.001")
+    below = query._jdf.queryExecution().optimizedPlan().toString().partition("Join ")[2]
+    assert "Aggregate [event_type#" in below
+
+
 def test_catalog(spark):
     paths = spark.createDataFrame([("/v1/a",), ("/v1/b/c",), ("/x",)], "p string")
     assert [r.tier for r in catalog.tier_of(paths, "p", [("/v1/a", 0), ("/v1/*", 2)]).collect()] == [0, 2, None]
