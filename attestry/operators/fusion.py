@@ -170,9 +170,10 @@ def ensemble(detections) -> Column:
     the largest score x confidence (ties in order)."""
     d = F.col(detections) if isinstance(detections, str) else detections
     weight = F.map_from_arrays(F.array(*map(F.lit, ATTACK_WEIGHTS)), F.array(*map(F.lit, ATTACK_WEIGHTS.values())))
-    w = lambda x: F.coalesce(F.try_element_at(weight, x["type"]), F.lit(1.0)) * x["confidence"]
-    score = clamp(ratio(F.aggregate(d, F.lit(0.0), lambda s, x: s + x["score"] * w(x)), F.aggregate(d, F.lit(0.0), lambda s, x: s + w(x))))
-    ranked = F.array_sort(F.transform(d, lambda x, i: F.struct((-x["score"] * x["confidence"]).alias("k"), i.alias("i"), x["type"].alias("type"), x["score"].alias("score"))))
+    w = lambda x: F.coalesce(F.try_element_at(weight, x["type"]), F.lit(1.0))
+    ranked = F.array_sort(F.transform(d, lambda x, i: F.struct((-x["score"] * x["confidence"]).alias("k"), i.alias("i"), x["type"].alias("type"), x["score"].alias("score"), x["confidence"].alias("confidence"))))
+    # Added up in order of rank, by which the last digit of the score is the same for any order of detections.
+    score = clamp(ratio(F.aggregate(ranked, F.lit(0.0), lambda s, x: s + x["score"] * x["confidence"] * w(x)), F.aggregate(ranked, F.lit(0.0), lambda s, x: s + x["confidence"] * w(x))))
     kinds = F.array_distinct(F.transform(F.filter(F.slice(ranked, 1, 3), lambda x: x["score"] >= 0.2), lambda x: x["type"]))
     return F.struct(
         score.alias("score"),

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from datetime import date, datetime
 from fractions import Fraction
 
@@ -174,6 +175,28 @@ def test_readings_of_all_parts(spark, tmp_path):
     assert len(got) == len(PARTS) and {k: (w, s) for k, w, s in got} == winners
 
 
+def test_verdicts_at_ties(spark, tmp_path):
+    """Means of two or four values of two places stand halfway between rounded scores at every other user; equal products tie in rank."""
+    rng = random.Random(5)
+    events = []
+    for user in range(400):
+        for _ in range(rng.choice([2, 4, 8])):
+            events.append((len(events), user, rng.choice(["click", "view", "signup", "error", "purchase"]), round(rng.expovariate(0.02), 2)))
+    schema = "event_id long, user_id long, event_type string, value double, ts timestamp, props string"
+    rows = [(*e, datetime(2024, 1, 1), '{"k": 1}') for e in events]
+    folder = saved(spark, tmp_path / "t", events=(rows, schema))
+    # The statement adds up in the order of the file, if one thread reads it.
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    want = sorted(con.execute(f"select user_id, score, adversarial, band, action, confidence, kinds from ({registry.oracle_sql()['ensemble_verdict']})").fetchall())
+    columns = ["user_id", "score", "adversarial", "band", "action", "confidence", "kinds"]
+    got = lambda where: sorted(tuple(r) for r in registry.queries()["ensemble_verdict"](spark, where).select(*columns).collect())
+    assert got(folder) == want
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(f"{tmp_path}/mixed/events.parquet")
+    assert got(f"{tmp_path}/mixed") == want
+
+
 def test_all_steps(spark, tmp_path):
     orders = [(1, "F", "1-URGENT", 7), (2, "O", "5-LOW", 8), (50, "P", "3-MEDIUM", 9), (99, "F", "1-URGENT", 7)]
     want = set()
