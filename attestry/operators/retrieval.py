@@ -156,6 +156,8 @@ def with_context(turns: DataFrame, conversation: str, turn: str, text: str, back
 
 #: Query vectors that are sent to the tasks at a time.
 QUERY_BLOCK = 8192
+#: Queries by vectors that a task compares at once: 16 MB of similarities.
+QUERY_TILE, VECTOR_TILE = 1024, 2048
 
 
 def nearest_vectors(gallery: DataFrame, queries: DataFrame, k: int, id_column: str, vector: str, block: int = QUERY_BLOCK) -> DataFrame:
@@ -163,11 +165,36 @@ def nearest_vectors(gallery: DataFrame, queries: DataFrame, k: int, id_column: s
     most similar other vectors of the gallery; ties go to the smallest id.
 
     Queries go to the tasks in blocks of bounded size.  A task multiplies its
-    batches by a block and keeps k rows a query, so k rows a query and partition
-    are shuffled.  Null, zero and odd vectors are left out.
+    batches by a block, tile by tile, and keeps k rows a query, so its memory has
+    a bound and k rows a query and partition are shuffled.  All pairs are compared:
+    the time is queries by vectors.  Null, zero and odd vectors and rows without an
+    id are left out.
     """
+
+    def tile(kept_id: np.ndarray, kept: np.ndarray, ids: np.ndarray, asked: np.ndarray, own: np.ndarray, values: np.ndarray) -> None:
+        """Puts the better ones of a tile's vectors, which come in order of their ids, among the k kept for each query."""
+        cos = asked @ values.T
+        cos *= 1e6
+        cos += 0.5
+        np.floor(cos, out=cos)
+        cos[~np.isfinite(cos)] = -np.inf
+        cos[ids[:, None] == own] = -np.inf
+        # A vector of equal similarity may have a smaller id.
+        top = cos.max(axis=1)
+        rows = np.flatnonzero((top >= kept[:, -1]) & (top > -np.inf))
+        if not len(rows):
+            return
+        # Millionths and place in one whole number, so that of equal similarities those with the smallest ids are taken.
+        n = len(own)
+        keys = cos[rows] * n - np.arange(n)
+        at = np.argpartition(keys, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), keys.shape)
+        sims = np.concatenate([kept[rows], np.take_along_axis(cos[rows], at, 1)], axis=1)
+        names = np.concatenate([kept_id[rows], own[at]], axis=1)
+        order = np.lexsort((names, -sims), axis=1)[:, :k]
+        kept[rows], kept_id[rows] = np.take_along_axis(sims, order, 1), np.take_along_axis(names, order, 1)
+
     spark = gallery.sparkSession
-    flat = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    flat = lambda df: df.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asked = flat(queries)
     n = asked.count()
     parts = max(1, -(-n // block))
@@ -181,21 +208,19 @@ def nearest_vectors(gallery: DataFrame, queries: DataFrame, k: int, id_column: s
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
-            kept_id, kept = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            kept_id, kept = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
             for batch in batches:
                 own = batch.column("id").to_numpy()
                 values = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1])
-                cos = matrix @ (values / np.sqrt((values * values).sum(axis=1, keepdims=True))).T
-                cos = np.floor(cos * 1e6 + 0.5) / 1e6
-                cos[(ids[:, None] == own[None, :]) | ~np.isfinite(cos)] = -np.inf
-                sims = np.concatenate([kept, cos], axis=1)
-                names = np.concatenate([kept_id, np.broadcast_to(own, cos.shape)], axis=1)
-                # By id first, then stably by similarity, so that ties keep the smallest id.
-                order = np.argsort(names, axis=1, kind="stable")
-                order = np.take_along_axis(order, np.argsort(-np.take_along_axis(sims, order, 1), axis=1, kind="stable")[:, :k], 1)
-                kept, kept_id = np.take_along_axis(sims, order, 1), np.take_along_axis(names, order, 1)
+                values = values / np.sqrt((values * values).sum(axis=1, keepdims=True))
+                order = np.argsort(own, kind="stable")
+                for j in range(0, len(own), VECTOR_TILE):
+                    some = order[j : j + VECTOR_TILE]
+                    for i in range(0, len(ids), QUERY_TILE):
+                        q = slice(i, i + QUERY_TILE)
+                        tile(kept_id[q], kept[q], ids[q], matrix[q], own[some], values[some])
             row, col = np.nonzero(np.isfinite(kept))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(kept_id[row, col]), pa.array(kept[row, col])], ["query", "vec_id", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(kept_id[row, col]), pa.array(kept[row, col] / 1e6)], ["query", "vec_id", "similarity"])
 
         found = flat(gallery).where(F.size("v") == matrix.shape[1]).mapInArrow(best, "query long, vec_id long, similarity double")
         out = found if out is None else out.unionByName(found)

@@ -1,10 +1,15 @@
+import math
+import random
+import tracemalloc
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from attestry import registry
-from attestry.operators import catalog, chains, evaluate, fairness, fusion, graph, rules, series
+from attestry.operators import catalog, chains, evaluate, fairness, fusion, graph, retrieval, rules, series
 from attestry.sources import prometheus, tables
 from attestry.streaming import folds, outbox
 
@@ -162,6 +167,44 @@ def test_fan_out_counts(spark):
     assert "Aggregate [event_type#" in below
 
 
+def test_nearest_vectors_at_ties(spark):
+    """Few distinct directions, so that most ranks are ties; several tiles, batches and blocks of queries."""
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-1, 3)) for _ in range(3)]) for i in rng.sample(range(20000), 6000)]
+    odd = [(30000, None), (None, [1.0, 2.0, 1.0]), (30001, [1.0, math.nan, 0.0]), (30002, [0.0, 0.0, 0.0]), (30003, [1.0, 2.0])]
+    v = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in retrieval.nearest_vectors(v, v.where("vec_id % 40 = 0 and size(embedding) = 3"), 4, "vec_id", "embedding", block=100).collect():
+        got.setdefault(r.query, []).append((r.rank, r.vec_id, r.similarity))
+    whole = [(i, x) for i, x in rows if any(x)]
+    ids, x = np.array([i for i, _ in whole]), np.array([x for _, x in whole])
+    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = {}
+    for i, q in zip(ids.tolist(), x, strict=True):
+        if i % 40 == 0:
+            cos = np.floor(x @ q * 1e6 + 0.5) / 1e6
+            best = [j for j in np.lexsort((ids, -cos)) if ids[j] != i][:4]
+            want[i] = [(n + 1, int(ids[j]), float(cos[j])) for n, j in enumerate(best)]
+    assert {q: sorted(a) for q, a in got.items()} == want
+
+
+def test_nearest_vectors_in_bounded_memory(spark, monkeypatch):
+    """A task's memory holds for many queries and a whole batch of vectors (800 MB, were they compared at once)."""
+    found = []
+    frame = type(spark.range(1))
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *rest: found.append(f) or real(self, f, *rest))
+    v = np.random.default_rng(2).normal(size=(10000, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:2000])], "vec_id long, embedding array<double>")
+    retrieval.nearest_vectors(df, df, 5, "vec_id", "embedding")
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10000)), pa.array(v.tolist())], ["id", "v"])
+    tracemalloc.start()
+    rows = [r for out in found[0](iter([batch, batch])) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 10000 and peak < 150e6
+
+
 def test_catalog(spark):
     paths = spark.createDataFrame([("/v1/a",), ("/v1/b/c",), ("/x",)], "p string")
     assert [r.tier for r in catalog.tier_of(paths, "p", [("/v1/a", 0), ("/v1/*", 2)]).collect()] == [0, 2, None]
