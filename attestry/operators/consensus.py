@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.numbers import half_up
+from attestry.functions.numbers import bound, half_up
 from attestry.functions.text import similarity
 
 
@@ -45,37 +44,29 @@ def most_alike(rows: DataFrame, case: str, source: str, text: str) -> DataFrame:
 def clusters(rows: DataFrame, case: str, order: str, text: str, least: float = 0.85) -> DataFrame:
     """Greedy single-pass clusters of a case's readings: each joins the first
     cluster whose representative (its shortest member) is alike enough.  Returns
-    the largest cluster's representative and share.
+    the largest cluster's representative and share.  Readings of one place in order
+    come by their text, those without a place last.
 
-    The pass depends on its own earlier steps, so it runs by case in pandas.
+    The pass depends on its own earlier steps, so it is a fold over a case's array.
     """
+    reading = F.when(F.col(text).isNotNull(), F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("at"), F.col(text).alias("said")))
+    said = rows.groupBy(case).agg(F.array_sort(F.collect_list(reading)).alias("_said"))
 
-    def distance(a: str, b: str) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            left, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-        return row[-1]
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[str]] = []
-        for t in frame.sort_values(order)[text].dropna():
-            for g in groups:
-                rep = min(g, key=len)
-                n = max(len(rep), len(t))
-                if n == 0 or 1 - distance(rep.lower(), t.lower()) / n >= least:
-                    g.append(t)
-                    break
-            else:
-                groups.append([t])
-        if not groups:
-            return pd.DataFrame({case: [frame[case].iloc[0]], "winner": [None], "share": [0.0]})
-        top = max(groups, key=len)
-        return pd.DataFrame({case: [frame[case].iloc[0]], "winner": [min(top, key=len)], "share": [len(top) / sum(map(len, groups))]})
-
-    kind = rows.schema[case].dataType.simpleString()
-    return rows.select(case, order, text).groupBy(case).applyInPandas(one, f"{case} {kind}, winner string, share double")
+    def alike(group: Column, t: Column) -> Column:
+        n = F.greatest(F.length(group["rep"]), F.length(t))
+        return (n == 0) | (1 - F.levenshtein(F.lower(group["rep"]), F.lower(t)) / n >= least)
+
+    def joined(groups: Column, t: Column, at: Column) -> Column:
+        member = lambda g: F.struct(F.when(F.length(t) < F.length(g["rep"]), t).otherwise(g["rep"]).alias("rep"), (g["n"] + 1).alias("n"))
+        return F.when(at == 0, F.concat(groups, F.array(F.struct(t.alias("rep"), F.lit(1).alias("n"))))).otherwise(F.transform(groups, lambda g, i: F.when(i + 1 == at, member(g)).otherwise(g)))
+
+    def step(groups: Column, r: Column) -> Column:
+        return bound(r["said"], lambda t: bound(F.array_position(F.transform(groups, lambda g: alike(g, t)), True), lambda at: joined(groups, t, at)))
+
+    groups = F.aggregate("_said", F.array().cast("array<struct<rep: string, n: int>>"), step)
+    top = F.array_max(F.transform(groups, lambda g, i: F.struct(g["n"].alias("n"), (-i).alias("i"), g["rep"].alias("rep"))))
+    out = said.select(case, F.size("_said").alias("_size"), top.alias("_top"))
+    return out.select(case, F.col("_top.rep").alias("winner"), F.coalesce(F.col("_top.n") / F.col("_size"), F.lit(0.0)).alias("share"))
 
 
 def nearest(words: DataFrame, word: str, dictionary: DataFrame, entry: str, most: int = 2, how_broadcast: bool = False) -> DataFrame:

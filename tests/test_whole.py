@@ -11,6 +11,7 @@ import pytest
 
 from attestry import registry
 from attestry.functions import checksums
+from attestry.operators import consensus
 from attestry.plans import identity
 
 
@@ -175,6 +176,33 @@ def test_readings_of_all_parts(spark, tmp_path):
     assert len(got) == len(PARTS) and {k: (w, s) for k, w, s in got} == winners
 
 
+def test_clusters_of_odd_readings(spark):
+    """Nulls, empty and non-Latin texts, places given twice or not at all; by plain Python, and without a Python worker for each case."""
+    rng = random.Random(9)
+    words = [None, "", "a", "ab", "Straße 12", "STRASSE 12", "Straße 1", "محمد أحمد علي", "محمد أحمد عل", "Ωmega-\U0001f600", "ωmega-\U0001f600", "ECONOMY BRUSHED TIN", "economy brushed tin", "ECONOMY BRUSHED TINZ", "CONOMY BRUSHED TI"]
+    rows = [(case, rng.choice([None, *range(9)]), rng.choice(words)) for case in [*range(150), None] for _ in range(rng.choice([1, 2, 4, 9]))]
+    rows += [(500, 1, None), (501, None, "x")]
+    want = {}
+    for case in {c for c, _, _ in rows}:
+        said = sorted((at is None, at or 0, t) for c, at, t in rows if c == case and t is not None)
+        groups = []
+        for *_, t in said:
+            for g in groups:
+                rep = min(g, key=len)
+                n = max(len(rep), len(t))
+                if n == 0 or 1 - edits(rep.lower(), t.lower()) / n >= 0.85:
+                    g.append(t)
+                    break
+            else:
+                groups.append([t])
+        top = max(groups, key=len, default=[])
+        want[case] = min(top, key=len, default=None), len(top) / len(said) if said else 0.0
+    out = consensus.clusters(spark.createDataFrame(rows, "c long, at int, t string").repartition(3), "c", "at", "t")
+    got = out.collect()
+    assert len(got) == len(want) and {r.c: (r.winner, r.share) for r in got} == want and want[500] == (None, 0.0)
+    assert "Pandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_verdicts_at_ties(spark, tmp_path):
     """Means of two or four values of two places stand halfway between rounded scores at every other user; equal products tie in rank."""
     rng = random.Random(5)
